@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, sharding, substring, topk, url_filter
+from . import decontaminate, langid, packing, pii, sharding, substring, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
+        "op2_language_id": langid.op2_language_id,
         "op3_url_filters": url_filter.op3_url_filters,
+        "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
         "op7_pii_spans": pii.op7_pii_spans,
         "op8_exact_topk": topk.op8_exact_topk,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_repeated_lines": substring.op10_repeated_lines,
     }
 
