@@ -158,6 +158,29 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(score, shape)
 
 
+def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs whose language is known with ``min_score``; decided in place.
+
+    Without any labelled row, every text with a letter stays.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            stays = []
+            for lo, hi in chunks(texts):
+                if own.langs:
+                    langs, scores = own.predict(texts[lo:hi])
+                    stays += [x != "und" and p >= min_score for x, p in zip(langs, scores, strict=True)]
+                else:
+                    stays += [any(map(str.isalpha, t or "")) for t in texts[lo:hi]]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, train(training_rows(docs)), ["doc_id"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, packing, pii, sharding, substring, topk, url_filter
+from . import decontaminate, jaccard, langid, main_text, packing, pii, sharding, substring, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
         "op2_language_id": langid.op2_language_id,
         "op3_url_filters": url_filter.op3_url_filters,
+        "op4_jaccard_components": jaccard.op4_jaccard_components,
+        "op5_main_text": main_text.op5_main_text,
         "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
         "op7_pii_spans": pii.op7_pii_spans,
         "op8_exact_topk": topk.op8_exact_topk,
