@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import global_rank, table
+from .common import global_rank, materialize, table
 from .words import chunks
 
 CAPACITY = 2048
@@ -321,7 +321,8 @@ def plan_rows(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, max_nodes: int = MAX_NODES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    ranked, _ = global_rank(pieces(docs, capacity, vocabulary), ["length", "doc_id", "piece", "ids_crc32"], "pieces")
+    cut = materialize(pieces(docs, capacity, vocabulary), "pieces")  # else the ranges' sampling tokenises once more
+    ranked, _ = global_rank(cut, ["length", "doc_id", "piece", "ids_crc32"], "ranked")
     histogram = ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)
     for r in histogram:
