@@ -1,0 +1,137 @@
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from fnmatch import fnmatchcase
+
+import pytest
+
+from glosslake.llm import pii, sharding, substring, topk, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, size int, shard string"
+
+
+def test_hilbert_is_a_curve(spark):
+    cells = spark.range(4096).selectExpr("id div 256 a", "(id div 16) % 16 b", "id % 16 c")
+    rows = sharding.with_hilbert(cells, ["a", "b", "c"], 4).orderBy("hilbert").collect()
+    assert [r["hilbert"] for r in rows] == list(range(4096))
+    assert all(sum(abs(x[k] - y[k]) for k in "abc") == 1 for x, y in zip(rows, rows[1:], strict=False))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 61])
+def test_shards(spark, n):
+    r = random.Random(n)
+    rows = [(None if i == 3 else i // 2, r.choice([None, "", "é", "same", "x" * r.randint(1, 5000)]), r.choice([None, "en"]), r.choice([None, "a", "b"]), 1, "s") for i in range(n)]
+    got = sharding.hilbert_shards(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(str((g["doc_id"], g["size"], g["text_crc32"])) for g in got) == sorted(str((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))) for d, t, *_ in rows)
+    by = [sorted(g["slot"] for g in got if g["shard"] == s) for s in range(8)]
+    assert all(b == list(range(len(b))) for b in by) and max(map(len, by)) - min(map(len, by)) <= 1
+    order = sorted(got, key=lambda g: (g["shard"], g["slot"]))
+    assert [g["hilbert"] for g in order] == sorted(g["hilbert"] for g in got)
+
+
+def brute_pii(text):
+    """The base rules, span by span."""
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: luhn(re.sub("[^0-9]", "", m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    found = [(m.start(), k, kind, m.end()) for k, (kind, (rx, ok)) in enumerate(rules.items()) for m in re.finditer(rx, text) if ok(m.group())]
+    return [f"{kind}:{s}:{e}" for s, _, kind, e in sorted(found)]
+
+
+def luhn(d):
+    return 14 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def test_pii_against_brute_force(spark):
+    r = random.Random(5)
+    parts = ["a.b@c.de", "x@y", "@", "10.0.0.1", "1.2.3.4.5.6.7.8", "256.1.1.1", "000012.0.0.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (667) 555-4827", "+123", "+1.2.3.4.5.6.7.8.9.0", "12 ", "é😀", "%", ".", "-", " ", "\n", "a@b.c%x@d.e", "5500005555555559"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(400)] + [None, "", "1" * 30000, "1 " * 20000, "a.b@c.d " * 3000, "a" * 30000 + "@", "+1" + "." * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in x["spans"] if s["k"] < pii.BASE] for x in pii.find_pii(df).collect()}
+    assert all(got[i] == brute_pii(t or "") for i, t in enumerate(texts))
+
+
+def test_pii_method_kinds_and_masks(spark):
+    texts = ["my iban GB82 WEST 1234 5698 7654 32 ok", "iban GB82 WEST 1234 5698 7654 33", "call 555-123-4567 now", "part 555-123-4567 now", "SSN 123-45-6789", "ssn 000-45-6789", "mail a@b.co, card 4111 1111 1111 1111", None]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {x["doc_id"]: [(s["kind"], texts[x["doc_id"]][s["start"] : s["end"]]) for s in x["spans"]] for x in pii.find_pii(df).collect()}
+    assert got == {
+        0: [("iban", "GB82 WEST 1234 5698 7654 32")], 1: [], 2: [("local_phone", "555-123-4567")], 3: [], 4: [("ssn", "123-45-6789")], 5: [],
+        6: [("email", "a@b.co"), ("card", "4111 1111 1111 1111")], 7: [],
+    }
+    masked = {x["doc_id"]: x["text"] for x in pii.redact(df).collect()}
+    assert masked[0] == "my iban [IBAN] ok" and masked[3] == texts[3] and masked[6] == "mail [EMAIL], card [CARD]" and masked[7] is None
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_url_filter_against_globs(spark):
+    r = random.Random(4)
+    hosts = ["a.org", "org", "example.org", "b.EXAMPLE.org", "x.com", "com", "my-cheap-pills.net", "casino.de", "news.net", "ads.x.net", "évil.net"]
+    paths = ["", "/", "/es/1", "/es", "/en/1", "/en/12?x=/es/", "/fr/", "/de/x#y", "/wp-login.php", "/a/cgi-bin/x", "/" + "long/" * 3000]
+    urls = [f"{r.choice(['http', 'https', ''])}://{r.choice(hosts)}{r.choice(paths)}" for _ in range(300)] + [None, "", "no host/", "http://", "http://a.org?x", "a://b://c/d"]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    for row in url_filter.judge_urls(df).collect():
+        u = urls[row["page_id"]] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(x, v) for x, v in url_filter.RULES if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[x.index("/") :])]
+        rule, verdict = max(fits, key=lambda f: len(f[0])) if fits else (None, None)
+        spam = any(re.fullmatch(url_filter._regex(g), host + path, re.S) for g in url_filter.SPAM)
+        assert (row["host"], row["path"], row["rule"]) == (host, path, rule), u
+        assert row["verdict"] == (verdict or ("block" if spam else "allow")), u
+    assert url_filter.judge_urls(df.limit(0)).count() == 0
+
+
+def test_automaton_over_many_words():
+    globs = [f"*{i:03d}*x" for i in range(60)] + ["**", "*", "", "a*b**c"]
+    texts = [b"", b"q017zzx", b"q017/zx", b"a1b/2c", b"059x", b"xx" * 300]
+    got = url_filter.GlobAutomaton(globs).matches(texts)
+    want = [[bool(re.fullmatch(url_filter._regex(g), t.decode(), re.S)) for g in globs] for t in texts]
+    assert got.tolist() == want
+    assert fnmatchcase("q017zzx", "*017*x")
+
+
+def test_topk_against_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, [r.choice([0.0, 0.5, -1.25, r.random()]) for _ in range(6)]) for i in range(300)]
+    rows += [(300, None), (400, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (500, [float("nan")] * 6), (600, [float("inf")] * 6), (700, []), (800, [1.0]), (20, rows[40][1]), (None, [1.0] * 6), (900, [1e5] * 6), (1000, [2e5] * 6)]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, score int")
+    q = topk.quantised(df)
+    got = topk.exact_topk(q, q.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), k=5, tile=37, query_tile=2)
+    import math
+
+    v = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
+    want = []
+    for i, e in v:
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), j) for j, f in v if j != i and len(f) == len(e))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    none = topk.quantised(df.limit(0))
+    assert topk.exact_topk(none, none.withColumnRenamed("vec_id", "query_id")).count() == 0
+
+
+def test_repeated_lines(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    half = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    rows = [
+        (5, f"start\n{long}\nend"), (2, f"x\n{long.upper()}  "), (9, long), (7, "\n".join(half)), (8, "own\n" + "\n\n".join(half) + "\nz"), (3, half[0]), (4, half[0] + "\nother"),
+        (6, None), (10, ""), (11, "start"), (12, "short line"), (13, "short line"), (None, long), (14, f"{long}\n{long}"),
+    ]
+    df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, unit string")
+    got = substring.repeated_units(df)
+    cut = {(x["doc_id"], x["unit"]): (x["start"], x["end"], x["first_doc_id"], x["first_unit"]) for x in got.collect()}
+    assert {k for k in cut} == {(5, 1), (9, 0), (None, 0), (8, 1), (8, 3), (14, 0), (14, 1)} | {(7, 0)} - {(7, 0)}
+    assert cut[5, 1] == (6, 6 + len(long), 2, 1)
+    by = dict(rows)
+    assert all(by[d][s:e].lower().split() == by[fd].split("\n")[fu].lower().split() for (d, _), (s, e, fd, fu) in cut.items())
+    left = {x["doc_id"]: x["text"] for x in substring.removed_text(df, got).collect()}
+    assert left[5] == "start\nend" and left[2] == by[2] and left[6] is None and left[12] == "short line" and left[14] == ""
+    assert substring.repeated_units(df.limit(0)).count() == 0
