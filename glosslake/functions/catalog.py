@@ -163,8 +163,14 @@ def python_regex(regex: str, flags: str = "g") -> re.Pattern:
 
 
 def java_regex(regex: str, flags: str = "g") -> str:
-    """For Spark's expressions: a boundary looks at ASCII word characters only."""
+    """For Spark's expressions: a boundary looks at ASCII word characters only.
+
+    Before a word character it needs to look behind only, which is what most
+    patterns start with and so what every place of a text pays for.
+    """
     word = "0-9A-Za-z_"
     edge = rf"(?:(?<![{word}])(?=[{word}])|(?<=[{word}])(?![{word}]))"
-    out = re.sub(r"(?<!\\)\$", r"\\z", dialect_spaces(regex)).replace(r"\b", edge)
+    out = re.sub(r"(?<!\\)\$", r"\\z", dialect_spaces(regex))
+    out = re.sub(r"\\b(?=(?:\((?:\?:)?)*(?:\[?[0-9A-Za-z_]|\\d))", lambda _: f"(?<![{word}])", out)
+    out = out.replace(r"\b", edge)
     return f"(?i){out}" if "i" in flags else out

@@ -123,7 +123,7 @@ def test_falsifiers_by_kind(spark):
     ("text", "n"),
     [
         ("One. Two! Three? four", 3), ("Dr. Smith et al. Went home.", 1), ("It is 1.25 long. Ok.", 2), ("J. K. Rowling wrote. Yes.", 2), ("e.g. this one.", 1),
-        ("version 1.2.3.4 Is out. Next", 2), ("no stop here", 1), ("", 0), ("line\nbreak. Next", 2), ('He said. "Yes."', 2),
+        ("version 1.2.3.4 Is out. Next", 2), ("no stop here", 1), ("", 0), ("line\nbreak. Next", 2), ('He said. "Yes."', 3),
     ],
 )
 def test_sentences(spark, text, n):
