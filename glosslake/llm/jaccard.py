@@ -15,10 +15,12 @@ Jaccard similarity is at least 3/4.  The join is exact and finds components:
 4. The token-group matrix holds every group's token union.  Where a token is
    still shared by several groups, a node queries those groups: its overlap
    with the union bounds its overlap with every member, and only groups that
-   the bound lets pass are opened and compared member by member.
+   the bound lets pass are opened and compared member by member.  A common
+   token counts only where enough of both sets comes after it in the order.
 
-Sets are compared by merging their sorted hashes, which are computed again
-from the texts of the candidates alone, so nothing is shipped for the rest.
+Sets are compared by their bitmaps first (differing bits bound the overlap),
+then by their hashes; both are computed again from the texts of the candidates
+alone, so nothing is shipped for the rest.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing
 and are their own component; texts of one to four words are one shingle; very
@@ -31,7 +33,7 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ SHINGLE = 5
 #: Share of the hash range whose tokens are counted; more than the quarter that a prefix needs.
 REGION = 0.3
 EDGE = int(REGION * 2**64)
+#: Bits of a set's bitmap; sets of far more tokens fill it and are compared in full.
+BITMAP = 2048
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -76,7 +80,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), m (tokens in the region), digest, tokens (the region's, or a prefix if that is longer)."""
+    """doc_id, n (set size), m (tokens in the region), digest, tokens (the region's, or a prefix if that is longer), text_md5 (without a doc_id)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,31 +90,40 @@ def sketches(docs: DataFrame) -> DataFrame:
                 size = [len(s) for s in sets]
                 region = [int(np.searchsorted(s, np.uint64(EDGE))) for s in sets]
                 first = [s[: max(m, n // 4 + 1)] for s, m, n in zip(sets, region, size, strict=True)]
+                ids = batch.column("doc_id").slice(lo, hi - lo)
+                names = [None if known else md5((t or "").encode()).hexdigest() for t, known in zip(texts[lo:hi], ids.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(region, pa.int64()),
-                     pa.array(map(_digest, sets), pa.binary()), _lists(first)],
-                    names=["doc_id", "n", "m", "digest", "tokens"],
+                    [ids, pa.array(size, pa.int64()), pa.array(region, pa.int64()), pa.array(map(_digest, sets), pa.binary()), _lists(first), pa.array(names, pa.string())],
+                    names=["doc_id", "n", "m", "digest", "tokens", "text_md5"],
                 )
 
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, m long, digest binary, tokens array<long>"
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, m long, digest binary, tokens array<long>, text_md5 string"
     return docs.select("doc_id", "text").mapInArrow(sketch, shape)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and tokens (all, sorted) of the nodes in ``wanted`` (node, doc_id, digest)."""
+    """node, tokens (all, sorted) and bits (a bitmap of them) of the nodes in ``wanted`` (node, doc_id, digest)."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), _lists(sets)], names=["digest", "tokens"])
+                maps = pa.array(map(bitmap, sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), _lists(sets), maps], names=["digest", "tokens", "bits"])
 
     n = wanted.count()
     ids = broadcast_if_small(wanted.select(F.col("doc_id").alias("_id")).distinct(), n)
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(whole, "digest binary, tokens array<long>")
-    return sets.join(broadcast_if_small(wanted.select("digest", "node"), n), "digest").select("node", "tokens")
+    sets = texts.mapInArrow(whole, "digest binary, tokens array<long>, bits binary")
+    return sets.join(broadcast_if_small(wanted.select("digest", "node"), n), "digest").select("node", "tokens", "bits")
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """BITMAP bits, one set for each token."""
+    bits = np.zeros(BITMAP, bool)
+    bits[s % np.uint64(BITMAP)] = True
+    return np.packbits(bits).tobytes()
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -118,6 +131,23 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bitmaps can't rule out: bits that differ are tokens that one set has alone."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITMAP // 8) for c in ("left", "right"))
+            apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(7 * ((size - apart) // 2) >= 3 * size))
+
+    side = lambda x, bits: sets.select(F.col("node").alias(x), F.col("bits").alias(bits), F.size("tokens").cast("long").alias(f"n{x}"))
+    both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
+    return both.select("a", "b", "left", "right", "na", "nb").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -127,7 +157,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [linked(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
+    left = materialize(possible(pairs, sets), "possible")
+    own = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     both = own.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
@@ -140,12 +171,17 @@ def near(n: str | Column, other: str | Column) -> Column:
 def shared_tokens(nodes: DataFrame) -> DataFrame:
     """node, tok, df of every emitted token that two nodes or more have."""
     each = nodes.select("node", F.explode("tokens").alias("tok"))
-    df = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Written first: the join's sides are plain shuffles then, and a token that very many nodes share can be split.
+    df = materialize(each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
     return each.join(df, "tok").select("node", "tok", "df")
 
 
 def prefixes(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tok, n, own (share of the node's emitted tokens that no other has) of the shared tokens in its prefix."""
+    """The shared tokens in each node's prefix: node, tok, n, tail, own.
+
+    tail: how many of the node's tokens come later in the order (at most);
+    own: the share of its emitted tokens that no other node has.
+    """
     region = (F.col("tok") >= 0) & (F.col("tok") < EDGE)
     of = Window.partitionBy("node")
     sized = shared.join(nodes.select("node", "n", "m"), "node")
@@ -156,30 +192,35 @@ def prefixes(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     k = F.expr("n div 4 + 1")
     lone = F.col("m") - F.col("inside")
     own = 1 - F.col("all") / F.greatest("m", k)
-    return ranked.where(~region | (lone + F.col("at") <= k)).select("node", "tok", "n", own.alias("own"))
+    place = F.when(region, lone + F.col("at")).otherwise(F.col("m") + F.col("at") - F.col("inside"))
+    return ranked.where(~region | (lone + F.col("at") <= k)).select("node", "tok", "n", (F.col("n") - place).alias("tail"), own.alias("own"))
+
+
+def reachable(n: str, tail: str, other_n: str, other_tail: str) -> Column:
+    """Whether two sets whose first common token has these tails can link: one and the shorter tail are all they can share."""
+    return 7 * (1 + F.least(tail, other_tail)) >= 3 * (F.col(n) + F.col(other_n))
 
 
 def leader_pairs(prefix: DataFrame) -> DataFrame:
     """Each node with the leaders of its prefix tokens."""
     leaders = (
-        prefix.groupBy("tok").agg(F.min(F.struct("own", "node", "n")).alias("lead"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-        .select("tok", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"))
+        prefix.groupBy("tok").agg(F.min(F.struct("own", "node", "n", "tail")).alias("lead"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+        .select("tok", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.tail").alias("tb"))
     )
-    pairs = prefix.select("tok", F.col("node").alias("a"), "n").join(leaders, "tok")
-    return pairs.where((F.col("a") != F.col("b")) & near("n", "nb")).select("a", "b").distinct()
+    pairs = prefix.select("tok", F.col("node").alias("a"), "n", "tail").join(leaders, "tok")
+    return pairs.where((F.col("a") != F.col("b")) & near("n", "nb") & reachable("n", "tail", "nb", "tb")).select("a", "b").distinct()
 
 
 def group_queries(prefix: DataFrame, shared: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs that the token-group matrix can't rule out: nodes of different groups that share a prefix token."""
-    grouped = prefix.select("node", "tok", "n").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = prefix.select("node", "tok", "n", "tail").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = grouped.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
     rest = materialize(grouped.join(open_, "tok"), "open")
-    sizes = rest.groupBy("comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = rest.select("tok", F.col("comp").alias("g")).distinct().join(sizes.withColumnRenamed("comp", "g"), "g")
+    matrix = rest.groupBy("tok", F.col("comp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("longest"))
     asked = (
-        rest.select(F.col("node").alias("q"), "tok", "n", "comp").join(matrix, "tok")
-        .where("comp < g and 4 * n >= 3 * least and 4 * most >= 3 * n")
-        .select("q", "g", "n", "least").distinct()
+        rest.select(F.col("node").alias("q"), "tok", "n", "tail", "comp").join(materialize(matrix, "matrix"), "tok")
+        .where("comp < g and 4 * n >= 3 * least and 4 * most >= 3 * n").where(reachable("n", "tail", "least", "longest"))
+        .groupBy("q", "g", "n").agg(F.min("least").alias("least"))
     )
     asked = materialize(asked, "asked")
     # The unions of the groups that are asked, over all shared tokens.
@@ -193,14 +234,14 @@ def group_queries(prefix: DataFrame, shared: DataFrame, nodes: DataFrame, groups
     emitted = nodes.select(F.col("node").alias("q"), F.greatest("m", F.expr("n div 4 + 1")).alias("e"))
     bound = F.col("inside") + F.col("n") - F.col("e")
     passed = asked.join(inside, ["q", "g"]).join(emitted, "q").where((4 * bound >= 3 * F.col("n")) & (7 * bound >= 3 * (F.col("n") + F.col("least"))))
-    ask = passed.select("q", "g").join(rest.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq")), "q")
-    members = rest.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n")
-    pairs = ask.join(members, ["g", "tok"]).where(near("n", "nq"))
+    ask = passed.select("q", "g").join(rest.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq"), F.col("tail").alias("tq")), "q")
+    members = rest.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
+    pairs = ask.join(members, ["g", "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
     return pairs.select(F.col("q").alias("a"), "b").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs."""
+    """doc_id, n_shingles and component_id of every row of docs; text_md5 names rows without a doc_id."""
     rows = materialize(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = rows.where("n > 0")
     copies = some.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "node")
@@ -221,31 +262,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = found.unionByName(links(group_queries(prefix, shared, nodes, groups)))
     comps = components(found)
     whole = (
-        rows.select("doc_id", "n", "row").join(spare, "row", "left").withColumn("node", F.coalesce("node", "row"))
+        rows.select("doc_id", "n", "row", "text_md5").join(spare, "row", "left").withColumn("node", F.coalesce("node", "row"))
         .join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     )
     ids = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = whole.join(ids, "comp")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_md5")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id; texts without words stay.
 
     Rows that repeat a doc_id and its text count as one document, and one of
-    them stays; a null doc_id goes if its component has another id.
+    them stays; a row with a null doc_id goes if its component has an id.
     """
     found = materialize(jaccard_components(docs), "found")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    nameless = materialize(found.where("doc_id is null and component_id is not null").select(F.col("text_md5").alias("_md5")).distinct(), "nameless")
+    if n := nameless.count():
+        same = F.col("doc_id").isNull() & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_md5"))
+        left = left.join(broadcast_if_small(nameless, n), same, "left_anti")
     again = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"), "again")
-    n = again.count()
-    if not n:
-        return left
-    again, same = broadcast_if_small(again, n), F.col("doc_id").eqNullSafe(F.col("_id"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if n := again.count():
+        again, same = broadcast_if_small(again, n), F.col("doc_id").eqNullSafe(F.col("_id"))
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left
 
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_md5")

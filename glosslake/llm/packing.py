@@ -41,7 +41,7 @@ MAX_NODES = 20_000
 #: Fillings that are tried around one piece.
 BRANCHES = 4
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class Encoder:

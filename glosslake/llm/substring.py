@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import materialize, table
 
 MIN_WORDS = 50
 SPACES = r"[\x20\x09-\x0D]+"
@@ -55,6 +55,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         each.where("digest is not null").groupBy("digest")
         .agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     )
+    # A table of its own: the join's two sides are then plain shuffles, and a digest that very many lines share can be split.
+    first = materialize(first, "first")
     flagged = each.join(first, "digest", "left").withColumn("repeat", F.coalesce(F.col("first") != rank, F.lit(False)))
     by_doc = Window.partitionBy("_row").orderBy("unit")
     solid = F.col("digest").isNotNull() & ~F.col("repeat")  # ends a run

@@ -7,7 +7,8 @@ query survive.  The short lists are then merged by a tree of bounded groups.
 Defined cases: a vector that is null, is empty, or holds a null or non-finite
 component takes no part; vectors of another length than the query's are not
 compared with it; repeated ids are separate candidates, but a row never answers
-a query of its own id; ties go to the smaller id; an empty table gives no rows.
+a query of its own id; ties go to the smaller id; a score beyond 64 bits is the
+largest that fits; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * rows.shape[1]
     if bound < 2**53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    return queries @ rows.T
+    if bound < 2**63:
+        return queries @ rows.T
+    most = 2**63 - 1
+    return np.clip(queries.astype(object) @ rows.T.astype(object), -most, most).astype(np.int64)
 
 
 def best_of_tile(k: int):
