@@ -12,11 +12,15 @@ Jaccard similarity is at least 3/4.  The join is exact and finds components:
    compared with one leader of the token (the node with the fewest tokens of
    its own), and verified links make the groups.  The comparisons grow with the
    number of tokens, not with the square of a group.
-4. The token-group matrix holds every group's token union.  Where a token is
-   still shared by several groups, a node queries those groups: its overlap
-   with the union bounds its overlap with every member, and only groups that
-   the bound lets pass are opened and compared member by member.  A common
-   token counts only where enough of both sets comes after it in the order.
+4. Nodes that still share a token with another group are ordered anew: all of
+   their tokens, rarest first among these nodes.  A passage that many documents
+   share then comes last in each of them and pairs nothing.
+5. The token-group matrix holds every group's token union.  Where a token is
+   still shared by several groups, the smaller group's nodes query the larger
+   groups: a node's overlap with the union bounds its overlap with every member,
+   and only groups that the bound lets pass are opened and compared member by
+   member.  A common token counts only where enough of both sets comes after it
+   in the order.
 
 Sets are compared by their bitmaps first (differing bits bound the overlap),
 then by their hashes; both are computed again from the texts of the candidates
@@ -176,13 +180,14 @@ def shared_tokens(nodes: DataFrame) -> DataFrame:
     return each.join(df, "tok").select("node", "tok", "df")
 
 
-def prefixes(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+def prefixes(shared: DataFrame, nodes: DataFrame, whole: bool = False) -> DataFrame:
     """The shared tokens in each node's prefix: node, tok, n, tail, own.
 
     tail: how many of the node's tokens come later in the order (at most);
-    own: the share of its emitted tokens that no other node has.
+    own: the share of its emitted tokens that no other node has;
+    whole: all tokens are emitted, so that the region is all of the hash range.
     """
-    region = (F.col("tok") >= 0) & (F.col("tok") < EDGE)
+    region = F.lit(True) if whole else (F.col("tok") >= 0) & (F.col("tok") < EDGE)
     of = Window.partitionBy("node")
     sized = shared.join(nodes.select("node", "n", "m"), "node")
     ranked = (
@@ -211,31 +216,51 @@ def leader_pairs(prefix: DataFrame) -> DataFrame:
     return pairs.where((F.col("a") != F.col("b")) & near("n", "nb") & reachable("n", "tail", "nb", "tb")).select("a", "b").distinct()
 
 
-def group_queries(prefix: DataFrame, shared: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs that the token-group matrix can't rule out: nodes of different groups that share a prefix token."""
-    grouped = prefix.select("node", "tok", "n", "tail").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = grouped.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    rest = materialize(grouped.join(open_, "tok"), "open")
-    matrix = rest.groupBy("tok", F.col("comp").alias("g")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("longest"))
+def with_group(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """df with comp, the group of its node; a node without links is one by itself."""
+    return df.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def contested(prefix: DataFrame, groups: DataFrame) -> DataFrame:
+    """The nodes that may link to a node of another group: those share a prefix token, and their sizes and tails allow it."""
+    grouped = materialize(with_group(prefix.select("node", "tok", "n", "tail"), groups), "grouped")
+    open_ = (
+        grouped.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("longest"))
+        .where("lo <> hi").drop("lo", "hi")
+    )
+    # Written first, like the matrix: a hot token's rows can be split in the join.
+    rest = grouped.join(materialize(open_, "open"), "tok").where("4 * n >= 3 * least and 4 * most >= 3 * n")
+    return rest.where(reachable("n", "tail", "least", "longest")).select("node").distinct()
+
+
+def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs that the token-group matrix can't rule out: nodes of different groups that share a prefix token.
+
+    prefix and shared are over all tokens of the contested nodes.
+    """
+    size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    grouped = with_group(prefix.select("node", "tok", "n", "tail"), groups).join(size, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    grouped = materialize(grouped, "sized")
+    matrix = (
+        grouped.groupBy("tok", F.col("comp").alias("g"), F.col("size").alias("gs"))
+        .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("longest"))
+    )
     asked = (
-        rest.select(F.col("node").alias("q"), "tok", "n", "tail", "comp").join(materialize(matrix, "matrix"), "tok")
-        .where("comp < g and 4 * n >= 3 * least and 4 * most >= 3 * n").where(reachable("n", "tail", "least", "longest"))
+        grouped.select(F.col("node").alias("q"), "tok", "n", "tail", "comp", "size").join(materialize(matrix, "matrix"), "tok")
+        .where("(size < gs or (size = gs and comp < g)) and 4 * n >= 3 * least and 4 * most >= 3 * n").where(reachable("n", "tail", "least", "longest"))
         .groupBy("q", "g", "n").agg(F.min("least").alias("least"))
     )
     asked = materialize(asked, "asked")
     # The unions of the groups that are asked, over all shared tokens.
-    member = groups.join(asked.select("g").distinct(), F.col("comp") == F.col("g"), "left_semi").select("node", F.col("comp").alias("g"))
-    alone = asked.select("g").distinct().join(groups, F.col("g") == F.col("node"), "left_anti").select(F.col("g").alias("node"), "g")
-    union = shared.select("node", "tok").join(member.unionByName(alone), "node").select("g", "tok").distinct()
+    own = with_group(shared.select("node", "tok"), groups)
+    union = own.join(asked.select(F.col("g").alias("comp")).distinct(), "comp", "left_semi").select(F.col("comp").alias("g"), "tok").distinct()
     inside = (
         asked.select("q", "g").join(shared.select(F.col("node").alias("q"), "tok"), "q").join(union, ["g", "tok"])
         .groupBy("q", "g").agg(F.count(F.lit(1)).alias("inside"))
     )
-    emitted = nodes.select(F.col("node").alias("q"), F.greatest("m", F.expr("n div 4 + 1")).alias("e"))
-    bound = F.col("inside") + F.col("n") - F.col("e")
-    passed = asked.join(inside, ["q", "g"]).join(emitted, "q").where((4 * bound >= 3 * F.col("n")) & (7 * bound >= 3 * (F.col("n") + F.col("least"))))
-    ask = passed.select("q", "g").join(rest.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq"), F.col("tail").alias("tq")), "q")
-    members = rest.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
+    passed = materialize(asked.join(inside, ["q", "g"]).where("4 * inside >= 3 * n and 7 * inside >= 3 * (n + least)").select("q", "g"), "passed")
+    ask = passed.join(grouped.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq"), F.col("tail").alias("tq")), "q")
+    members = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
     pairs = ask.join(members, ["g", "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
     return pairs.select(F.col("q").alias("a"), "b").distinct()
 
@@ -245,21 +270,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = materialize(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = rows.where("n > 0")
     copies = some.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "node")
+    copies = materialize(copies, "first")  # a digest that very many rows have can be split in the join
     spare = materialize(some.select("row", "digest").join(copies, "digest").where("row <> node").select("row", "node"), "copies")
     nodes = some.withColumnRenamed("row", "node").join(broadcast_if_small(spare.select(F.col("row").alias("node"))), "node", "left_anti")
-    shared = materialize(shared_tokens(nodes), "shared")
-    prefix = materialize(prefixes(shared, nodes), "prefix")
+    prefix = materialize(prefixes(materialize(shared_tokens(nodes), "shared"), nodes), "prefix")
     keys = nodes.select("node", "doc_id", "digest")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = materialize(full_sets(docs, materialize(keys.join(wanted, "node", "left_semi"), "wanted")), "sets")
-        return materialize(verified(pairs, sets), "links")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(keys.join(wanted, "node", "left_semi"), "wanted")
+        sets = materialize(full_sets(docs, wanted), "sets")
+        return sets if sets.count() == wanted.count() else materialize(sets.dropDuplicates(["node"]), "sets")  # rows may repeat an id and its text
 
-    found = links(leader_pairs(prefix))
+    pairs = materialize(leader_pairs(prefix), "pairs")
+    found = materialize(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "links")
     groups = materialize(components(found), "groups")
-    found = found.unionByName(links(group_queries(prefix, shared, nodes, groups)))
+    sets = sets_of(contested(prefix, groups))
+    all_tokens = sets.select("node", "tokens", F.size("tokens").cast("long").alias("n")).withColumn("m", F.col("n"))
+    shared = materialize(shared_tokens(all_tokens), "shared")
+    prefix = materialize(prefixes(shared, all_tokens, whole=True), "prefix")
+    pairs = materialize(group_queries(prefix, shared, groups), "pairs")
+    found = found.unionByName(materialize(verified(pairs, sets), "links"))
     comps = components(found)
     whole = (
         rows.select("doc_id", "n", "row", "text_md5").join(spare, "row", "left").withColumn("node", F.coalesce("node", "row"))
