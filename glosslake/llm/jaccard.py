@@ -186,13 +186,16 @@ def prefixes(shared: DataFrame, nodes: DataFrame, whole: bool = False) -> DataFr
     tail: how many of the node's tokens come later in the order (at most);
     own: the share of its emitted tokens that no other node has;
     whole: all tokens are emitted, so that the region is all of the hash range.
+
+    Tokens outside the region are emitted by unsigned hash, so only that orders
+    them: by their counts, a token could come after ones that others don't emit.
     """
     region = F.lit(True) if whole else (F.col("tok") >= 0) & (F.col("tok") < EDGE)
     of = Window.partitionBy("node")
     sized = shared.join(nodes.select("node", "n", "m"), "node")
     ranked = (
         sized.withColumn("inside", F.sum(region.cast("int")).over(of)).withColumn("all", F.count(F.lit(1)).over(of))
-        .withColumn("at", F.row_number().over(of.orderBy(F.when(region, 0).otherwise(1), "df", "tok")))
+        .withColumn("at", F.row_number().over(of.orderBy(F.when(region, 0).otherwise(1), F.when(region, F.col("df")), F.col("tok").bitwiseXOR(F.lit(-(2**63))))))
     )
     k = F.expr("n div 4 + 1")
     lone = F.col("m") - F.col("inside")

@@ -79,6 +79,17 @@ def test_hot_groups(spark):
     assert run(spark, rows) == sorted(brute(rows))
 
 
+def test_short_texts_with_a_word_in_front_or_behind(spark):
+    r = random.Random(3)
+    rows = []
+    for g in range(400):
+        body = [f"g{g}_{k}" for k in range(r.choice([8, 9]))]
+        rows.append((len(rows), " ".join(body)))
+        for i in range(r.choice([2, 3, 5])):
+            rows.append((len(rows), " ".join([f"f{g}_{i}", *body] if r.random() < 0.5 else [*body, f"e{g}_{i}"])))
+    assert run(spark, rows) == sorted(brute(rows))
+
+
 def test_empty_repeated_null_and_extra_columns(spark):
     assert run(spark, []) == []
     rows = [(1, "a b c d e f", "x", 5), (1, "a b c d e f", "y", 6), (None, "a b c d e f", None, None), (None, "q r s t u v", None, None), (4, None, None, None)]
