@@ -4,7 +4,9 @@ Tags are read by one expression; open elements are a stack with the usual
 implied ends (``p`` before a block, list items, table cells).  Only block
 elements that hold text stay in the tree; a leaf is a run of inline text
 between block boundaries, its character references decoded and its white
-space joined.
+space joined.  Elements in ``RAW`` are skipped up to their own closing tag; one
+that is never closed is read as an ordinary element (a script or style ends
+with the page, as in browsers).
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from html import unescape
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+(?:>|\Z)"
-    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""",
+    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|[^>=/]++|/(?!>))*+)(?P<self>/?)>""",
     re.S,
 )
 ATTR = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page; a title is metadata.
 RAW = frozenset("script style title noscript template iframe object svg".split())
+#: Those of them that may hold themselves, and those that end with the page if nothing closes them.
+NESTED, TO_END = frozenset("template object svg".split()), frozenset("script style".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table"
@@ -65,12 +69,41 @@ def _attribute_words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(re.findall(r"[a-z]+", split.lower())))
 
 
+def _closed(html: str, name: str) -> dict[int, int]:
+    """Where each closed element of this name ends, by the end of its opening tag."""
+    opened, ends = [], {}
+    for m in TAG.finditer(html):
+        if (m["name"] or "").lower() != name:
+            continue
+        if not m["close"]:
+            if not (name == "svg" and m["self"]):
+                opened.append(m.end())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def parse(html: str | None) -> Tree:
     full = Tree()
     root = full.add(-1, "root")
     names, nodes = ["root"], [root]  # the open elements; an inline one has its block's node
     parts: list[str] = []
     linked = total = anchors = 0
+    ends: dict[str, dict[int, int]] = {}
+    unclosed: set[str] = set()  # names without a closing tag in the rest of the page
+
+    def skipped(name: str, at: int) -> int | None:
+        """Where the raw element whose opening tag ends at ``at`` ends; None if nothing closes it."""
+        if name in NESTED:
+            if name not in ends:
+                ends[name] = _closed(html, name)
+            return ends[name].get(at)
+        if name not in unclosed:
+            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            if end:
+                return end.end()
+            unclosed.add(name)
+        return len(html) if name in TO_END else None
 
     def flush() -> None:
         nonlocal linked, total
@@ -119,9 +152,11 @@ def parse(html: str | None) -> Tree:
                 flush()
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
+            if name == "svg" and m["self"]:
+                continue
+            if (end := skipped(name, at)) is not None:
+                at = end
+                continue
         if name == "br":
             parts.append(" ")
         if name in NOT_IN_P and "p" in names:

@@ -155,6 +155,22 @@ def test_dom():
         parse(html)
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<p>a</p><svg width='1' /><p>b</p><svg><text>x</text></svg><p>c</p>", "a b c"),
+    ("<p>a</p><svg/><p>b</p>", "a b"),
+    ("<p>a</p><svg><svg></svg><text>x</text></svg><p>b</p>", "a b"),
+    ("<svg><p>a</p><svg><text>x</text></svg><p>b</p>", "a b"),
+    *((f"<p>a</p><{name} id=x><p>b</p><{name}><p>c</p>", "a b c") for name in ("svg", "object", "noscript", "iframe", "template")),
+    *((f"<p>a</p><{name} id=x><b>x</b></{name.upper()}><p>b</p>", "a b") for name in ("svg", "object", "noscript", "iframe", "template", "script", "style", "title")),
+    ("<p>a</p><script>x<p>y", "a"),
+    ("<p title=don't>One it's two</p><p>b</p>", "One it's two b"),
+    ("<p title = 'a>b' x=\"c>d\" it's>One</p>", "One"),
+    ("<p title='a>One</p><p>b</p>", "One b"),
+])
+def test_dom_drops_raw_elements_and_tags_alone(html, want):
+    assert " ".join(t for t in parse(html).text if t) == want
+
+
 def brute_marginals(model, tree):
     """By summing over all labellings."""
     from itertools import product
