@@ -6,7 +6,8 @@ benchmark's windows are looked up for every window of every document; each hit
 fixes a diagonal (document place minus item place), along which the words are
 compared outwards from the hit until mismatches outweigh matches.  The item's
 words that are matched on any diagonal count once; a document is contaminated
-by an item if at least ``MIN_COVER`` of its words, and ``MIN_WORDS``, match.
+by an item if at least ``MIN_COVER`` of its words, and ``MIN_WORDS``, match, or
+if ``RUN_WORDS`` match in one extended segment, whatever their share of the item.
 
 The benchmark goes out in blocks of at most ``BLOCK_CHARS`` characters (all of
 it at once where it is smaller), each applied to all documents, so what is
@@ -36,6 +37,8 @@ from .words import chunks, windows, words_of
 MASKS = ["111111", "1110111", "11011011", "101100110101"]
 MIN_WORDS = 8
 MIN_COVER = 0.5
+#: Words of one segment that are enough in an item of any length.
+RUN_WORDS = 13
 #: Extension ends where the score (match 1, mismatch -1) falls this far below its best.
 DROP = 4
 BLOCK_CHARS = 32_000_000
@@ -90,7 +93,8 @@ class Matcher:
             for low, high, _, same in segments:
                 covered[low:high] |= same
             n = int(covered.sum())
-            if n >= max(MIN_WORDS, MIN_COVER * len(covered)):
+            longest = max(int(same.sum()) for _, _, _, same in segments)
+            if n >= max(MIN_WORDS, MIN_COVER * len(covered)) or longest >= RUN_WORDS:
                 first = min(low + d for low, _, d, _ in segments)
                 last = max(high + d for _, high, d, _ in segments) - 1
                 begin = words.text[words.offsets[text] : words.starts[first]].decode("utf-8", "replace")

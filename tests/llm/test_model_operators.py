@@ -68,6 +68,17 @@ def test_contamination(spark):
     assert decontaminate.contamination(df, bench.limit(0)).count() == 0 and decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_quotes_of_long_items():
+    item = [f"i{k}" for k in range(250)]
+    matcher = decontaminate.Matcher([0], [" ".join(item)])
+    noise = [f"n{k}" for k in range(40)]
+    quotes = [item[60:160], item[:13], [*item[100:107], "x", *item[108:114]], item[:12], item[100:106]]
+    texts = [" ".join([*noise, *q, *noise]) for q in quotes]
+    got = matcher.hits(texts)
+    assert got["text"].tolist() == [0, 1, 2] and got["n_matched"].tolist() == [100, 13, 13]
+    assert [texts[t][a:b].split() for t, a, b in zip(got["text"], got["start"], got["end"], strict=True)] == quotes[:3]
+
+
 def test_leaks_against_search(spark, docs):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     whole = {(d["doc_id"], i) for d in docs.collect() for i, t in zip(bench["item_id"], bench["text"], strict=True) if t in (d["text"] or "")}
