@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table
+from .common import map_batches, table
 from .words import chunks, windows, words_of
 
 MASKS = ["111111", "1110111", "11011011", "101100110101"]
@@ -155,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
                     counts = [pa.array(hit[c].to_numpy(np.int64)) for c in ("n_words", "n_matched", "start", "end")]
                     yield pa.RecordBatch.from_arrays([doc, item, *counts], names=["doc_id", "item_id", "n_words", "n_matched", "start", "end"])
 
-        found.append(docs.select("doc_id", "text").mapInArrow(match, shape))
+        found.append(map_batches(docs.select("doc_id", "text"), match, shape))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], shape)
 
 
@@ -174,7 +174,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int
                     keep[lo + matcher.hits(rows[lo:hi])["text"].to_numpy(np.int64)] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = map_batches(out, clean, docs.schema)
     return out
 
 

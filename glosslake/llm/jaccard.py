@@ -31,7 +31,8 @@ and are their own component; texts of one to four words are one shingle; very
 long texts are used whole; repeated rows are rows of equal sets, in one
 component; a row with a null doc_id links like others, and a component of such
 rows alone has a null id; an empty table gives no rows; other columns are not
-read.
+read.  Tables on the way are written to the shared folder and deleted as soon
+as nothing reads them.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, materialize, table
+from .common import broadcast_if_small, discard, map_batches, materialize, table
 from .components import components
 from .words import chunks, mixed, windows, words_of
 
@@ -84,7 +85,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), m (tokens in the region), digest, tokens (the region's, or a prefix if that is longer), text_md5 (without a doc_id)."""
+    """doc_id, n (set size), m (tokens in the region), digest, tokens (the region's, or a prefix if that is longer), text_md5."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,15 +95,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 size = [len(s) for s in sets]
                 region = [int(np.searchsorted(s, np.uint64(EDGE))) for s in sets]
                 first = [s[: max(m, n // 4 + 1)] for s, m, n in zip(sets, region, size, strict=True)]
-                ids = batch.column("doc_id").slice(lo, hi - lo)
-                names = [None if known else md5((t or "").encode()).hexdigest() for t, known in zip(texts[lo:hi], ids.is_valid().to_pylist(), strict=True)]
+                names = [md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts[lo:hi]]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size, pa.int64()), pa.array(region, pa.int64()), pa.array(map(_digest, sets), pa.binary()), _lists(first), pa.array(names, pa.string())],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(region, pa.int64()), pa.array(map(_digest, sets), pa.binary()), _lists(first), pa.array(names, pa.binary())],
                     names=["doc_id", "n", "m", "digest", "tokens", "text_md5"],
                 )
 
-    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, m long, digest binary, tokens array<long>, text_md5 string"
-    return docs.select("doc_id", "text").mapInArrow(sketch, shape)
+    shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, m long, digest binary, tokens array<long>, text_md5 binary"
+    return map_batches(docs.select("doc_id", "text"), sketch, shape)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -117,9 +117,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), _lists(sets), maps], names=["digest", "tokens", "bits"])
 
     n = wanted.count()
-    ids = broadcast_if_small(wanted.select(F.col("doc_id").alias("_id")).distinct(), n)
+    ids = broadcast_if_small(wanted.select(F.col("doc_id").alias("_id")), n)
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(whole, "digest binary, tokens array<long>, bits binary")
+    sets = map_batches(texts, whole, "digest binary, tokens array<long>, bits binary")
     return sets.join(broadcast_if_small(wanted.select("digest", "node"), n), "digest").select("node", "tokens", "bits")
 
 
@@ -149,11 +149,11 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     side = lambda x, bits: sets.select(F.col("node").alias(x), F.col("bits").alias(bits), F.size("tokens").cast("long").alias(f"n{x}"))
     both = pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
-    return both.select("a", "b", "left", "right", "na", "nb").mapInArrow(check, "a long, b long")
+    return map_batches(both.select("a", "b", "left", "right", "na", "nb"), check, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link; a written table."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = materialize(possible(pairs, sets), "possible")
     own = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     both = own.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    out = materialize(map_batches(both.select("a", "b", "left", "right"), check, "a long, b long"), "links")
+    discard(left)
+    return out
 
 
 def near(n: str | Column, other: str | Column) -> Column:
@@ -173,11 +175,13 @@ def near(n: str | Column, other: str | Column) -> Column:
 
 
 def shared_tokens(nodes: DataFrame) -> DataFrame:
-    """node, tok, df of every emitted token that two nodes or more have."""
+    """node, tok, df of every emitted token that two nodes or more have; a written table."""
     each = nodes.select("node", F.explode("tokens").alias("tok"))
     # Written first: the join's sides are plain shuffles then, and a token that very many nodes share can be split.
     df = materialize(each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
-    return each.join(df, "tok").select("node", "tok", "df")
+    out = materialize(each.join(df, "tok").select("node", "tok", "df"), "shared")
+    discard(df)
+    return out
 
 
 def prefixes(shared: DataFrame, nodes: DataFrame, whole: bool = False) -> DataFrame:
@@ -225,35 +229,40 @@ def with_group(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def contested(prefix: DataFrame, groups: DataFrame) -> DataFrame:
-    """The nodes that may link to a node of another group: those share a prefix token, and their sizes and tails allow it."""
+    """The nodes that may link to a node of another group: those share a prefix token, and their sizes and tails allow it; a written table."""
     grouped = materialize(with_group(prefix.select("node", "tok", "n", "tail"), groups), "grouped")
     open_ = (
         grouped.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("longest"))
         .where("lo <> hi").drop("lo", "hi")
     )
     # Written first, like the matrix: a hot token's rows can be split in the join.
-    rest = grouped.join(materialize(open_, "open"), "tok").where("4 * n >= 3 * least and 4 * most >= 3 * n")
-    return rest.where(reachable("n", "tail", "least", "longest")).select("node").distinct()
+    open_ = materialize(open_, "open")
+    rest = grouped.join(open_, "tok").where("4 * n >= 3 * least and 4 * most >= 3 * n")
+    out = materialize(rest.where(reachable("n", "tail", "least", "longest")).select("node").distinct(), "contested")
+    discard(grouped, open_)
+    return out
 
 
 def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs that the token-group matrix can't rule out: nodes of different groups that share a prefix token.
+    """The pairs that the token-group matrix can't rule out: nodes of different groups that share a prefix token; a written table.
 
     prefix and shared are over all tokens of the contested nodes.
     """
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     grouped = with_group(prefix.select("node", "tok", "n", "tail"), groups).join(size, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     grouped = materialize(grouped, "sized")
-    matrix = (
+    matrix = materialize(
         grouped.groupBy("tok", F.col("comp").alias("g"), F.col("size").alias("gs"))
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("longest"))
+        .agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("longest")),
+        "matrix",
     )
     asked = (
-        grouped.select(F.col("node").alias("q"), "tok", "n", "tail", "comp", "size").join(materialize(matrix, "matrix"), "tok")
+        grouped.select(F.col("node").alias("q"), "tok", "n", "tail", "comp", "size").join(matrix, "tok")
         .where("(size < gs or (size = gs and comp < g)) and 4 * n >= 3 * least and 4 * most >= 3 * n").where(reachable("n", "tail", "least", "longest"))
         .groupBy("q", "g", "n").agg(F.min("least").alias("least"))
     )
     asked = materialize(asked, "asked")
+    discard(matrix)
     # The unions of the groups that are asked, over all shared tokens.
     own = with_group(shared.select("node", "tok"), groups)
     union = own.join(asked.select(F.col("g").alias("comp")).distinct(), "comp", "left_semi").select(F.col("comp").alias("g"), "tok").distinct()
@@ -265,61 +274,89 @@ def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame) -> Da
     ask = passed.join(grouped.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq"), F.col("tail").alias("tq")), "q")
     members = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
     pairs = ask.join(members, ["g", "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
-    return pairs.select(F.col("q").alias("a"), "b").distinct()
+    out = materialize(pairs.select(F.col("q").alias("a"), "b").distinct(), "pairs")
+    discard(grouped, asked, passed)
+    return out
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs; text_md5 names rows without a doc_id."""
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), comp and text_md5 of every row of docs; comp is the same long for linked rows; a written table."""
     rows = materialize(sketches(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = rows.where("n > 0")
     copies = some.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "node")
     copies = materialize(copies, "first")  # a digest that very many rows have can be split in the join
     spare = materialize(some.select("row", "digest").join(copies, "digest").where("row <> node").select("row", "node"), "copies")
+    discard(copies)
     nodes = some.withColumnRenamed("row", "node").join(broadcast_if_small(spare.select(F.col("row").alias("node"))), "node", "left_anti")
-    prefix = materialize(prefixes(materialize(shared_tokens(nodes), "shared"), nodes), "prefix")
+    shared = shared_tokens(nodes)
+    prefix = materialize(prefixes(shared, nodes), "prefix")
+    discard(shared)
     keys = nodes.select("node", "doc_id", "digest")
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        wanted = materialize(keys.join(wanted, "node", "left_semi"), "wanted")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = materialize(keys.join(nodes, "node", "left_semi"), "wanted")
         sets = materialize(full_sets(docs, wanted), "sets")
-        return sets if sets.count() == wanted.count() else materialize(sets.dropDuplicates(["node"]), "sets")  # rows may repeat an id and its text
+        if sets.count() != wanted.count():  # rows may repeat an id and its text
+            again, sets = sets, materialize(sets.dropDuplicates(["node"]), "sets")
+            discard(again)
+        discard(wanted)
+        return sets
 
     pairs = materialize(leader_pairs(prefix), "pairs")
-    found = materialize(verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "links")
-    groups = materialize(components(found), "groups")
-    sets = sets_of(contested(prefix, groups))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    found = verified(pairs, sets)
+    discard(pairs, sets)
+    groups = components(found)
+    open_ = contested(prefix, groups)
+    discard(prefix)
+    sets = sets_of(open_)
     all_tokens = sets.select("node", "tokens", F.size("tokens").cast("long").alias("n")).withColumn("m", F.col("n"))
-    shared = materialize(shared_tokens(all_tokens), "shared")
+    shared = shared_tokens(all_tokens)
     prefix = materialize(prefixes(shared, all_tokens, whole=True), "prefix")
-    pairs = materialize(group_queries(prefix, shared, groups), "pairs")
-    found = found.unionByName(materialize(verified(pairs, sets), "links"))
-    comps = components(found)
+    pairs = group_queries(prefix, shared, groups)
+    more = verified(pairs, sets)
+    comps = components(found.unionByName(more))
+    discard(open_, shared, prefix, pairs, sets, groups, found, more)
     whole = (
         rows.select("doc_id", "n", "row", "text_md5").join(spare, "row", "left").withColumn("node", F.coalesce("node", "row"))
-        .join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        .join(broadcast_if_small(comps), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"), "text_md5")
     )
-    ids = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = whole.join(ids, "comp")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "text_md5")
+    out = materialize(whole, "classes")
+    discard(rows, spare, comps)
+    return out
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and text_md5 of every row of docs."""
+    whole = classes(docs)
+    # Written first, and of groups alone: a group that very many rows belong to can be split in the join.
+    ids = whole.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    out = whole.join(broadcast_if_small(materialize(ids, "ids")), "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_md5")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one of the smallest doc_id; texts without words stay.
+    """docs with one document of each component; texts without words stay.
 
-    Rows that repeat a doc_id and its text count as one document, and one of
-    them stays; a row with a null doc_id goes if its component has an id.
+    The one that stays has the smallest doc_id, and the least MD5 of its text
+    among rows without one.  A document is a doc_id with its text: rows that
+    repeat both count as one, and one of them stays; different texts of one
+    doc_id are different documents.
     """
-    found = materialize(jaccard_components(docs), "found")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_id"), "left_anti")
-    nameless = materialize(found.where("doc_id is null and component_id is not null").select(F.col("text_md5").alias("_md5")).distinct(), "nameless")
-    if n := nameless.count():
-        same = F.col("doc_id").isNull() & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_md5"))
-        left = left.join(broadcast_if_small(nameless, n), same, "left_anti")
-    again = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"), "again")
+    whole = classes(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))) == F.col("_md5"))
+    named = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("first")
+    kept = materialize(whole.groupBy("comp").agg(first, F.count(F.lit(1)).alias("rows")).where("rows > 1").select("comp", "first.doc_id", "first.text_md5"), "kept")
+    other = ~(F.col("w.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("w.text_md5") == F.col("k.text_md5")))
+    gone = whole.alias("w").join(broadcast_if_small(kept).alias("k"), "comp").where(other).select("w.doc_id", "w.text_md5")
+    gone = materialize(named(gone.distinct()), "gone")
+    left = docs.join(broadcast_if_small(gone), same, "left_anti")
+    again = whole.groupBy("doc_id", "text_md5").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = materialize(named(again), "again")
+    discard(whole, kept)
     if n := again.count():
-        again, same = broadcast_if_small(again, n), F.col("doc_id").eqNullSafe(F.col("_id"))
+        again = broadcast_if_small(again, n)
         left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return left
 

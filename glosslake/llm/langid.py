@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 from .words import chunks
 
 BITS = 15
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     rows = docs.select(*keep, F.col("text").alias("_text"))
     shape = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
     names = shape.fieldNames()
-    return rows.mapInArrow(score, shape)
+    return map_batches(rows, score, shape)
 
 
 def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
@@ -178,7 +178,7 @@ def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCOR
                     stays += [any(map(str.isalpha, t or "")) for t in texts[lo:hi]]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

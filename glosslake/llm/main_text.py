@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 from .dom import Tree, parse
 from .words import chunks
 
@@ -306,7 +306,7 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
                 )
 
     shape = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_blocks long"
-    return pages.select("page_id", "url", "html").mapInArrow(read, shape)
+    return map_batches(pages.select("page_id", "url", "html"), read, shape)
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import global_rank, materialize, table
+from .common import global_rank, map_batches, materialize, table
 from .words import chunks
 
 CAPACITY = 2048
@@ -51,11 +51,19 @@ class Encoder:
     works inside of words, so a text's ids are its words' ids in a row.  A
     full stop or comma between letters, digits or white space is a pre-token of
     its own, and letters are lower-cased anyway, so both are done first: fewer
-    different words are left.  Texts for which that might not hold (special
-    tokens' strings, separators that are white space to Python only, a capital
-    sigma, other marks beside a stop) take the plainer way.
+    different words are left.  Texts for which that might not hold take the
+    plainer way: special tokens' strings, other marks beside a stop, and
+    characters outside of ``_PLAIN``.  Those ranges hold no separator that is
+    white space to Python only, no mark that composes with a letter before it,
+    and no capital whose small letter depends on its place or is two characters
+    (capital sigma, I with a dot).
     """
 
+    _PLAIN = (
+        r"\t-\r\x20-\u012f\u0131-\u024f\u0391-\u03a1\u03a4-\u03ce\u0400-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
+        r"\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+    )
+    _OTHER = re.compile(f"[^{_PLAIN}]")
     _BESIDE = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))")
 
     def __init__(self, path: str):
@@ -88,12 +96,11 @@ class Encoder:
         self.known.update(zip(other, map(self._bytes, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
 
     def _words(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if any(s in text for s in self.special) or self._OTHER.search(text):
             return None
-        if "\u03a3" not in text:
-            text = text.lower()
-            if not self._BESIDE.search(text):
-                text = text.replace(".", " . ").replace(",", " , ")
+        text = text.lower()
+        if not self._BESIDE.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
         return text.split()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
@@ -145,7 +152,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             columns = [doc, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, shape)
+    return map_batches(docs.select("doc_id", "text"), cut, shape)
 
 
 # The plan: (filling, times); a filling is a tuple of lengths, longest first.
