@@ -54,6 +54,8 @@ SHINGLE = 5
 #: Share of the hash range whose tokens are counted; more than the quarter that a prefix needs.
 REGION = 0.3
 EDGE = int(REGION * 2**64)
+#: Tokens of a part of a group's union, about.
+UNION_PART = 1024
 #: Bits of a set's bitmap; sets of far more tokens fill it and are compared in full.
 BITMAP = 2048
 
@@ -243,10 +245,33 @@ def contested(prefix: DataFrame, groups: DataFrame) -> DataFrame:
     return out
 
 
-def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame) -> DataFrame:
+def overlaps(asked: DataFrame, shared: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """q, g, inside of the asked pairs: how many tokens of q are in the union of g's sets.
+
+    A union is cut by token into parts of about ``UNION_PART`` tokens, and a
+    query's tokens are cut alike, so a pair takes a row for each part and not
+    one for each token, and no row grows with a group.
+    """
+    own = with_group(shared.select("node", "tok"), groups).select(F.col("comp").alias("g"), "tok")
+    union = materialize(own.join(asked.select("g").distinct(), "g", "left_semi").distinct(), "union")
+    counts = materialize(union.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / UNION_PART).alias("parts")), "counts")
+    part = lambda tok: F.pmod(tok, F.col("parts"))
+    theirs = union.join(broadcast_if_small(counts), "g").groupBy("g", part(F.col("tok")).alias("part")).agg(F.collect_list("tok").alias("theirs"))
+    theirs = materialize(theirs, "parts")
+    ask = asked.select("q", "g").join(broadcast_if_small(counts), "g").join(sets.select(F.col("node").alias("q"), "tokens"), "q")
+    mine = ask.withColumn("part", F.explode(F.array_distinct(F.transform("tokens", part)))).select(
+        "q", "g", "part", F.when(F.col("parts") == 1, F.col("tokens")).otherwise(F.filter("tokens", lambda t: part(t) == F.col("part"))).alias("mine")
+    )
+    both = mine.join(theirs, ["g", "part"]).select("q", "g", F.size(F.array_intersect("mine", "theirs")).alias("n"))
+    out = materialize(both.groupBy("q", "g").agg(F.sum("n").alias("inside")), "inside")
+    discard(union, counts, theirs)
+    return out
+
+
+def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that the token-group matrix can't rule out: nodes of different groups that share a prefix token; a written table.
 
-    prefix and shared are over all tokens of the contested nodes.
+    prefix and shared are over all tokens of the contested nodes, whose sets are in ``sets``.
     """
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     grouped = with_group(prefix.select("node", "tok", "n", "tail"), groups).join(size, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1)))
@@ -263,19 +288,13 @@ def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame) -> Da
     )
     asked = materialize(asked, "asked")
     discard(matrix)
-    # The unions of the groups that are asked, over all shared tokens.
-    own = with_group(shared.select("node", "tok"), groups)
-    union = own.join(asked.select(F.col("g").alias("comp")).distinct(), "comp", "left_semi").select(F.col("comp").alias("g"), "tok").distinct()
-    inside = (
-        asked.select("q", "g").join(shared.select(F.col("node").alias("q"), "tok"), "q").join(union, ["g", "tok"])
-        .groupBy("q", "g").agg(F.count(F.lit(1)).alias("inside"))
-    )
+    inside = overlaps(asked, shared, groups, sets)
     passed = materialize(asked.join(inside, ["q", "g"]).where("4 * inside >= 3 * n and 7 * inside >= 3 * (n + least)").select("q", "g"), "passed")
     ask = passed.join(grouped.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq"), F.col("tail").alias("tq")), "q")
     members = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
     pairs = ask.join(members, ["g", "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
     out = materialize(pairs.select(F.col("q").alias("a"), "b").distinct(), "pairs")
-    discard(grouped, asked, passed)
+    discard(grouped, asked, inside, passed)
     return out
 
 
@@ -313,7 +332,7 @@ def classes(docs: DataFrame) -> DataFrame:
     all_tokens = sets.select("node", "tokens", F.size("tokens").cast("long").alias("n")).withColumn("m", F.col("n"))
     shared = shared_tokens(all_tokens)
     prefix = materialize(prefixes(shared, all_tokens, whole=True), "prefix")
-    pairs = group_queries(prefix, shared, groups)
+    pairs = group_queries(prefix, shared, groups, sets)
     more = verified(pairs, sets)
     comps = components(found.unionByName(more))
     discard(open_, shared, prefix, pairs, sets, groups, found, more)
