@@ -1,107 +1,149 @@
-"""Substring dedup by line hashing.
-
-Every document is cut into units (lines); a unit is normalised (ASCII lower
-case, white space runs to one space, trimmed), its digest is grouped globally
-and the occurrence with the smallest (doc_id, unit) is kept.  Later occurrences
-are removed where they form a run of neighbouring repeated units of at least
-``min_words`` words, so that a passage that spans lines is found whole and a
-short common line in a clean document stays.  Removed units keep their offsets
-in the original text (code points, end exclusive).
-
-The digest's occurrence counts are pre-aggregated (a minimum), never collected;
-only digests that occur twice or more are joined back.
-
-Defined cases: null or empty text has no units; blank units are never removed
-and don't break a run; repeated rows of a document are documents of equal rank,
-so the one that the tie-break by text position can't tell apart stays as well;
-a null doc_id ranks last; an empty table gives no rows.
+"""Substring dedup by hashing parts of lines.
+
+Every document is cut into units: a unit ends at a line feed, and inside a line
+after a word whose last character is one of ``. ! ? , ; :``, because repeated
+passages begin and end inside of lines.  A unit is normalised (ASCII lower
+case, white space runs to one space, trimmed), its 128-bit digest is grouped
+globally and the earliest occurrence is kept.  Later occurrences are removed
+where they form a run of neighbouring repeated units of at least ``min_words``
+words: 1 removes every one, a greater value leaves short common phrases of
+clean documents.  Removed units keep their offsets in the original text (code
+points, end exclusive).
+
+The digests' first occurrences are pre-aggregated (a minimum), never collected;
+only digests that occur twice or more are joined back, and only repeats go on
+to the step that finds runs.
+
+Defined cases: null, empty and blank texts have no units; white space between
+units belongs to none; the earliest occurrence has the smallest doc_id, then
+the first place in the order of reading, so of repeated rows, and of rows
+without a doc_id (which rank last), exactly one keeps a unit; very long texts
+are cut whole; an empty table gives no rows; other columns are not read.
+
+``row`` numbers the rows in the order of reading.  The table is read twice, so
+``docs`` must be read alike each time, as files are; write the result of a
+shuffle first (``common.materialize``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, table
-
-MIN_WORDS = 50
-SPACES = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def normalised(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), SPACES, " "))
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, unit (index), n_chars, n_words, digest (null: blank) of every line."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.split("text", "\n", -1).alias("_lines"))
-    lines = rows.select("_row", "doc_id", F.posexplode("_lines").alias("unit", "_line"))
-    norm = lines.select("_row", "doc_id", "unit", F.length("_line").alias("n_chars"), normalised(F.col("_line")).alias("_norm"))
-    blank = F.col("_norm") == ""
-    return norm.select(
-        "_row", "doc_id", "unit", "n_chars",
-        F.when(blank, 0).otherwise(F.length("_norm") - F.length(F.replace("_norm", F.lit(" "), F.lit(""))) + 1).alias("n_words"),
-        F.when(~blank, F.md5(F.col("_norm").cast("binary"))).alias("digest"),
+from .common import map_batches, materialize, table
+from .words import chunks, mixed, words_of
+
+#: Words of a run of repeated units from which the query reports it.
+PASSAGE_WORDS = 30
+_ENDS = np.zeros(256, bool)
+_ENDS[np.frombuffer(b".!?,;:", np.uint8)] = True
+_BASES = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
+
+
+def cut(texts: list[str | None]) -> dict[str, np.ndarray]:
+    """text (index), unit, start, end (code points), n_words, d1 and d2 of every unit, text by text."""
+    words = words_of(texts)
+    n = len(words.starts)
+    if not n:
+        return {c: np.zeros(0, np.int64) for c in ("text", "unit", "start", "end", "n_words", "d1", "d2")}
+    raw = np.frombuffer(words.text, np.uint8)
+    feeds = np.concatenate(([0], np.cumsum(raw == 10)))  # each text ends with one
+    last = _ENDS[raw[words.ends - 1]]
+    last[:-1] |= feeds[words.starts[1:]] > feeds[words.ends[:-1]]
+    last[-1] = True
+    final = np.flatnonzero(last)
+    first = np.concatenate(([0], final[:-1] + 1))
+    size = final - first + 1
+    power = [np.cumprod(np.full(int(size.max()) + 1, b)) for b in _BASES]
+    at = np.arange(n) - np.repeat(first, size)
+    digests = [mixed(np.add.reduceat(words.hashes * p[at], first) + size.astype(np.uint64)).view(np.int64) for p in power]
+    point = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))  # code points before a byte
+    text = np.searchsorted(words.first, first, side="right") - 1
+    unit = np.arange(len(first)) - np.searchsorted(text, text)
+    origin = point[words.offsets[text]]
+    return {
+        "text": text, "unit": unit, "start": point[words.starts[first]] - origin, "end": point[words.ends[final]] - origin,
+        "n_words": size, "d1": digests[0], "d2": digests[1],
+    }
+
+
+def units(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row, doc_id, unit, d1, d2 and the columns ``keep`` (of start, end, n_words) of every unit."""
+    kinds = {"unit": pa.int32(), "start": pa.int32(), "end": pa.int32(), "n_words": pa.int32(), "d1": pa.int64(), "d2": pa.int64()}
+    names = ["unit", "d1", "d2", *keep]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in chunks(texts):
+                found = cut(texts[lo:hi])
+                of = pa.array(found["text"] + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").take(of), batch.column("doc_id").take(of), *(pa.array(found[c], kinds[c]) for c in names)],
+                    names=["row", "doc_id", *names],
+                )
+
+    shape = ", ".join(f"{c} {'long' if kinds[c] == pa.int64() else 'int'}" for c in names)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return map_batches(rows, read, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {shape}")
+
+
+def repeated_units(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """One row for each removed unit: row, doc_id, where it is, its run, and which occurrence stays."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "unit")
+    first = units(docs, []).groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # A table of its own: the join's two sides are then plain shuffles, and a digest that very many units share can be split.
+    first = materialize(first, "first")
+    repeats = units(docs, ["start", "end", "n_words"]).join(first, ["d1", "d2"]).where(F.col("first") != rank)
+    by = Window.partitionBy("row")
+    runs = repeats.withColumn("run", F.col("unit") - F.row_number().over(by.orderBy("unit")))
+    long = runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run"))).where(F.col("run_words") >= min_words)
+    return long.select(
+        "row", "doc_id", *(F.col(c).cast("long").alias(c) for c in ("unit", "start", "end", "n_words", "run", "run_words")),
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").cast("long").alias("first_unit"),
     )
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each removed unit: where it is, and which occurrence stays."""
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("unit").alias("unit"))
-    each = units(docs)
-    first = (
-        each.where("digest is not null").groupBy("digest")
-        .agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    )
-    # A table of its own: the join's two sides are then plain shuffles, and a digest that very many lines share can be split.
-    first = materialize(first, "first")
-    flagged = each.join(first, "digest", "left").withColumn("repeat", F.coalesce(F.col("first") != rank, F.lit(False)))
-    by_doc = Window.partitionBy("_row").orderBy("unit")
-    solid = F.col("digest").isNotNull() & ~F.col("repeat")  # ends a run
-    runs = (
-        flagged.withColumn("start", F.sum(F.col("n_chars") + 1).over(by_doc) - F.col("n_chars") - 1)
-        .withColumn("run", F.sum(solid.cast("int")).over(by_doc))
-        .withColumn("run_words", F.sum(F.when(F.col("repeat"), F.col("n_words")).otherwise(0)).over(Window.partitionBy("_row", "run")))
-    )
-    return runs.where(F.col("repeat") & (F.col("run_words") >= min_words)).select(
-        "doc_id", F.col("unit").cast("long").alias("unit"), F.col("start").cast("long").alias("start"),
-        (F.col("start") + F.col("n_chars")).cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"),
-        F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").cast("long").alias("first_unit"), "digest",
-    )
+def without_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """docs with ``text`` cut at the repeated units; white space behind a cut run goes with it."""
+    runs = repeated_units(docs, min_words).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("row", "_row")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
+    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
+    kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda z, i: F.when(i == 0, _piece(z)).otherwise(F.regexp_replace(_piece(z), r"^[\x20\x09-\x0D]+", "")))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(spans, "_row", "left")
+    return rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))).select(*docs.columns)
 
 
-def removed_text(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs with ``text`` cut at the removed units; kept units stay joined by line feeds."""
-    drop = removed.groupBy("doc_id").agg(F.collect_set("unit").alias("_drop"))
-    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("_drop", F.array().cast("array<long>")), i.cast("long")))
-    return docs.join(drop, "doc_id", "left").withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(lines, "\n"))).drop("_drop")
+def _piece(z):
+    return F.substring(F.col("text"), z["a"].cast("int") + 1, (z["b"] - z["a"]).cast("int"))
 
 
 def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"))
-
-
-OP10_SQL = f"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-  FROM documents WHERE text IS NOT NULL),
-norm AS (
-  SELECT doc_id, unit, length(line) AS n_chars,
-    trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM lines),
-each AS (
-  SELECT doc_id, unit, n_chars, CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END AS n_words,
-    CASE WHEN norm <> '' THEN md5(norm) END AS digest FROM norm),
+    return repeated_units(table(spark, sf_dir, "documents"), PASSAGE_WORDS).drop("row", "run")
+
+
+_S = r"\x20\x09-\x0D"
+_UNIT = rf"[.!?,;:](?:[{_S}]|\z)|[^{_S}](?s:.*?)(?:[.!?,;:](?:[{_S}]|\z)|\n|\z)"
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
+x AS (SELECT r, doc_id, regexp_extract_all(text, '{_UNIT}') AS ms, string_split_regex(text, '{_UNIT}') AS gs FROM d),
+u AS (SELECT r, doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS unit FROM x),
+n AS (
+  SELECT r, doc_id, unit, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY unit) - length(m) AS start,
+    regexp_replace(m, '[{_S}]+\z', '') AS shown,
+    regexp_replace(translate(regexp_replace(m, '[{_S}]+\z', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{_S}]+', ' ', 'g') AS norm FROM u),
 seen AS (
-  SELECT *, digest IS NOT NULL AND row_number() OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST, unit) > 1 AS repeat,
-    first_value(doc_id) OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST, unit) AS first_doc_id,
-    first_value(unit) OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST, unit) AS first_unit,
-    sum(n_chars + 1) OVER (PARTITION BY doc_id ORDER BY unit) - n_chars - 1 AS start FROM each),
-runs AS (
-  SELECT *, sum(CASE WHEN digest IS NOT NULL AND NOT repeat THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM seen),
-long AS (SELECT *, sum(CASE WHEN repeat THEN n_words ELSE 0 END) OVER (PARTITION BY doc_id, run) AS run_words FROM runs)
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, CAST(start AS BIGINT) AS "start", CAST(start + n_chars AS BIGINT) AS "end",
-  CAST(n_words AS BIGINT) AS n_words, first_doc_id, CAST(first_unit AS BIGINT) AS first_unit, digest
-FROM long WHERE repeat AND run_words >= {MIN_WORDS}
+  SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n_words, row_number() OVER w AS place, first_value(doc_id) OVER w AS first_doc_id,
+    first_value(unit) OVER w AS first_unit FROM n WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, r, unit)),
+runs AS (SELECT *, unit - row_number() OVER (PARTITION BY r ORDER BY unit) AS run FROM seen WHERE place > 1),
+long AS (SELECT *, sum(n_words) OVER (PARTITION BY r, run) AS run_words FROM runs)
+SELECT doc_id, CAST(unit AS BIGINT) AS unit, CAST(start AS BIGINT) AS "start", CAST(start + length(shown) AS BIGINT) AS "end",
+  CAST(n_words AS BIGINT) AS n_words, CAST(run_words AS BIGINT) AS run_words, first_doc_id, CAST(first_unit AS BIGINT) AS first_unit
+FROM long WHERE run_words >= {PASSAGE_WORDS}
 """
