@@ -1,6 +1,6 @@
 """HTML to a pruned tree of block elements with text leaves, without a browser.
 
-Tags are read by one expression; open elements are a stack with the usual
+Tags are read by a scanner that doesn't go back; open elements are a stack with the usual
 implied ends (``p`` before a block, list items, table cells).  Only block
 elements that hold text stay in the tree; a leaf is a run of inline text
 between block boundaries, its character references decoded and its white
@@ -12,14 +12,14 @@ with the page, as in browsers).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
+from typing import NamedTuple
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+(?:>|\Z)"
-    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|[^>=/]++|/(?!>))*+)(?P<self>/?)>""",
-    re.S,
-)
+START = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|[!?]|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+))")
+#: What a tag's end is looked for by: the end, or a value and how it begins.
+STOP = re.compile(r""">|=\s*+(?:(["'])|[^\s>"'][^\s>]*+)""")
 ATTR = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page; a title is metadata.
@@ -69,17 +69,74 @@ def _attribute_words(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(re.findall(r"[a-z]+", split.lower())))
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int
+    name: str | None = None  # none: a comment or declaration
+    close: bool = False
+    attrs: str = ""
+    self_closed: bool = False
+
+
+class Scanner:
+    """Finds tags from left to right; nothing is looked at more than a few times, whatever the page.
+
+    A quote delimits a value only behind ``=`` and only if the page has another
+    one further on; else it is a character, and the tag ends at the next ``>``.
+    Once a tag has run to the page's end in search of its own, quotes mean
+    nothing any more.  Without a ``>`` ahead, ``<`` is text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.quotes = html, True
+        self.last = {s: html.rfind(s) for s in (">", '"', "'", "-->", "]]>")}
+
+    def next(self, at: int) -> Tag | None:
+        html = self.html
+        while m := START.search(html, at):
+            at = m.end()
+            if m["comment"]:
+                end = html.find("-->", at) + 3 if self.last["-->"] >= at else len(html)
+                return Tag(m.start(), end)
+            if m["cdata"] and self.last["]]>"] >= at:
+                return Tag(m.start(), html.find("]]>", at) + 3)
+            if not m["name"]:
+                end = html.find(">", at) + 1 if self.last[">"] >= at else len(html)
+                return Tag(m.start(), end)
+            end = self._end(at)
+            if end:
+                return Tag(m.start(), end, m["name"].lower(), bool(m["close"]), html[at : end - 1], html[end - 2] == "/")
+        return None
+
+    def _end(self, at: int) -> int:
+        """Behind the tag whose name ends at ``at``; 0 if the page has no end for it."""
+        if self.last[">"] < at:
+            return 0
+        if not self.quotes:
+            return self.html.find(">", at) + 1
+        i = at
+        while m := STOP.search(self.html, i):
+            i = m.end()
+            if m.group() == ">":
+                return i
+            if m[1] and self.last[m[1]] >= i:
+                i = self.html.find(m[1], i) + 1
+        self.quotes = False
+        return self.html.find(">", at) + 1
+
+
 def _closed(html: str, name: str) -> dict[int, int]:
     """Where each closed element of this name ends, by the end of its opening tag."""
-    opened, ends = [], {}
-    for m in TAG.finditer(html):
-        if (m["name"] or "").lower() != name:
+    opened, ends, scanner, at = [], {}, Scanner(html), 0
+    while tag := scanner.next(at):
+        at = tag.end
+        if tag.name != name:
             continue
-        if not m["close"]:
-            if not (name == "svg" and m["self"]):
-                opened.append(m.end())
+        if not tag.close:
+            if not (name == "svg" and tag.self_closed):
+                opened.append(at)
         elif opened:
-            ends[opened.pop()] = m.end()
+            ends[opened.pop()] = at
     return ends
 
 
@@ -87,6 +144,7 @@ def parse(html: str | None) -> Tree:
     full = Tree()
     root = full.add(-1, "root")
     names, nodes = ["root"], [root]  # the open elements; an inline one has its block's node
+    open_ = Counter(names)
     parts: list[str] = []
     linked = total = anchors = 0
     ends: dict[str, dict[int, int]] = {}
@@ -119,9 +177,12 @@ def parse(html: str | None) -> Tree:
         if any(n in BLOCK for n in names[depth:]):
             flush()
         anchors -= names[depth:].count("a")
+        open_.subtract(names[depth:])
         del names[depth:], nodes[depth:]
 
     def close(of: set | frozenset, until: set | frozenset) -> None:
+        if not any(open_[n] for n in of):
+            return
         for d in range(len(names) - 1, 0, -1):
             if names[d] in of:
                 pop_to(d)
@@ -130,36 +191,37 @@ def parse(html: str | None) -> Tree:
                 return
 
     html = html or ""
-    at = 0
+    scanner, at = Scanner(html), 0
     while at < len(html):
-        m = TAG.search(html, at)
-        stop = m.start() if m else len(html)
+        tag = scanner.next(at)
+        stop = tag.start if tag else len(html)
         if stop > at:
             parts.append(html[at:stop])
             total += stop - at
             linked += (stop - at) * (anchors > 0)
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = m["name"]
+        at, name = tag.end, tag.name
         if not name:
             continue
-        name = name.lower()
-        if m["close"]:
-            if name in names:
-                pop_to(len(names) - 1 - names[::-1].index(name))
+        if tag.close:
+            if open_[name] > 0:
+                depth = len(names) - 1
+                while names[depth] != name:
+                    depth -= 1
+                pop_to(depth)
             elif name in BLOCK:
                 flush()
             continue
         if name in RAW:
-            if name == "svg" and m["self"]:
+            if name == "svg" and tag.self_closed:
                 continue
             if (end := skipped(name, at)) is not None:
                 at = end
                 continue
         if name == "br":
             parts.append(" ")
-        if name in NOT_IN_P and "p" in names:
+        if name in NOT_IN_P:
             close({"p"}, P_SCOPE)
         if name in ENDS:
             close(*ENDS[name])
@@ -169,7 +231,8 @@ def parse(html: str | None) -> Tree:
             continue
         anchors += name == "a"
         names.append(name)
-        nodes.append(full.add(nodes[-1], name, _attribute_words(m["attrs"])) if name in BLOCK else nodes[-1])
+        open_[name] += 1
+        nodes.append(full.add(nodes[-1], name, _attribute_words(tag.attrs)) if name in BLOCK else nodes[-1])
     flush()
     return _pruned(full)
 
