@@ -1,14 +1,15 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 A text's letters are lower-cased, every run of other characters becomes one
-space, and n-grams of one to three characters are hashed into ``2 ** BITS``
-columns.  Counts are summed by Spark over a bounded sample of labelled rows;
+space, and n-grams of one to three characters are hashed into columns: 32,768
+of them, or as many fewer (a power of two) as keep languages x columns within
+``MATRIX`` values, so that what is broadcast has a bound.  Counts are summed by Spark over a bounded sample of labelled rows;
 the matrix of log-probabilities (languages x columns) is broadcast, and whole
 texts are scored batch by batch in numpy: the non-zero features only.
 
 The sample: of each language, every training row if there are at most
 ``DOCS_PER_LANG``, else rows by a hash of the doc_id so that about that many
-are expected.  Languages: at most ``MAX_LANGS``, checked.
+are expected.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; so
 is every text where no labelled row exists.  Rows with a null lang or doc_id
@@ -23,21 +24,22 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import discard, map_batches, materialize, table
 from .words import chunks
 
-BITS = 15
+#: Columns are 2 ** BITS; values of the matrix of log-probabilities (64 MB).
+BITS, MATRIX = 15, 1 << 24
 ALPHA = 0.1
 DOCS_PER_LANG = 1500
-MAX_LANGS = 200
 FOLDS = 5
-#: Positions that are scored at once: bounds the memory for one long text too.
-BLOCK = 500_000
+#: Log-probabilities that are looked up at once: bounds the memory for one long text too.
+BLOCK = 1 << 21
+#: Counts that the driver takes from Spark at once.
+FETCHED = 1 << 20
 #: The pipeline keeps a document whose language has at least this probability.
 MIN_SCORE = 0.5
 
@@ -47,8 +49,13 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Columns of all n-grams (positions x orders, ``2 ** BITS``: none) and each position's text."""
+def columns_for(n_langs: int) -> int:
+    """Bits of the column number: BITS, or fewer where the matrix would be too large."""
+    return max(4, min(BITS, (MATRIX // max(1, n_langs)).bit_length() - 1))
+
+
+def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of all n-grams (positions x orders, ``2 ** bits``: none) and each position's text."""
     lower = [(t or "").lower() for t in texts]
     size = np.array([len(t) + 1 for t in lower], np.int64)
     code = np.frombuffer(("\n".join(lower) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -56,7 +63,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = letter | np.concatenate(([False], letter[:-1]))  # letters, and the first other character after one
     of = np.repeat(np.arange(len(texts)), size)[keep]
     c = np.concatenate((np.full(2, 32, np.uint32), np.where(letter, code, 32)[keep].astype(np.uint32)))
-    shift = np.uint32(32 - BITS)
+    shift = np.uint32(32 - bits)
     one, two = c[2:], c[1:-1] * np.uint32(0x01000193)
     h1 = one * np.uint32(0x9E3779B1)
     h2 = (one + two + np.uint32(1)) * np.uint32(0x85EBCA6B)
@@ -64,26 +71,27 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     mix = lambda h: ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift
     out = np.stack([mix(h1), mix(h2), mix(h3)], axis=1).astype(np.int32)
     first = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
-    out[first, 2] = 1 << BITS  # this one would reach into the text before
+    out[first, 2] = 1 << bits  # this one would reach into the text before
     return out, of
 
 
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # (2 ** BITS + 1) x languages; the last row is zero
+    weights: np.ndarray  # (2 ** bits + 1) x languages; the last row is zero
     prior: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        f, of = features(texts)
+        f, of = features(texts, (len(self.weights) - 1).bit_length() - 1)
         total = np.zeros((len(texts), len(self.langs)))
         seen = np.zeros(len(texts), bool)
         seen[of] = True
-        for at in range(0, len(of), BLOCK):
-            mine = of[at : at + BLOCK]
+        block = max(1, BLOCK // max(1, len(self.langs)))
+        for at in range(0, len(of), block):
+            mine = of[at : at + block]
             cut = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
             for order in range(3):
-                w = self.weights[f[at : at + BLOCK, order]]
+                w = self.weights[f[at : at + block, order]]
                 total[mine[cut]] += np.add.reduceat(w, cut, axis=0, dtype=np.float64)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -95,36 +103,39 @@ class Model:
 
 def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
     """labelled: doc_id, text, lang (no nulls in lang and doc_id)."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    spark = labelled.sparkSession
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # a row for each language
+    bits, langs = columns_for(len(sizes)), [r["lang"] for r in sizes]
     if not sizes:
-        return Model([], np.zeros((2**BITS + 1, 0), np.float32), np.zeros(0))
-    langs = [r["lang"] for r in sizes]
-    rates = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_per_lang / r["n"])))))
+        return Model([], np.zeros((2**bits + 1, 0), np.float32), np.zeros(0))
+    rates = [(r["lang"], i, min(1.0, docs_per_lang / r["n"])) for i, r in enumerate(sizes)]
+    rates = F.broadcast(spark.createDataFrame(rates, "lang string, lang_no int, rate double"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = labelled.where(place < rates[F.col("lang")]).select("lang", "text")
+    sample = labelled.join(rates, "lang").where(place < F.col("rate")).select("lang_no", "text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                texts = part["text"].tolist()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("lang_no").to_numpy()
+            for lang in np.unique(of):
+                texts = batch.column("text").filter(pa.array(of == lang)).to_pylist()
                 for lo, hi in chunks(texts):
-                    f, _ = features(texts[lo:hi])
-                    n = np.bincount(f.ravel(), minlength=2**BITS + 1)
-                    counts[lang] = counts.get(lang, 0) + n
-        for lang, n in counts.items():
-            at = np.flatnonzero(n[: 2**BITS])
-            yield pd.DataFrame({"lang": lang, "feature": at, "n": n[at]})
-
-    each = sample.mapInPandas(count, "lang string, feature long, n long")
-    rows = each.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()  # at most MAX_LANGS * 2 ** BITS
-    n = np.zeros((2**BITS, len(langs)))
-    n[rows["feature"], rows["lang"].map({x: i for i, x in enumerate(langs)})] = rows["n"]
-    weights = np.log(n + ALPHA) - np.log((n + ALPHA).sum(axis=0))
+                    f, _ = features(texts[lo:hi], bits)
+                    n = np.bincount(f.ravel(), minlength=2**bits + 1)[: 2**bits]
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang_no", "feature", "n"])
+
+    each = map_batches(sample, count, "lang_no int, feature int, n long").groupBy("lang_no", "feature").agg(F.sum("n").alias("n"))
+    each = materialize(each, "counts")
+    weights = np.zeros((2**bits + 1, len(langs)), np.float32)
+    step = max(1, FETCHED >> bits)  # languages at once
+    for low in range(0, len(langs), step):
+        rows = each.where(F.col("lang_no").between(low, low + step - 1)).toPandas()  # FETCHED at most
+        n = np.zeros((2**bits, min(step, len(langs) - low)))
+        n[rows["feature"], rows["lang_no"] - low] = rows["n"]
+        weights[:-1, low : low + step] = np.log(n + ALPHA) - np.log((n + ALPHA).sum(axis=0))
+    discard(each)
     share = np.array([r["n"] for r in sizes], float)
-    return Model(langs, np.vstack([weights, np.zeros(len(langs))]).astype(np.float32), np.log(share / share.sum()))
+    return Model(langs, weights, np.log(share / share.sum()))
 
 
 def held_out(doc_id: Column) -> Column:
