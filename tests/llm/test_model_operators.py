@@ -45,6 +45,59 @@ def test_language_edges(spark, docs):
     assert model.predict(texts)[0] == alone
 
 
+def brute_language(train, text, bits):
+    """Gram by gram, with dictionaries: language and probability."""
+    import math
+
+    def grams(t):
+        kept, before = [], False
+        for c in t.lower() + "\n":
+            if c.isalpha() or before:
+                kept.append(ord(c) if c.isalpha() else 32)
+            before = c.isalpha()
+        m, mix = 2**32, lambda h: (((h ^ h >> 15) * 0x2C1B3C6D) % 2**32) >> (32 - bits)
+        for i, c in enumerate(kept):
+            b, a = (kept[i - 1] if i else 32), (kept[i - 2] if i > 1 else 32)
+            yield mix(c * 0x9E3779B1 % m)
+            yield mix((c + b * 0x01000193 + 1) * 0x85EBCA6B % m)
+            if i:
+                yield mix((c + b * 0x01000193 + a * 0xC2B2AE35 + 2) * 0x27D4EB2F % m)
+
+    counts, rows = {}, {}
+    for t, lang in train:
+        rows[lang] = rows.get(lang, 0) + 1
+        own = counts.setdefault(lang, {})
+        for g in grams(t or ""):
+            own[g] = own.get(g, 0) + 1
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    total = {x: sum(own.values()) + langid.ALPHA * 2**bits for x, own in counts.items()}
+    score = {x: math.log(rows[x] / len(train)) + sum(math.log((own.get(g, 0) + langid.ALPHA) / total[x]) for g in grams(text)) for x, own in counts.items()}
+    best = max(sorted(score), key=score.get)
+    return best, 1 / sum(math.exp(v - score[best]) for v in score.values())
+
+
+def test_language_scorer_against_brute_force(spark):
+    r = random.Random(12)
+    alphabets = {"x": "abcde ", "y": "cdefg ", "z": "aäöé g"}
+    text = lambda lang: "".join(r.choice(alphabets[lang]) for _ in range(r.randint(0, 30)))
+    train = [(t, lang) for lang in alphabets for t in (text(lang) for _ in range(15))]
+    model = langid.train(spark.createDataFrame([(i, *x) for i, x in enumerate(train)], "doc_id long, text string, lang string"))
+    texts = [text(lang) for lang in alphabets for _ in range(20)] + ["", None, "  1!", "a", "ab", "a  b", "É"]
+    for t in texts:
+        (lang,), (p,) = model.predict([t])
+        want, score = brute_language(train, t, langid.BITS)
+        assert lang == want and p == pytest.approx(score, abs=1e-3), t
+
+
+def test_any_number_of_languages(spark):
+    assert [langid.columns_for(n) for n in (0, 4, 512, 513, 8000)] == [15, 15, 15, 14, 11]
+    rows = [(i, chr(0x4E00 + i) * 8, f"l{i:03d}") for i in range(600)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.weights.shape == (2**14 + 1, 600)
+    assert sum(a == lang for a, (_, _, lang) in zip(model.predict([t for _, t, _ in rows])[0], rows, strict=True)) > 590
+
+
 def test_contamination(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
@@ -177,11 +230,25 @@ def test_dom():
     ("<p title=don't>One it's two</p><p>b</p>", "One it's two b"),
     ("<p title = 'a>b' x=\"c>d\" it's>One</p>", "One"),
     ("<p title='a>One</p><p>b</p>", "One b"),
+    ('<p class="a"">Hello', "Hello"),
+    ('<p>un "closed <a href="x>link</a> tail', 'un "closed link tail'),
+    ('<p a="1>2" b=\'3>4\' c=5>One<br/>two', "One two"),
+    ("<p>5 < 6 <", "5 < 6 <"),
+    ("<![CDATA[x]]><p>a<![CDATA[>b", "ab"),
 ])
 def test_dom_drops_raw_elements_and_tags_alone(html, want):
     assert " ".join(t for t in parse(html).text if t) == want
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<p ", '<a x="', '<a x=">" ', "<![CDATA[>", "<!-- ", "</b", "<b>", "<li><p>", '<a x="\'>', "<td><b>", "<svg>"])
+def test_dom_is_linear(piece):
+    import time
+
+    began = time.process_time()
+    parse(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 30
+
+
 def brute_marginals(model, tree):
     """By summing over all labellings."""
     from itertools import product
