@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import safe_name
 
@@ -39,9 +40,10 @@ def results_json(results: DataFrame) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """example, file, pattern, text, expect, expect_null of JSON lines; blank lines and ``#`` comments are left out."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("example"))
-    used = lines.where(~F.rlike("value", F.lit(r"^\s*(?:#|\z)")))
+    """example, file, pattern, text, expect, expect_null of JSON lines, by file name and line; blank lines and ``#`` comments are left out."""
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    used = lines.where(~F.rlike("value", F.lit(r"^\s*(?:#|\z)"))).withColumn("example", F.row_number().over(Window.orderBy("file", "line")) - 1)  # a hand-made set
     return used.select("example", "file", F.from_json("value", "pattern string, text string, expect string, expect_null boolean").alias("g")).select("example", "file", "g.*")
 
 
@@ -52,13 +54,20 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_papers(spark: SparkSession, root: str, category: str | None = None) -> DataFrame:
-    """category, filename, path, size of the vault's papers, by path; contents are not read."""
+    """category, filename, path, size of the vault's papers, by path; contents are not read.  Without a folder there are none."""
+    if not _exists(spark, f"{root}/papers"):
+        return spark.createDataFrame([], "category string, filename string, path string, size long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/papers").select("path", F.col("length").alias("size"))
     inner = F.element_at(F.split("path", "/papers/", -1), -1)
     out = files.where("size > 0").select(F.element_at(F.split(inner, "/"), 1).alias("category"), F.element_at(F.split(inner, "/"), -1).alias("filename"), "path", "size")
     return (out.where(F.col("category") == category) if category else out).orderBy("path")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def import_path(category: Column, text: Column) -> Column:
     """Where an import goes in the vault; null for a category that isn't a plain name."""
     return F.when(F.rlike(category, F.lit(CATEGORY)), F.concat(F.lit("imports/"), category, F.lit("/"), safe_name(text), F.lit(".md")))
@@ -74,9 +83,21 @@ def import_markdown(category: Column, pattern_id: Column, text: Column, url: Col
 
 
 def write_imports(notes: DataFrame, root: str) -> None:
-    """notes: category, name, body; one folder for each category; the last note of a name stays."""
-    last = notes.groupBy("category", "name").agg(F.max_by("body", "seq").alias("body"))
-    last.write.mode("overwrite").partitionBy("category").parquet(f"{root}/imports")
+    """notes: category, name, body, seq; the last note of a name stays, also over earlier calls, and nothing else goes.
+
+    Each call adds a table part to the folder of its category; ``read_imports``
+    gives the last body of every name.
+    """
+    last = notes.groupBy("category", "name").agg(F.max_by("body", "seq").alias("body")).withColumn("written", F.current_timestamp())
+    last.write.mode("append").partitionBy("category").parquet(f"{root}/imports")
+
+
+def read_imports(spark: SparkSession, root: str) -> DataFrame:
+    """category, name, body of the notes in the vault."""
+    if not _exists(spark, f"{root}/imports"):
+        return spark.createDataFrame([], "category string, name string, body string")
+    rows = spark.read.schema("name string, body string, written timestamp, category string").parquet(f"{root}/imports")
+    return rows.groupBy("category", "name").agg(F.max_by("body", "written").alias("body"))
 
 
 def valid_download(url: Column, category: Column, filename: Column, kind: Column) -> Column:
@@ -93,16 +114,23 @@ def pending_downloads(plan: DataFrame, papers: DataFrame) -> DataFrame:
     return own.join(there.select("category", F.col("filename").alias("_file")), ["category", "_file"], "left_anti").drop("_file")
 
 
-def download(plan: DataFrame, fetch) -> DataFrame:
-    """plan with ok, size and error: ``fetch(url) -> bytes`` runs on the executors; one failure doesn't stop others."""
+def download(plan: DataFrame, fetch, store) -> DataFrame:
+    """plan with ok, size and error; one failure doesn't stop others.
+
+    ``fetch(url) -> bytes`` and ``store(category, file name, bytes)`` run on the
+    executors; fetch raises for a status of 400 or more, and then nothing is stored.
+    """
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             ok, size, error = [], [], []
-            for url in batch.column("url").to_pylist():
+            rows = zip(*(batch.column(c).to_pylist() for c in ("url", "category", "filename", "format")), strict=True)
+            for url, category, filename, kind in rows:
                 try:
-                    size.append(len(fetch(url)))
+                    got = fetch(url)
+                    store(category, f"{filename}.{kind}", got)
+                    size.append(len(got))
                     ok.append(True)
                     error.append(None)
                 except Exception as e:  # reported by row

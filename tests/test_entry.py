@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -36,3 +39,13 @@ def test_query_without_sql_has_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 24
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """The entry still gives the other queries where that subpackage is gone."""
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    for pipeline in (True, False):
+        copy = tmp_path / str(pipeline)
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"])))
+        code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q)"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=120)
