@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +65,7 @@ class Matcher:
             filled[h >> np.uint64(64 - FILTER_BITS)] = True
             self.tables.append((h[order], item[order], place[order], filled))
 
-    def hits(self, texts: list[str | None]) -> pd.DataFrame:
+    def hits(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """text (index), item (index), n_words, n_matched, start, end (code points) of each match."""
         words = words_of(texts)
         of = np.repeat(np.arange(len(texts)), np.diff(words.first))
@@ -100,7 +99,8 @@ class Matcher:
                 begin = words.text[words.offsets[text] : words.starts[first]].decode("utf-8", "replace")
                 middle = words.text[words.starts[first] : words.ends[last]].decode("utf-8", "replace")
                 rows.append((text, item, len(covered), n, len(begin), len(begin) + len(middle)))
-        return pd.DataFrame(rows, columns=["text", "item", "n_words", "n_matched", "start", "end"])
+        table = np.array(rows, np.int64).reshape(-1, 6)
+        return dict(zip(("text", "item", "n_words", "n_matched", "start", "end"), table.T, strict=True))
 
     def _extended(self, words, text: int, item: int, diagonal: int, q: int) -> tuple[int, int, np.ndarray]:
         own = self.items[item]
@@ -150,9 +150,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
                 rows = batch.column("text").to_pylist()
                 for lo, hi in chunks(rows):
                     hit = matcher.hits(rows[lo:hi])
-                    doc = batch.column("doc_id").take(pa.array(hit["text"].to_numpy(np.int64) + lo))
+                    doc = batch.column("doc_id").take(pa.array(hit["text"] + lo))
                     item = pa.array([matcher.ids[i] for i in hit["item"]], item_arrow)
-                    counts = [pa.array(hit[c].to_numpy(np.int64)) for c in ("n_words", "n_matched", "start", "end")]
+                    counts = [pa.array(hit[c]) for c in ("n_words", "n_matched", "start", "end")]
                     yield pa.RecordBatch.from_arrays([doc, item, *counts], names=["doc_id", "item_id", "n_words", "n_matched", "start", "end"])
 
         found.append(map_batches(docs.select("doc_id", "text"), match, shape))
@@ -171,7 +171,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int
                 rows = batch.column("text").to_pylist()
                 keep = np.ones(len(rows), bool)
                 for lo, hi in chunks(rows):
-                    keep[lo + matcher.hits(rows[lo:hi])["text"].to_numpy(np.int64)] = False
+                    keep[lo + matcher.hits(rows[lo:hi])["text"]] = False
                 yield batch.filter(pa.array(keep))
 
         out = map_batches(out, clean, docs.schema)

@@ -21,7 +21,7 @@ _VALUE = _rng.integers(1, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = _rng.integers(1, 2**64, 64, np.uint64) | np.uint64(1)
 #: Bytes of text that are handled at once.
-CHUNK = 500_000
+CHUNK = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
