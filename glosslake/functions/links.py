@@ -12,6 +12,7 @@ from .text import trimmed
 MIN_SAVE_CONFIDENCE = 0.85
 SOURCE_RANK = {"meta": 5, "json-ld": 4, "canonical": 3, "opengraph": 2, "microdata": 2, "text": 1, "anchor": 0}
 CONFIDENCE = {"meta": 1.0, "json-ld": 0.95, "canonical": 0.9, "opengraph": 0.85, "microdata": 0.85, "text": 0.7, "anchor": 0.6}
+#: The prefix only tells where a match may begin; the group is the identifier alone.
 DOI = rf"(?i)(?:doi:[{WS}]*|doi\.org/)?(10\.\d{{4,9}}/[^?{WS}#]+)"
 ARXIV = rf"(?i)(?:arxiv\.org/(?:abs|pdf)/|arXiv:[{WS}]*)(\d{{4}}\.\d{{4,5}}(?:v\d+)?)"
 
@@ -46,13 +47,19 @@ def certified(source: Column, confidence: Column) -> Column:
 def with_save_plan(findings: DataFrame, pattern_id: str = "pattern_id", text: str = "text", source: str = "source", confidence: str = "confidence") -> DataFrame:
     """findings with ``save`` (url, category, filename, format; null if it can't be saved), ``status`` (planned or skipped) and ``reason``."""
     # Names of files are columns of their own first: each is used more than once, and one large expression would not compile.
-    own = trimmed(F.col(text))
-    first = findings.withColumns({"_own": own, "_doi": doi_filename(F.col(text)), "_in_doi": F.regexp_extract(own, DOI, 1), "_in_arxiv": F.regexp_extract(own, ARXIV, 1)})
-    second = first.withColumns({"_in_file": doi_filename(F.col("_in_doi")), "_stem": F.regexp_replace(F.element_at(F.split("_own", "/", -1), -1), r"(?i)\.pdf\z", "")})
+    # Each is made only for the rows that may be saved and whose pattern uses it.
+    kind, sure = F.col(pattern_id), certified(F.col(source), F.col(confidence))
+    only = lambda x, *ids: F.when(sure & kind.isin(*ids), x)
+    own = only(trimmed(F.col(text)), "pmid", "pdf_url", "dc.identifier")
+    first = findings.withColumns({"_own": own, "_doi": only(doi_filename(F.col(text)), *DOI_IDS, "biorxiv", "medrxiv")})
+    inner = first.withColumns({f"_in_{name}": only(F.regexp_extract("_own", rx, 1), "dc.identifier") for name, rx in (("doi", DOI), ("arxiv", ARXIV))})
+    second = inner.withColumns({
+        "_in_file": only(doi_filename(F.col("_in_doi")), "dc.identifier"),
+        "_stem": only(F.regexp_replace(F.element_at(F.split("_own", "/", -1), -1), r"(?i)\.pdf\z", ""), "pdf_url"),
+    })
     put = lambda p, x, suffix="": F.concat(F.lit(p), F.col(x), F.lit(suffix))
-    kind = F.col(pattern_id)
     cases = [
-        (kind.isin(*ARXIV_IDS), put("https://arxiv.org/pdf/", text), arxiv_filename(F.col(text)), "pdf"),
+        (kind.isin(*ARXIV_IDS), put("https://arxiv.org/pdf/", text), only(arxiv_filename(F.col(text)), *ARXIV_IDS), "pdf"),
         (kind.isin(*DOI_IDS), put("https://doi.org/", text), F.col("_doi"), "html"),
         (kind == "pmid", put("https://europepmc.org/article/MED/", "_own"), F.when(F.rlike("_own", F.lit(r"^\d{6,9}\z")), put("pmid-", "_own")), "html"),
         (kind == "biorxiv", put("https://www.biorxiv.org/content/", text, ".full.pdf"), F.col("_doi"), "pdf"),
@@ -67,7 +74,6 @@ def with_save_plan(findings: DataFrame, pattern_id: str = "pattern_id", text: st
             pick[name] = F.when(when, value).otherwise(pick[name])
     third = second.withColumns(pick)
     info = F.struct(F.col("_url").alias("url"), F.lit("citation").alias("category"), F.col("_file").alias("filename"), F.col("_format").alias("format"))
-    sure = certified(F.col(source), F.col(confidence))
     planned = third.withColumn("save", F.when(sure & F.col("_file").isNotNull(), info))
     unsupported = F.concat(F.lit("pattern '"), kind, F.lit("' not downloadable in v1"))
     reason = F.when(F.col(source) == "text", "text-body match: not a certified source").otherwise(unsupported)

@@ -9,6 +9,7 @@ falsifiers, in Spark's own expressions.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,10 +21,16 @@ from pyspark.sql.window import Window
 from ..functions.catalog import WS, Catalog, Falsifier, Pattern, default_catalog, java_regex, python_regex
 from ..functions.links import CONFIDENCE
 from ..functions.text import BOUNDARY, sentences, trimmed
+from ..sources.splits import spread
 
 #: How many characters before and after a match its falsifiers may look at.
 REACH = 100
-FOUND = "ord int, pattern_id string, category string, label string, text string, start int, end int, original_length int, priority int"
+#: What is known of a match.
+FOUND_ARROW = [
+    ("ord", pa.int32()), ("pattern_id", pa.string()), ("category", pa.string()), ("label", pa.string()), ("text", pa.string()),
+    ("start", pa.int32()), ("end", pa.int32()), ("original_length", pa.int32()), ("priority", pa.int32()),
+]
+FOUND_DDL = ", ".join(f"`{name}` {'int' if kind == pa.int32() else 'string'}" for name, kind in FOUND_ARROW)
 _TRIM = WS.replace(" - ", "".join(map(chr, range(0x2000, 0x200B))))
 
 
@@ -34,14 +41,17 @@ def _boundary():
     return regex.compile(BOUNDARY.replace(r"\z", r"\Z"), regex.ASCII)
 
 
-def sentence_around(text: str, start: int, end: int) -> str | None:
-    """The sentence that holds the span whole."""
-    low = 0
-    for m in _boundary().finditer(text):
-        if start < m.end():
-            return text[low : m.end()] if start >= low and end <= m.end() else None
-        low = m.end()
-    return text[low:] if start >= low and end <= len(text) else None
+def sentence_ends(text: str) -> list[int]:
+    """Where each sentence but the last ends."""
+    return [m.end() for m in _boundary().finditer(text)]
+
+
+def sentence_around(text: str, start: int, end: int, ends: list[int] | None = None) -> str | None:
+    """The sentence that holds the span whole; ``ends`` saves looking for them again."""
+    ends = sentence_ends(text) if ends is None else ends
+    at = bisect_right(ends, start)
+    low, high = ends[at - 1] if at else 0, ends[at] if at < len(ends) else len(text)
+    return text[low:high] if end <= high else None
 
 
 class Kernel:
@@ -50,11 +60,18 @@ class Kernel:
     def __init__(self, patterns: list[Pattern]):
         self.patterns = [(k, p, python_regex(p.regex, p.flags), [self._test(f) for f in p.falsifiers if f.kind != "parent"]) for k, p in enumerate(patterns)]
 
-    @staticmethod
-    def _test(f: Falsifier):
+        self._text, self._ends = None, []
+
+    def _sentence(self, text: str, start: int, end: int) -> str:
+        """The sentence of a span, in lower case; a text's boundaries are looked for once, and only if a test asks."""
+        if text is not self._text:
+            self._text, self._ends = text, sentence_ends(text)
+        return (sentence_around(text, start, end, self._ends) or "").lower()
+
+    def _test(self, f: Falsifier):
         if f.kind == "context":
             words = python_regex(r"(?<![a-z0-9])(?:" + "|".join(map(_quoted, f.words)) + r")(?![a-z0-9])")
-            return lambda text, start, end: bool(words.search((sentence_around(text, start, end) or "").lower()))
+            return lambda text, start, end: bool(words.search(self._sentence(text, start, end)))
         if f.kind == "confidence":
             return lambda text, start, end: CONFIDENCE["text"] < f.below
         if f.regex is None:
@@ -97,20 +114,14 @@ def candidates(df: DataFrame, keys: list[str], text: str = "text", catalog: Cata
                     rows.append(i)
                     found.append(match)
             own = batch.select(keys).take(pa.array(rows, pa.int64()))
-            cols = [pa.array([f[j] for f in found], kind) for j, (_, kind) in enumerate(_ARROW)]
-            yield pa.RecordBatch.from_arrays([*own.columns, *cols], names=[*keys, *(n for n, _ in _ARROW)])
+            cols = [pa.array([f[j] for f in found], kind) for j, (_, kind) in enumerate(FOUND_ARROW)]
+            yield pa.RecordBatch.from_arrays([*own.columns, *cols], names=[*keys, *(n for n, _ in FOUND_ARROW)])
 
-    rows = df.select(*keys, F.col(text).alias("_text"))
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema), FOUND.replace(", end", ", `end`")])
+    rows = spread(df.select(*keys, F.col(text).alias("_text")))
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema), FOUND_DDL])
     return rows.mapInArrow(scan, shape)
 
 
-_ARROW = [
-    ("ord", pa.int32()), ("pattern_id", pa.string()), ("category", pa.string()), ("label", pa.string()), ("text", pa.string()),
-    ("start", pa.int32()), ("end", pa.int32()), ("original_length", pa.int32()), ("priority", pa.int32()),
-]
-
-
 def resolve_overlaps(found: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy: by start, longest match, priority, registration; a row stays if it starts at the last kept end or later.
 
@@ -153,7 +164,7 @@ def scan_one(df: DataFrame, key: str, pattern: Pattern, text: str = "text") -> D
         raise ValueError(f"{pattern.id} has falsifiers; use scan_text")
     rx = java_regex(pattern.regex, pattern.flags)
     group = 1 if python_regex(pattern.regex, pattern.flags).groups else 0
-    hit = df.where(F.rlike(text, F.lit(rx))).select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    hit = spread(df.select(key, text)).where(F.rlike(text, F.lit(rx))).select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
     parts = F.arrays_zip(
         F.regexp_extract_all("_text", F.lit(rx), F.lit(0)).alias("m"), F.regexp_extract_all("_text", F.lit(rx), F.lit(group)).alias("c"),
         F.split("_text", rx, -1).alias("g"),

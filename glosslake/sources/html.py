@@ -2,29 +2,46 @@
 
 One small Python step reads each page's markup; what it emits is already
 filtered (no text of scripts and styles, no elements that no scanner looks at),
-because a filter can't be pushed through it.  Broken markup is tolerated:
-unclosed elements end where an enclosing one ends.
+because a filter can't be pushed through it.  What only the open elements tell
+(the scopes around a property, the strings of a JSON-LD script) comes with the
+element, so that nothing has to join or parse again.  Broken markup is
+tolerated: unclosed elements end where an enclosing one ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import FOUND_ARROW, FOUND_DDL
+from .jsonld import jsonld_values
+from .splits import spread
+
 # Elements whose text is not read, and elements without content.
 UNREAD = ("SCRIPT", "STYLE", "NOSCRIPT")
+SCOPES = ("div", "section", "article")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Classes of the marks that ``render`` writes; text inside of them was read before.
 OWN_CLASSES = ("gl-highlight", "gl-sentence")
 
-TEXT_NODES = "array<struct<node_ord:int,text:string,parent_tag:string,parent_classes:array<string>,in_body:boolean>>"
-ELEMENTS = "array<struct<el_ord:int,tag:string,attrs:map<string,string>,text_content:string,subtree_end:int>>"
-_TEXT = pa.list_(pa.struct([("node_ord", pa.int32()), ("text", pa.string()), ("parent_tag", pa.string()), ("parent_classes", pa.list_(pa.string())), ("in_body", pa.bool_())]))
-_ELEMENT = pa.list_(pa.struct([("el_ord", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text_content", pa.string()), ("subtree_end", pa.int32())]))
+TEXT_NODES = f"array<struct<node_ord:int,text:string,parent_tag:string,parent_classes:array<string>,in_body:boolean,found:array<struct<{FOUND_DDL}>>>>"
+ELEMENTS = (
+    "array<struct<el_ord:int,tag:string,attrs:map<string,string>,text_content:string,subtree_end:int,"
+    "values:array<string>,scopes:array<struct<el_ord:int,itemtype:string>>>>"
+)
+_TEXT = pa.list_(pa.struct([
+    ("node_ord", pa.int32()), ("text", pa.string()), ("parent_tag", pa.string()), ("parent_classes", pa.list_(pa.string())), ("in_body", pa.bool_()),
+    ("found", pa.list_(pa.struct(FOUND_ARROW))),
+]))
+_ELEMENT = pa.list_(pa.struct([
+    ("el_ord", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text_content", pa.string()), ("subtree_end", pa.int32()),
+    ("values", pa.list_(pa.string())), ("scopes", pa.list_(pa.struct([("el_ord", pa.int32()), ("itemtype", pa.string())]))),
+]))
 
 
 class _Reader(HTMLParser):
@@ -33,84 +50,115 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
+        self.open: Counter[str] = Counter()
+        self.inert = 0
+        self.scopes: list[dict] = []
+        self.keeping: list[dict] = []
         self.texts: list[dict] = []
         self.elements: list[dict] = []
         self.run: list[str] = []
         self.n = 0
-        self.has_body = False
 
     def _wanted(self, tag: str, attrs: dict) -> bool:
-        data = tag == "script" and attrs.get("type", "").lower() == "application/ld+json"
-        return tag in ("meta", "link") or data or "href" in attrs and tag == "a" or "itemprop" in attrs or "itemscope" in attrs
+        return tag in ("meta", "link") or self._is_data(tag, attrs) or "href" in attrs and tag == "a" or "itemprop" in attrs or "itemscope" in attrs
+
+    @staticmethod
+    def _is_data(tag: str, attrs: dict) -> bool:
+        return tag == "script" and attrs.get("type", "").lower() == "application/ld+json"
 
     def _end_run(self) -> None:
         text = "".join(self.run)
         self.run = []
-        if not text.strip():
+        if self.inert or not text.strip():
             return
         parent = self.stack[-1] if self.stack else {"tag": None, "classes": []}
-        if any(e["inert"] for e in self.stack):
-            return
         tag = parent["tag"].upper() if parent["tag"] else None
         if tag not in UNREAD and not set(parent["classes"]) & set(OWN_CLASSES):
-            head = any(e["tag"] == "head" for e in self.stack)
-            self.texts.append({"node_ord": len(self.texts), "text": text, "parent_tag": tag, "parent_classes": parent["classes"], "in_body": not head})
+            self.texts.append({"node_ord": len(self.texts), "text": text, "parent_tag": tag, "parent_classes": parent["classes"], "in_body": not self.open["head"]})
 
     def handle_starttag(self, tag, attrs):
         self._end_run()
         attrs = {k: v or "" for k, v in reversed(attrs)}  # of repeated names the first counts
         row = None
         if self._wanted(tag, attrs):
-            row = {"el_ord": self.n, "tag": tag.upper(), "attrs": list(attrs.items()), "text_content": None, "subtree_end": self.n}
+            row = {"el_ord": self.n, "tag": tag.upper(), "attrs": list(attrs.items()), "text_content": None, "subtree_end": self.n, "values": [], "scopes": []}
+            if "itemprop" in attrs:
+                row["scopes"] = [{"el_ord": e["at"], "itemtype": e["itemtype"]} for e in self.scopes]
             self.elements.append(row)
+        at = self.n
         self.n += 1
-        if tag not in VOID:
-            inert = tag == "template" and "shadowrootmode" not in attrs
-            keep = row is not None and (tag == "script" or "itemprop" in attrs)
-            self.stack.append({"tag": tag, "classes": attrs.get("class", "").split(), "row": row, "parts": [] if keep else None, "inert": inert})
+        if tag in VOID:
+            return
+        keep = row is not None and (tag == "script" or "itemprop" in attrs)
+        own = {
+            "tag": tag, "at": at, "classes": attrs.get("class", "").split(), "row": row, "parts": [] if keep else None, "data": self._is_data(tag, attrs),
+            "inert": tag == "template" and "shadowrootmode" not in attrs, "scope": tag in SCOPES and "itemscope" in attrs, "itemtype": attrs.get("itemtype", ""),
+        }
+        self.stack.append(own)
+        self.open[tag] += 1
+        self.inert += own["inert"]
+        if own["scope"]:
+            self.scopes.append(own)
+        if keep:
+            self.keeping.append(own)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if all(e["tag"] != tag for e in self.stack):
+        if not self.open[tag]:
             return
         self._end_run()
-        while self.stack:
-            e = self.stack.pop()
-            self._leave(e)
-            if e["tag"] == tag:
-                break
-
-    def _leave(self, e: dict) -> None:
+        while self.stack and self._leave() != tag:
+            pass
+
+    def _leave(self) -> str:
+        """Closes the innermost element; scopes and kept ones end in the order of the stack."""
+        e = self.stack.pop()
+        self.open[e["tag"]] -= 1
+        self.inert -= e["inert"]
+        if e["scope"]:
+            self.scopes.pop()
         if e["row"] is not None:
             e["row"]["subtree_end"] = self.n - 1
-            if e["parts"] is not None:
-                e["row"]["text_content"] = "".join(e["parts"])
+        if e["parts"] is not None:
+            self.keeping.pop()
+            e["row"]["text_content"] = "".join(e["parts"])
+            if e["data"]:
+                e["row"]["values"] = jsonld_values(e["row"]["text_content"])
+        return e["tag"]
 
     def handle_data(self, data):
         self.run.append(data)
-        for e in self.stack:
-            if e["parts"] is not None:
-                e["parts"].append(data)
+        for e in self.keeping:
+            e["parts"].append(data)
 
     def close(self):
         super().close()
         self._end_run()
         while self.stack:
-            self._leave(self.stack.pop())
+            self._leave()
+
 
+def parse_pages(pages: DataFrame, find: Callable[[], Callable[[str], Iterator[tuple]]] | None = None) -> DataFrame:
+    """page_id, url, text_nodes, elements; null html has neither.
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text_nodes, elements; null html has neither."""
+    find: makes a function that gives a text's matches; then each text node
+    holds what was ``found`` in it, and its text doesn't leave the worker.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matches = find() if find else None
         for batch in batches:
             texts, elements = [], []
             for html in batch.column("html"):
                 reader = _Reader()
                 reader.feed(html.as_py() or "")
                 reader.close()
+                for node in reader.texts:
+                    node["found"] = [dict(zip(_FOUND_NAMES, m, strict=True)) for m in matches(node["text"])] if matches and node["in_body"] else []
+                    if matches:
+                        node["text"] = None
                 texts.append(reader.texts)
                 elements.append(reader.elements)
             yield pa.RecordBatch.from_arrays(
@@ -119,15 +167,18 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             )
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(read, f"page_id {key}, url string, text_nodes {TEXT_NODES}, elements {ELEMENTS}")
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(read, f"page_id {key}, url string, text_nodes {TEXT_NODES}, elements {ELEMENTS}")
+
+
+_FOUND_NAMES = [name for name, _ in FOUND_ARROW]
 
 
 def text_nodes(parsed: DataFrame) -> DataFrame:
     """page_id, node_ord, text, parent_tag, parent_classes of the body's accepted text nodes."""
     each = parsed.select("page_id", F.explode("text_nodes").alias("n")).select("page_id", "n.*")
-    return each.where("in_body").drop("in_body")
+    return each.where("in_body").drop("in_body", "found")
 
 
 def elements(parsed: DataFrame) -> DataFrame:
-    """page_id, url, el_ord, tag, attrs, text_content, subtree_end."""
+    """page_id, url, el_ord, tag, attrs, text_content, subtree_end, values, scopes."""
     return parsed.select("page_id", "url", F.explode("elements").alias("e")).select("page_id", "url", "e.*")

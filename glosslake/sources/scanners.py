@@ -1,16 +1,13 @@
-"""Scanners of a page's own metadata: six sources, one union.
+"""Scanners of a page's own metadata: six sources in one pass over ``elements``.
 
-Each is a filter, a first-match expression and a projection over ``elements``;
-only the recursive walk of JSON-LD is a small Python step.
+Each is an expression over one element that gives its candidates; all of them
+together are one explode, so a page is read and classified once.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +21,8 @@ META = {
     "citation_doi": "doi", "citation_doi_url": "doi.url", "citation_arxiv_id": "arxiv.id", "citation_pmid": "pmid",
     "citation_pmcid": "pmcid", "citation_pdf_url": "pdf_url", "dc_identifier": "dc.identifier",
 }
-JSONLD_KEYS = ("identifier", "doi", "sameAs", "url", "description")
 ITEMPROPS = ("identifier", "doi", "sameas", "url")
 ITEMTYPES = ("scholarlyarticle", "creativework", "article", "publication")
-SCOPES = ("DIV", "SECTION", "ARTICLE")
 ARXIV_URL = r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5}(?:v\d+)?)"
 DOI_URL = rf"(?i)doi\.org/(10\.\d{{4,9}}/[^?{WS}#]+)"
 PREPRINT_OR_DOI_URL = rf"(?i)(?:doi\.org/|(?:www\.)?(?:biorxiv|medrxiv)\.org/content/)(10\.\d{{4,9}}/[^?{WS}#]+)"
@@ -51,29 +46,6 @@ def first_match(value: Column, rules: list[tuple[str, str, Column | str]]) -> Co
     return out
 
 
-def _findings(rows: DataFrame, found: Column, source: str, order: list[str]) -> DataFrame:
-    """rows with a match, as findings; ``order`` are the columns that order them within a page."""
-    own = rows.withColumn("_f", found).where(F.col("_f").isNotNull() & (F.col("_f.text") != ""))
-    return own.select(
-        "page_id", F.lit(SOURCES.index(source)).alias("src_ord"), F.array(*(F.col(c).cast("int") for c in order)).alias("at"),
-        F.col("_f.pattern_id").alias("pattern_id"), F.lit("citation").alias("category"), F.col("_f.label").alias("label"), F.col("_f.text").alias("text"),
-        F.lit(0).alias("start"), F.length("_f.text").alias("end"), F.length("_f.text").alias("original_length"), F.lit(0).alias("priority"),
-        F.lit(source).alias("source"), F.lit(CONFIDENCE[source]).alias("confidence"),
-    )
-
-
-def scan_meta(elements: DataFrame) -> DataFrame:
-    kinds = F.create_map(*(F.lit(x) for pair in META.items() for x in pair))
-    name = F.lower(F.coalesce(_attr("name"), F.lit("")))
-    own = elements.where((F.col("tag") == "META") & (F.startswith(name, F.lit("citation_")) | F.startswith(name, F.lit("dc."))))
-    kind = kinds[F.replace(name, F.lit("."), F.lit("_"))]
-    content = trimmed(F.coalesce(_attr("content"), F.lit("")))
-    inner = F.regexp_extract(content, META_DOI_URL, 1)
-    text = F.when((kind == "doi.url") & (inner != ""), inner).otherwise(content)
-    found = F.when(kind.isNotNull(), F.struct(kind.alias("pattern_id"), text.alias("text"), _attr("name").alias("label")))
-    return _findings(own, found, "meta", ["el_ord"])
-
-
 def resolved(href: Column, base: Column) -> Column:
     """A link's address: absolute ones stay, others are put behind the page's scheme, host or folder."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
@@ -86,82 +58,102 @@ def resolved(href: Column, base: Column) -> Column:
     )
 
 
-def scan_canonical(elements: DataFrame) -> DataFrame:
-    own = elements.where((F.col("tag") == "LINK") & (F.lower(_attr("rel")) == "canonical"))
+def _meta() -> Column:
+    kinds = F.create_map(*(F.lit(x) for pair in META.items() for x in pair))
+    name = F.lower(F.coalesce(_attr("name"), F.lit("")))
+    own = (F.col("tag") == "META") & (F.startswith(name, F.lit("citation_")) | F.startswith(name, F.lit("dc.")))
+    kind = kinds[F.replace(name, F.lit("."), F.lit("_"))]
+    content = trimmed(F.coalesce(_attr("content"), F.lit("")))
+    inner = F.regexp_extract(content, META_DOI_URL, 1)
+    text = F.when((kind == "doi.url") & (inner != ""), inner).otherwise(content)
+    return F.when(own & kind.isNotNull(), F.struct(kind.alias("pattern_id"), text.alias("text"), _attr("name").alias("label")))
+
+
+def _canonical() -> Column:
     href = resolved(trimmed(F.coalesce(_attr("href"), F.lit(""))), F.coalesce("url", F.lit("")))
-    return _findings(own, first_match(href, [("arxiv.id", ARXIV_URL, "canonical link arXiv"), ("doi", DOI_URL, "canonical link DOI")]), "canonical", ["el_ord"])
-
-
-def jsonld_strings(node: object) -> Iterator[str]:
-    """The strings that may name a work: identifier-like keys in a fixed order, nested objects, then the graph."""
-    if isinstance(node, list):
-        for item in node:
-            yield from jsonld_strings(item)
-    elif isinstance(node, dict):
-        for key in JSONLD_KEYS:
-            value = node.get(key)
-            if isinstance(value, dict) and isinstance(value.get("value"), str):
-                yield value["value"]
-                continue
-            for item in value if isinstance(value, list) else [value]:
-                if isinstance(item, str):
-                    yield item
-                elif isinstance(item, dict):
-                    yield from jsonld_strings(item)
-        if isinstance(node.get("@graph"), list):
-            yield from jsonld_strings(node["@graph"])
-
-
-def walk_jsonld(scripts: DataFrame) -> DataFrame:
-    """page_id, el_ord, value_ord, value of every identifier string; malformed JSON has none."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, place, value = [], [], []
-            for i, text in enumerate(batch.column("text_content")):
-                try:
-                    parsed = json.loads(text.as_py() or "")
-                    found = list(jsonld_strings(parsed))
-                except (ValueError, RecursionError):
-                    continue
-                row += [i] * len(found)
-                place += range(len(found))
-                value += found
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id").take(at), batch.column("el_ord").take(at), pa.array(place, pa.int32()), pa.array(value, pa.string())],
-                names=["page_id", "el_ord", "value_ord", "value"],
-            )
-
-    key = scripts.schema["page_id"].dataType.simpleString()
-    return scripts.select("page_id", "el_ord", "text_content").mapInArrow(walk, f"page_id {key}, el_ord int, value_ord int, value string")
+    rules = [("arxiv.id", ARXIV_URL, "canonical link arXiv"), ("doi", DOI_URL, "canonical link DOI")]
+    return F.when((F.col("tag") == "LINK") & (F.lower(_attr("rel")) == "canonical"), first_match(href, rules))
 
 
-def scan_jsonld(elements: DataFrame) -> DataFrame:
-    scripts = elements.where((F.col("tag") == "SCRIPT") & (F.lower(_attr("type")) == "application/ld+json"))
-    value = trimmed(F.col("value"))
-    found = first_match(value, [("doi", DOI, "JSON-LD DOI"), ("arxiv.id", ARXIV, "JSON-LD arXiv"), ("pmid", r"^(\d{6,9})\z", "JSON-LD PMID")])
-    return _findings(walk_jsonld(scripts), found, "json-ld", ["el_ord", "value_ord"])
+def _jsonld(value: Column) -> Column:
+    return first_match(trimmed(value), [("doi", DOI, "JSON-LD DOI"), ("arxiv.id", ARXIV, "JSON-LD arXiv"), ("pmid", r"^(\d{6,9})\z", "JSON-LD PMID")])
 
 
-def scan_opengraph(elements: DataFrame) -> DataFrame:
-    own = elements.where((F.col("tag") == "META") & F.lower(_attr("property")).isin("og:url", "og:see_also"))
+def _opengraph() -> Column:
     value = F.coalesce(_attr("content"), F.lit(""))
-    return _findings(own, first_match(value, [("doi", DOI, "og:url DOI"), ("arxiv.id", ARXIV, "og:url arXiv")]), "opengraph", ["el_ord"])
+    own = (F.col("tag") == "META") & F.lower(_attr("property")).isin("og:url", "og:see_also")
+    return F.when(own, first_match(value, [("doi", DOI, "og:url DOI"), ("arxiv.id", ARXIV, "og:url arXiv")]))
 
 
-def scan_microdata(elements: DataFrame) -> DataFrame:
-    """Identifiers inside of academic scopes: an interval join of scopes and properties; nested scopes count twice."""
-    kind = F.lower(F.coalesce(_attr("itemtype"), F.lit("")))
-    academic = reduce(Column.__or__, (F.contains(kind, F.lit(t)) for t in ITEMTYPES), kind == "")
-    scopes = elements.where(F.col("tag").isin(*SCOPES) & F.map_contains_key("attrs", "itemscope") & academic)
-    scopes = scopes.select(F.col("page_id").alias("_page"), F.col("el_ord").alias("scope_ord"), F.col("subtree_end").alias("_end"))
+def _microdata() -> Column:
     prop = F.lower(_attr("itemprop"))
-    props = elements.where(prop.isin(*ITEMPROPS)).withColumn("prop", prop)
-    inside = (F.col("page_id") == F.col("_page")) & (F.col("el_ord") > F.col("scope_ord")) & (F.col("el_ord") <= F.col("_end"))
     value = F.coalesce(_attr("content"), _attr("href"), _attr("src"), trimmed(F.coalesce("text_content", F.lit(""))))
-    label = F.concat(F.lit("microdata "), F.col("prop"))
-    return _findings(props.join(scopes, inside), first_match(value, [("doi", DOI, label), ("arxiv.id", ARXIV, label)]), "microdata", ["scope_ord", "el_ord"])
+    label = F.concat(F.lit("microdata "), prop)
+    return F.when(prop.isin(*ITEMPROPS), first_match(value, [("doi", DOI, label), ("arxiv.id", ARXIV, label)]))
+
+
+def _academic(scope: Column) -> Column:
+    kind = F.lower(F.coalesce(scope["itemtype"], F.lit("")))
+    return reduce(Column.__or__, (F.contains(kind, F.lit(t)) for t in ITEMTYPES), kind == "")
+
+
+def _href() -> Column:
+    return F.when(F.col("tag").isin("A", "LINK"), trimmed(_attr("href")))
+
+
+def _anchor() -> Column:
+    rules = [("arxiv.id", ARXIV_URL, "anchor arXiv"), ("doi", PREPRINT_OR_DOI_URL, "anchor DOI"), ("pmid", PUBMED_URL, "anchor PMID"), ("pmcid", PMC_URL, "anchor PMCID")]
+    return first_match(_href(), rules)
+
+
+def source_candidates(sources: tuple[str, ...] = SOURCES) -> Column:
+    """array<struct<src_ord, at, href, f>> of one element: what each source finds in it.
+
+    ``at`` orders a page's findings of one source; ``href`` names the link of an
+    anchor; ``f`` is null where nothing was found.  An element of nested scopes
+    has a candidate for each of them.
+    """
+
+    def row(source: str, at: list[Column], f: Column) -> Column:
+        href = _href() if source == "anchor" else F.lit(None).cast("string")
+        return F.struct(F.lit(SOURCES.index(source)).alias("src_ord"), F.array(*(c.cast("int") for c in at)).alias("at"), href.alias("href"), f.alias("f"))
+
+    el, none = F.col("el_ord"), F.array().cast("array<struct<el_ord:int,itemtype:string>>")
+    single = {"meta": _meta, "canonical": _canonical, "opengraph": _opengraph, "anchor": _anchor}
+    parts = [F.array(row(s, [el], single[s]())) for s in sources if s in single]
+    if "json-ld" in sources:
+        values = F.coalesce("values", F.array().cast("array<string>"))
+        parts.append(F.transform(values, lambda v, i: row("json-ld", [el, i], _jsonld(v))))
+    if "microdata" in sources:
+        scopes = F.filter(F.coalesce("scopes", none), _academic)
+        parts.append(F.transform(scopes, lambda s: row("microdata", [s["el_ord"], el], _microdata())))
+    return F.filter(F.concat(*parts), lambda c: c["f"].isNotNull() & (c["f"]["text"] != ""))
+
+
+def first_of_equal_links(found: DataFrame) -> DataFrame:
+    """Candidate rows (page_id, src_ord, at, href, ...) without the later ones of a page's equal links."""
+    by = Window.partitionBy("page_id", "src_ord", "href").orderBy("at")
+    return found.withColumn("_n", F.row_number().over(by)).where(F.col("href").isNull() | (F.col("_n") == 1)).drop("_n", "href")
+
+
+def scan_sources(elements: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """The findings of the named sources, in the order of ``SOURCES`` by (src_ord, at)."""
+    each = elements.select("page_id", F.explode(source_candidates(sources)).alias("c")).select("page_id", "c.*")
+    own = first_of_equal_links(each) if "anchor" in sources else each
+    return own.select(
+        "page_id", "src_ord", "at", F.col("f.pattern_id").alias("pattern_id"), F.lit("citation").alias("category"), F.col("f.label").alias("label"),
+        F.col("f.text").alias("text"), F.lit(0).alias("start"), F.length("f.text").alias("end"), F.length("f.text").alias("original_length"),
+        F.lit(0).alias("priority"), source_name().alias("source"), source_confidence().alias("confidence"),
+    )
+
+
+def source_name() -> Column:
+    """The name of ``src_ord``; -1 is the text itself."""
+    return F.element_at(F.array(*map(F.lit, ("text", *SOURCES))), F.col("src_ord") + 2)
+
+
+def source_confidence() -> Column:
+    return F.element_at(F.array(*(F.lit(CONFIDENCE[s]) for s in ("text", *SOURCES))), F.col("src_ord") + 2)
 
 
 def distinct_hrefs(elements: DataFrame) -> DataFrame:
@@ -171,12 +163,25 @@ def distinct_hrefs(elements: DataFrame) -> DataFrame:
     return own.withColumn("_n", F.row_number().over(by)).where("_n = 1").select("page_id", "el_ord", "tag", "href")
 
 
-def scan_anchors(elements: DataFrame) -> DataFrame:
-    rules = [("arxiv.id", ARXIV_URL, "anchor arXiv"), ("doi", PREPRINT_OR_DOI_URL, "anchor DOI"), ("pmid", PUBMED_URL, "anchor PMID"), ("pmcid", PMC_URL, "anchor PMCID")]
-    return _findings(distinct_hrefs(elements), first_match(F.col("href"), rules), "anchor", ["el_ord"])
+def scan_meta(elements: DataFrame) -> DataFrame:
+    return scan_sources(elements, ("meta",))
+
+
+def scan_canonical(elements: DataFrame) -> DataFrame:
+    return scan_sources(elements, ("canonical",))
+
+
+def scan_jsonld(elements: DataFrame) -> DataFrame:
+    return scan_sources(elements, ("json-ld",))
 
 
-def scan_sources(elements: DataFrame) -> DataFrame:
-    """All six, in the order of ``SOURCES`` by (src_ord, at)."""
-    scans = (scan_meta, scan_canonical, scan_jsonld, scan_opengraph, scan_microdata, scan_anchors)
-    return reduce(DataFrame.unionByName, (f(elements) for f in scans))
+def scan_opengraph(elements: DataFrame) -> DataFrame:
+    return scan_sources(elements, ("opengraph",))
+
+
+def scan_microdata(elements: DataFrame) -> DataFrame:
+    return scan_sources(elements, ("microdata",))
+
+
+def scan_anchors(elements: DataFrame) -> DataFrame:
+    return scan_sources(elements, ("anchor",))

@@ -94,7 +94,7 @@ def test_overlaps_against_a_sweep(spark):
         for k in range(r.randint(0, 25)):
             start = r.randint(0, 40)
             rows.append((key, k, f"p{k}", "cs", "l", "t", start, start + r.randint(1, 9), r.randint(1, 9), r.randint(0, 2)))
-    df = spark.createDataFrame(rows, "k long, " + scan.FOUND.replace(", end", ", `end`"))
+    df = spark.createDataFrame(rows, "k long, " + scan.FOUND_DDL)
     got = {(x["k"], x["ord"]) for x in scan.resolve_overlaps(df, ["k"]).collect()}
     want, cursor = set(), {}
     for row in sorted(rows, key=lambda x: (x[0], x[6], -x[8], -x[9], x[1])):
