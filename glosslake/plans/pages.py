@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,16 +22,17 @@ def parent_falsified(catalog: Catalog, sets: list[str] | None = None) -> list[tu
 
 
 def _falsified(catalog: Catalog, sets: list[str] | None, pattern_id: Column) -> Column:
-    """Whether a match's element speaks against it."""
-    drop = F.lit(False)
-    for own_id, tag, css in parent_falsified(catalog, sets):
-        hit = pattern_id == own_id
-        if tag:
-            hit = hit & (F.coalesce(F.upper("parent_tag"), F.lit("")) == tag.upper())
-        if css:
-            hit = hit & F.array_contains("parent_classes", css)
-        drop = drop | (hit & F.col("parent_tag").isNotNull())
-    return drop
+    """Whether a match's element speaks against it: its tag, its class, or both where a falsifier names both."""
+    rules = parent_falsified(catalog, sets)
+    listed = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    tag = F.coalesce(F.upper("parent_tag"), F.lit(""))
+    own = lambda *parts: F.concat_ws(" ", pattern_id, *parts)
+    by_tag = F.array_contains(listed([f"{p} {t.upper()}" for p, t, c in rules if t and not c]), own(tag))
+    by_class = F.arrays_overlap(listed([f"{p} {c}" for p, t, c in rules if c and not t]), F.transform("parent_classes", lambda c: own(c)))
+    by_both = F.arrays_overlap(listed([f"{p} {t.upper()} {c}" for p, t, c in rules if t and c]), F.transform("parent_classes", lambda c: own(tag, c)))
+    each = [by for by, used in ((by_tag, any(t and not c for _, t, c in rules)), (by_class, any(c and not t for _, t, c in rules)), (by_both, any(t and c for _, t, c in rules))) if used]
+    always = pattern_id.isin([p for p, t, c in rules if not t and not c]) if any(not t and not c for _, t, c in rules) else F.lit(False)
+    return F.col("parent_tag").isNotNull() & reduce(Column.__or__, each, always)
 
 
 def scan_nodes(nodes: DataFrame, catalog: Catalog | None = None, sets: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,20 +19,38 @@ def throttle(events: DataFrame, key: str, ts: str, millis: int, strict: bool = F
     """key, opened, n: the first event opens a timer, events within ``millis`` of it are absorbed.
 
     strict: an event exactly ``millis`` later is absorbed as well.  A gap of ``millis`` or more always opens a new one, so each key's events
-    are cut there first (a window function), and the fold runs over one burst.
+    are cut into bursts there by a window function; bursts are dealt over the tasks, and each task reads its rows in order and holds one
+    open timer, however long a burst is.  Events without a time have no part.
     """
     apart = millis * 1000 + int(strict)
-    gap = _micros(ts) - F.lag(_micros(ts)).over(Window.partitionBy(key).orderBy(ts))
-    cut = events.select(key, ts, F.coalesce((gap >= apart).cast("int"), F.lit(1)).alias("_new"))
-    bursts = cut.withColumn("_burst", F.sum("_new").over(Window.partitionBy(key).orderBy(ts)))
-    each = bursts.groupBy(key, "_burst").agg(F.array_sort(F.collect_list(_micros(ts))).alias("_at"))
-    none = F.array().cast("array<bigint>")
-    opened = F.aggregate(
-        "_at", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= apart), F.array_append(acc, t)).otherwise(acc)
-    )
-    spans = each.select(key, "_at", F.explode(opened).alias("_o"))
-    n = F.size(F.filter("_at", lambda t: (t >= F.col("_o")) & (t < F.col("_o") + apart)))
-    return spans.select(key, F.timestamp_micros("_o").cast(events.schema[ts].dataType).alias("opened"), n.cast("long").alias("n"))
+    by = Window.partitionBy(key).orderBy("_at")
+    timed = events.select(F.col(key), _micros(ts).alias("_at")).where("_at is not null")
+    cut = timed.withColumn("_new", F.coalesce((F.col("_at") - F.lag("_at").over(by) >= apart).cast("int"), F.lit(1)))
+    bursts = cut.withColumn("_burst", F.sum("_new").over(by)).select(key, "_burst", "_at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, opened, n = None, 0, 0
+        for batch in batches:
+            out = []
+            for k, burst, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if who == (k, burst) and at - opened < apart:
+                    n += 1
+                    continue
+                if who is not None:
+                    out.append((who[0], opened, n))
+                who, opened, n = (k, burst), at, 1
+            yield rows(out, batch.schema)
+        if who is not None:
+            yield rows([(who[0], opened, n)], batch.schema)
+
+    def rows(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        kinds = (schema.field(0).type, pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=[key, "_o", "n"])
+
+    kind = events.schema[key].dataType.simpleString()
+    ordered = bursts.repartition(key, "_burst").sortWithinPartitions(key, "_burst", "_at")
+    timers = ordered.mapInArrow(fold, f"`{key}` {kind}, _o long, n long")
+    return timers.select(key, F.timestamp_micros("_o").cast(events.schema[ts].dataType).alias("opened"), "n")
 
 
 def debounce(events: DataFrame, key: str, ts: str, value: str, millis: int) -> DataFrame:
