@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The 25 white-space code points of the catalog's dialect.
 WS = "\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -96,6 +97,13 @@ SCIENCE = PatternSet("science", "Science (English)", (
     Pattern("cs.model", "ML model family", "cs", r"\b(?:Transformer|GPT-[1-9](?:\.\d+)?[A-Z]?|BERT(?:\-[A-Za-z]+)?|RoBERTa|T5|Llama(?:[-\s]?\d+)?|LLaMA|Mistral|Mixtral|Gemma|DeepSeek|Qwen|Claude|GPT-4o|RNN|LSTM|GRU|CNN|GAN|VAE|Diffusion|ResNet(?:-\d+)?|EfficientNet|ViT(?:-\d+)?)\b", "gi", 0, "Named ML architecture or model"),
     Pattern("cs.dataset", "ML dataset", "cs", r"\b(?:MNIST|CIFAR(?:-\d+)?|ImageNet|GLUE|SuperGLUE|SQuAD|MS-COCO|COCO|CommonCrawl|The Pile|WikiText|LAION|HuggingFaceH4)\b", tooltip="Common ML evaluation dataset"),
 ))
+#: Names that a search for keywords must find beside the patterns' labels.
+KEYWORDS = (
+    "arXiv:2401.01234", "arXiv:2412.12345", "arXiv:2605.22166", "10.1038/nature12373", "10.1126/science.aaa8680",
+    "Llama-3", "GPT-4o", "Mistral", "Phi-3", "Gemma", "DeepSeek", "BERT", "RoBERTa", "T5", "Mixtral", "Qwen", "Transformer", "ResNet", "ViT", "CNN", "LSTM", "GAN", "VAE",
+    "H2O", "CO2", "H2SO4", "Z boson", "W boson", "Higgs boson", "TP53", "BRCA1", "Ras", "Akt", "p53",
+    "MNIST", "CIFAR-10", "ImageNet", "GLUE", "SQuAD", "NeurIPS", "ICML", "ACL",
+)
 # End of the fixed values.
 
 
@@ -134,6 +142,14 @@ class Catalog:
         )
 
 
+def keywords(catalog: Catalog, spark: SparkSession) -> DataFrame:
+    """keyword: the labels and tooltips of all patterns and the fixed names, each once, in order."""
+    rows = catalog.frame(spark)
+    named = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")
+    each = rows.select(F.trim("label").alias("keyword")).union(rows.select(F.trim("tooltip"))).union(named)
+    return each.where("keyword <> ''").distinct().orderBy("keyword")
+
+
 def default_catalog() -> Catalog:
     return Catalog(CITATIONS, SCIENCE)
 

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import links, text, vectors
+from ..functions import catalog, links, replies, text, vectors
 from ..functions.catalog import WS, Pattern, default_catalog, dialect_spaces, python_regex
-from ..operators import dedupe, evaluate, scan, search
+from ..operators import dedupe, evaluate, lookup, scan, search
 from ..sources import files, html, scanners
 from ..streaming import state
 from . import pages as page_plan
@@ -295,8 +295,7 @@ def catalog_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = CATALOG.frame(spark)
-    return rows.select(F.trim("label").alias("keyword")).union(rows.select(F.trim("tooltip"))).where("keyword <> ''").distinct()
+    return catalog.keywords(CATALOG, spark)
 
 
 def catalog_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +310,7 @@ def _values(rows: list[tuple]) -> str:
 
 
 SETS_SQL = f"SELECT * FROM (VALUES {_values([(s.id, s.name, ','.join(p.id for p in s.patterns)) for s in CATALOG.sets])}) t(set_id, set_name, patterns)"
-KEYWORDS_SQL = f"SELECT DISTINCT keyword FROM (VALUES {_values([(x,) for p in PATTERNS.values() for x in (p.label, p.tooltip)])}) t(keyword)"
+KEYWORDS_SQL = f"SELECT DISTINCT keyword FROM (VALUES {_values([(x,) for p in PATTERNS.values() for x in (p.label, p.tooltip)] + [(x,) for x in catalog.KEYWORDS])}) t(keyword)"
 PARITY_SQL = f"SELECT id, 'both' AS side FROM (VALUES {_values([(p,) for p in PATTERNS])}) t(id)"
 
 
@@ -365,6 +364,115 @@ _NATURAL_SQL = " UNION ALL ".join(f"SELECT '{p}' AS pattern_id, * FROM ({_scan_s
 NATURAL_SQL = f"SELECT pattern_id, count(*) AS n FROM ({_NATURAL_SQL}) GROUP BY pattern_id"
 
 
+#: Another head for each sixth of the pages: the kinds that ``HEAD`` leaves out, and near misses.
+VARIANTS = """CASE page_id % 6
+ WHEN 0 THEN concat('<meta name="citation_arxiv_id" content="2401.', lpad(concat('', page_id % 100000), 5, '0'), '"><link rel="canonical" href="/abs/2402.00001v3">')
+ WHEN 1 THEN concat('<META NAME="citation_doi_url" content="https://doi.org/10.1/no"><meta name="citation_doi_url" content="https://doi.org/10.1234/u', page_id, '">')
+ WHEN 2 THEN concat('<meta property="og:see_also" content="doi:10.4321/s', page_id, '?q"><meta property="og:title" content="10.4321/no">')
+ WHEN 3 THEN concat('<div itemscope itemtype="https://schema.org/Person"><i itemprop="doi">10.9999/no</i></div><section itemscope><img itemprop="sameAs" src="https://arxiv.org/pdf/2403.', lpad(concat('', page_id % 100000), 5, '0'), '"></section>')
+ WHEN 4 THEN concat('<a href="https://www.ncbi.nlm.nih.gov/pmc/articles/PMC', 1000 + page_id, '/">a</a><a href=" https://www.ncbi.nlm.nih.gov/pmc/articles/PMC', 1000 + page_id, '/ ">b</a><a href="https://www.biorxiv.org/content/10.1101/', page_id, '#x">c</a>')
+ ELSE concat('<script type="application/ld+json">[{"sameAs":{"url":"10.6666/w', page_id, '"},"description":"', 2000000 + page_id, '","name":"10.6666/no"}]</script><link rel="canonical" href="https://host.example/none">') END"""
+
+
+def source_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").selectExpr("page_id", "'https://arxiv.org/list/new?x=/y' AS url", f"{VARIANTS} AS html")
+    found = scanners.scan_sources(html.elements(html.parse_pages(pages)))
+    return found.select("page_id", "pattern_id", "label", "text", "source", "confidence")
+
+
+_PADDED = "lpad(concat('', page_id % 100000), 5, '0')"
+VARIANT_ROWS = [
+    (0, "arxiv.id", "citation_arxiv_id", f"concat('2401.', {_PADDED})", "meta", 1.0), (0, "arxiv.id", "canonical link arXiv", "'2402.00001v3'", "canonical", 0.9),
+    (1, "doi.url", "citation_doi_url", "'https://doi.org/10.1/no'", "meta", 1.0), (1, "doi.url", "citation_doi_url", "concat('10.1234/u', page_id)", "meta", 1.0),
+    (2, "doi", "og:url DOI", "concat('10.4321/s', page_id)", "opengraph", 0.85), (3, "arxiv.id", "microdata sameas", f"concat('2403.', {_PADDED})", "microdata", 0.85),
+    (4, "pmcid", "anchor PMCID", "concat('PMC', 1000 + page_id)", "anchor", 0.6), (4, "doi", "anchor DOI", "concat('10.1101/', page_id)", "anchor", 0.6),
+    (5, "doi", "JSON-LD DOI", "concat('10.6666/w', page_id)", "json-ld", 0.95), (5, "pmid", "JSON-LD PMID", "concat('', 2000000 + page_id)", "json-ld", 0.95),
+]
+VARIANTS_SQL = " UNION ALL ".join(f"{_source_sql([row])} WHERE page_id % 6 = {k}" for k, *row in VARIANT_ROWS)
+
+
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch sink: one JSON line for each text, in order of places, also for texts without a finding."""
+    items = appended(spark, sf_dir).selectExpr("doc_id AS item", "CASE WHEN doc_id % 3 = 0 THEN 'nothing' ELSE text END AS text")
+    found = scan.scan_text(items, ["item"], sets=["citations"])
+    return files.results_json(files.batch_results(items, found))
+
+
+def _batch_sql() -> str:
+    kinds = " ".join(f"WHEN '{p.id}' THEN '{p.category}'" for p in CATALOG.patterns(["citations"]))
+    one = f"""concat('{{"patternId":"', pattern_id, '","category":"', CASE pattern_id {kinds} END, '","text":"', f.text, '","start":', f."start", ',"end":', f."end", '}}')"""
+    return f"""SELECT d.doc_id AS item, concat('{{"findings":[', coalesce(string_agg({one}, ',' ORDER BY f."start", f."end") FILTER (WHERE f.pattern_id IS NOT NULL), ''), ']}}') AS json
+FROM documents d LEFT JOIN ({_overlap_sql()}) f ON f.doc_id = d.doc_id AND d.doc_id % 3 <> 0 GROUP BY d.doc_id"""
+
+
+#: Examples whose outcome follows from the document's id: right ones, a wrong expectation, a missing finding and two negatives.
+GOLD = """SELECT doc_id AS example, CASE doc_id % 5 WHEN 3 THEN 'cs.dataset' WHEN 4 THEN 'math.equation' ELSE 'doi' END AS pattern,
+ CASE doc_id % 5 WHEN 0 THEN concat('See 10.1234/g', doc_id, ' and 10.1234/later.') WHEN 1 THEN concat('See 10.1234/g', doc_id, ' here.') WHEN 2 THEN 'No number here.'
+  WHEN 3 THEN 'On ImageNet only.' ELSE concat('JAMA 2023;', doc_id, '(2):201') END AS text,
+ CASE doc_id % 5 WHEN 0 THEN concat('10.1234/g', doc_id) WHEN 1 THEN '10.1234/other' WHEN 2 THEN '10.1234/missing' END AS expect, doc_id % 5 = 3 AS expect_null FROM documents"""
+
+
+def gold_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = spark.sql(GOLD.replace("FROM documents", "FROM {documents}"), documents=_table(spark, sf_dir, "documents"))
+    return evaluate.outcomes(gold, scan.scan_text(gold, ["example"])).select("example", "pattern", "expect", "got", "outcome", "reason")
+
+
+GOLD_SQL = f"""SELECT example, pattern, expect, CASE example % 5 WHEN 0 THEN expect WHEN 1 THEN concat('10.1234/g', example) WHEN 3 THEN 'ImageNet' END AS got,
+ CASE example % 5 WHEN 0 THEN 'tp' WHEN 1 THEN 'fp' WHEN 2 THEN 'fn' WHEN 3 THEN 'fp' ELSE 'tn' END AS outcome,
+ CASE example % 5 WHEN 1 THEN 'fp-mismatch' WHEN 2 THEN 'fn' WHEN 3 THEN 'fp' END AS reason FROM ({GOLD})"""
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.report_lines(evaluate.prf(evaluate.confusion(outcomes(spark, sf_dir))))
+
+
+REPORT_SQL = f"""SELECT pattern, concat('| `', pattern, '` | ', tp, ' | ', fp, ' | ', fn, ' | ', tn, ' | ', printf('%.2f', p), ' | ', printf('%.2f', r), ' | ', printf('%.2f', f), ' |') AS line
+FROM (SELECT *, {PRF_COLUMNS} FROM ({CONFUSION}))"""
+
+
+def state_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state_of = latest_state(spark, sf_dir).where("user_id % 3 <> 0").select("user_id", "event_type", "n_updates")
+    asked = _table(spark, sf_dir, "events").selectExpr("user_id").distinct()
+    return lookup.state_or_default(asked, state_of, "user_id", {"event_type": "", "n_updates": 0}).withColumn("n_updates", F.col("n_updates").cast("long"))
+
+
+LOOKUP_SQL = f"""SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN event_type ELSE '' END AS event_type, CASE WHEN user_id % 3 <> 0 THEN n_updates ELSE 0 END AS n_updates FROM ({LATEST_SQL})"""
+
+
+def active_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = _table(spark, sf_dir, "events").selectExpr("user_id", "user_id % 4 = 0 AS paused").distinct()
+    return lookup.active(events(spark, sf_dir), settings, "user_id").select("event_id", "user_id")
+
+
+def finding_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = findings(spark, sf_dir).withColumn("end", F.col("start") + F.length("text"))
+    asked = findings(spark, sf_dir).selectExpr("page_id", "concat(start, '-', CASE WHEN page_id % 2 = 0 THEN start + length(text) ELSE -1 END) AS place").distinct()
+    return lookup.at_place(rows, asked)
+
+
+FINDING_AT_SQL = f"""WITH f AS (SELECT *, start + length(text) AS e FROM ({FINDINGS})), a AS (SELECT DISTINCT page_id, concat(start, '-', CASE WHEN page_id % 2 = 0 THEN e ELSE -1 END) AS place FROM f),
+g AS (SELECT page_id, concat(start, '-', e) AS place, arg_min(text, seq) AS copied FROM f GROUP BY ALL)
+SELECT a.page_id, a.place, copied IS NOT NULL AS ok, copied, CASE WHEN copied IS NULL THEN 'Finding not found' END AS error FROM a LEFT JOIN g ON a.page_id = g.page_id AND a.place = g.place"""
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.available_models(spark)
+
+
+def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of a message by its type, and the state that a reply tells."""
+    payload = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"url":"u', user_id, '","findings":[1,2]}') WHEN 1 THEN '{"url":7,"findings":"x"}' WHEN 2 THEN 'broken{' END""")
+    ok = F.expr("CASE WHEN event_id % 5 < 3 THEN false WHEN event_id % 5 = 3 THEN true END")
+    error = F.expr("CASE event_id % 5 WHEN 0 THEN 'Model NOT loaded' WHEN 1 THEN 'still loading' END")
+    status = replies.status_text(replies.model_status(ok, error))
+    return events(spark, sf_dir).select("event_id", replies.pluck_string(payload, "url", "none").alias("url"), F.size(replies.pluck_list(payload, "findings")).alias("n_findings"), status.alias("status"))
+
+
+FIELDS_SQL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('u', user_id) ELSE 'none' END AS url, CAST(CASE event_id % 4 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_findings,
+ CASE event_id % 5 WHEN 1 THEN concat('status:   loading', chr(10), 'modelId:  multilingual', chr(10), 'uptime:   0.0 s') WHEN 2 THEN concat('status:   error', chr(10), 'modelId:  multilingual', chr(10), 'error:    unknown error')
+  WHEN 3 THEN concat('status:   loaded', chr(10), 'modelId:  multilingual', chr(10), 'uptime:   0.0 s') ELSE 'status:   off' END AS status FROM events"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {"scan_" + p.id.replace(".", "_").lower(): scan_query(p) for p in PATTERNS.values()}
     out |= {k: source_query(f) for k, f in SCANNERS.items()} | {"source_all": source_query(scanners.scan_sources)}
@@ -379,7 +487,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "throttle": lambda s, d: state.throttle(events(s, d), "user_id", "ts", 600 * MINUTES),
         "cooldown": lambda s, d: state.cooldown(events(s, d), "user_id", "ts", 900 * MINUTES),
         "debounce_sessions": lambda s, d: state.debounce(events(s, d), "user_id", "ts", "value", 600 * MINUTES),
-        "state_changes": type_changes,
+        "state_changes": type_changes, "source_variants": source_variants, "batch_results": batch_results, "gold_outcomes": gold_outcomes, "eval_report": eval_report,
+        "state_lookup": state_lookup, "active_events": active_events, "finding_at_place": finding_at, "available_models": models, "message_fields": message_fields,
     }
 
 
@@ -392,4 +501,7 @@ def oracle_sql() -> dict[str, str]:
         "eval_prf": PRF_SQL, "eval_macro_micro": MACRO_SQL, "eval_failures_top5": FAILURES_SQL, "cosine_topk": COSINE_SQL, "vector_norms": NORMS_SQL,
         "catalog_sets": SETS_SQL, "catalog_keywords": KEYWORDS_SQL, "catalog_parity": PARITY_SQL, "import_render": IMPORTS_SQL, "latest_state_per_user": LATEST_SQL,
         "throttle": _throttle_sql(600 * MINUTES), "cooldown": f"SELECT user_id, opened AS fired FROM ({_throttle_sql(900 * MINUTES, True)})", "debounce_sessions": debounce_sql(600 * MINUTES), "state_changes": CHANGES_SQL,
+        "source_variants": VARIANTS_SQL, "batch_results": _batch_sql(), "gold_outcomes": GOLD_SQL, "eval_report": REPORT_SQL, "state_lookup": LOOKUP_SQL,
+        "active_events": "SELECT event_id, user_id FROM events WHERE user_id % 4 <> 0", "finding_at_place": FINDING_AT_SQL,
+        "available_models": "SELECT CAST(0 AS INTEGER) AS ord, 'multilingual' AS id, 'Multilingual (~25 MB)' AS label, CAST(384 AS INTEGER) AS dimensions", "message_fields": FIELDS_SQL,
     }
