@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +59,20 @@ def display_id(category: Column, pattern_id: Column) -> Column:
 def safe_name(text: Column, limit: int = 80) -> Column:
     """Letters, digits, dash and underscore only."""
     return F.substring(F.regexp_replace(text, r"[^\p{L}\p{N}_-]", "_"), 1, limit)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A ratio between 0 and 1 with so many decimals, rounded from its exact binary value, an exact half to the even side.
+
+    ``format_string`` rounds the shortest decimal that stands for the number, which may lie on the other side of a half.
+    """
+    # The number as a count of 2**-72, in two parts that are exact: a long, and what is left of a small number.
+    unit, whole, long = F.lit(10**digits), F.lit(Decimal(2**72)), lambda c: c.cast("long")
+    high = long(x * float(2**62))
+    low = long((x * float(2**62) - high.cast("double")) * 1024.0)
+    scaled = (high.cast("decimal(20,0)") * F.lit(Decimal(1024)) + low.cast("decimal(5,0)")) * unit.cast("decimal(5,0)")
+    down = F.call_function("div", scaled, whole)
+    twice = (scaled - down.cast("decimal(5,0)") * whole) * F.lit(2)
+    up = (twice > whole) | ((twice == whole) & (down % 2 == 1))
+    shown = down + up.cast("long")
+    return F.concat(F.floor(shown / unit).cast("string"), F.lit("."), F.lpad((shown % unit).cast("string"), digits, "0"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import fixed
 from .scan import scan_text
 
 GATE = 0.85
@@ -61,14 +62,14 @@ def failures(rows: DataFrame, each: int = 5) -> DataFrame:
 
 def report_lines(scores: DataFrame) -> DataFrame:
     """pattern, line: the rows of a metrics table in Markdown, without its head (``REPORT_HEAD``)."""
-    two = lambda c: F.format_string("%.2f", c)
+    two = lambda c: fixed(F.col(c), 2)
     cells = F.concat_ws(" | ", F.concat(F.lit("`"), "pattern", F.lit("`")), "tp", "fp", "fn", "tn", two("precision"), two("recall"), two("f1"))
     return scores.select("pattern", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
 
 
 def summary_lines(totals: DataFrame, scores: DataFrame) -> DataFrame:
     """ord, line: the macro and micro ratios, and how many patterns were judged; no pattern, no data."""
-    three = lambda a, mark="": F.concat(F.lit(mark), F.format_string("%.3f", a), F.lit(mark))
+    three = lambda a, mark="": F.concat(F.lit(mark), fixed(F.col(a), 3), F.lit(mark))
     row = lambda name, kind, mark="": F.concat(F.lit(f"- {name} P/R/F1: "), F.concat_ws(" / ", three(f"{kind}_precision"), three(f"{kind}_recall"), three(f"{kind}_f1", mark)))
     counted = totals.crossJoin(scores.agg(F.count(F.lit(1)).alias("n")))  # one row each
     lines = F.array(row("Macro", "macro", "**"), row("Micro", "micro"), F.concat(F.lit("- Patterns evaluated: "), F.col("n").cast("string")))

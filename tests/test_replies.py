@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glosslake.functions import replies
+from glosslake.functions import replies, text
 from glosslake.operators import evaluate, lookup
 
 
@@ -48,3 +48,10 @@ def test_report(spark):
 
 def test_models(spark):
     assert [(r["id"], r["label"]) for r in replies.available_models(spark).collect()] == [("multilingual", "Multilingual (~25 MB)")]
+
+
+def test_fixed_is_rounded_from_the_binary_value(spark):
+    values = sorted({a / b for b in (1, 3, 7, 8, 16, 40, 80, 200, 400, 1000) for a in range(b + 1)} | {0.005, 0.015, 0.0005})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = df.select(text.fixed(F.col("v"), 2).alias("two"), text.fixed(F.col("v"), 3).alias("three")).orderBy("i").collect()
+    assert [tuple(r) for r in got] == [(f"{v:.2f}", f"{v:.3f}") for v in values]
