@@ -1,7 +1,8 @@
 """Words and their 64-bit hashes, for whole batches of texts at once in numpy.
 
 A word is a maximal run of bytes other than the six ASCII white-space bytes,
-after A-Z are lower-cased.  A word's hash is a polynomial over random values
+or, as a term, of ASCII letters and digits and non-ASCII bytes, after A-Z are
+lower-cased.  A word's hash is a polynomial over random values
 of its bytes, finished by a mixer; equal words have equal hashes everywhere.
 """
 
@@ -16,6 +17,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: The bytes that part terms: ASCII other than letters and digits.
+TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -40,14 +43,24 @@ class Words:
     text: bytes
     offsets: np.ndarray  # for each text, its first byte in ``text``
 
+    def prefixes(self, n: int) -> np.ndarray:
+        """A hash of the first ``n`` bytes of each word, of fewer where the word is shorter."""
+        raw = np.frombuffer(self.text, np.uint8)
+        total = np.zeros(len(self.starts), np.uint64)
+        power = np.cumprod(np.full(n, _BASE))
+        for k in range(n):
+            at = self.starts + k
+            total += np.where(at < self.ends, _VALUE[_LOWER[raw[np.minimum(at, len(raw) - 1)]]] * power[k], np.uint64(0))
+        return total
 
-def words_of(texts: list[str | None]) -> Words:
+
+def words_of(texts: list[str | None], apart: np.ndarray = _SPACE) -> Words:
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     joined = b"\n".join(parts) + b"\n"
     size = np.array([len(p) + 1 for p in parts], np.int64)
     offsets = np.cumsum(size) - size
     raw = np.frombuffer(joined, np.uint8)
-    space = _SPACE[raw]
+    space = apart[raw]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
