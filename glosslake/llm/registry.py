@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, main_text, packing, pii, sharding, substring, topk, toxicity, url_filter
+from . import decontaminate, jaccard, langid, main_text, packing, pii, sharding, substring, topk, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_topk": topk.op8_exact_topk,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_repeated_lines": substring.op10_repeated_lines,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
         "op13_toxic_spans": toxicity.op13_toxic_spans,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_pii_spans": pii.OP7_SQL,
         "op8_exact_topk": topk.OP8_SQL,
         "op10_repeated_lines": substring.OP10_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
     }

@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_batches, table
 from .words import TERM, Words, chunks, mixed, words_of
@@ -339,9 +340,8 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], spans: bool =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *said], names=names)
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    shape = rows.drop("_text").schema.add("score", "double")
-    if spans:
-        shape = shape.add("spans", "array<struct<start:long,end:long,marginal:double>>")
+    added = StructType.fromDDL("score double" + (", spans array<struct<start:long,end:long,marginal:double>>" if spans else ""))
+    shape = StructType([*rows.drop("_text").schema, *added])
     names = shape.fieldNames()
     return map_batches(rows, score, shape)
 
