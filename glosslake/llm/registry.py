@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, main_text, packing, pii, sharding, substring, topk, toxicity, url_filter, vector_codes
+from . import decontaminate, jaccard, langid, lexical, main_text, packing, pii, sharding, substring, topk, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_repeated_lines": substring.op10_repeated_lines,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_lexical_topk": lexical.op12_lexical_topk,
         "op13_toxic_spans": toxicity.op13_toxic_spans,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_topk": topk.OP8_SQL,
         "op10_repeated_lines": substring.OP10_SQL,
         "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_lexical_topk": lexical.OP12_SQL,
     }
