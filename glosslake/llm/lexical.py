@@ -10,11 +10,12 @@ documents, and stops where the highest bound that is left is below the score
 that is already certain for the k-th place.  Nodes whose bound equals it are
 opened, because of ties.
 
-Two passes share the work between ranges.  The first opens in every range the
-best nodes of each query, until k of its documents are scored; the k-th best
-score of all ranges is certain for the query.  The second begins with that
-score, so that ranges and nodes without a chance are never opened; ranges whose
-root's bound is too low are not even read for the query.
+Two passes share the work between ranges, and neither shuffles the index.  The
+first opens in every range the best nodes of each query, until k of its
+documents are scored; the k-th best score of all of them is certain for the
+query.  The second begins with that score, so that nodes without a chance, and
+ranges whose root has none, are never opened.  Within a task the certain score
+rises from range to range.
 
 The queries (``item_id``, ``text``) go out in blocks of at most ``BLOCK_CHARS``
 characters, so what is broadcast has a bound; statistics (documents, lengths,
@@ -49,7 +50,7 @@ from .words import TERM, chunks, words_of
 K = 20
 #: Children of a node of the tree.
 FAN = 16
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 FILTER_BITS = 20
 RANGE = "range long, ids array<{id}>, lengths array<int>, first array<int>, terms array<int>, counts array<int>"
 
@@ -156,9 +157,6 @@ class Tree:
             below = self.levels[-1]
             self.levels.append(np.maximum.reduceat(below, np.arange(0, below.shape[1], FAN), axis=1))
 
-    def root(self, own: np.ndarray, weights: np.ndarray) -> int:
-        return int((self.levels[-1][self.row_of[own], 0] * weights).sum())
-
     def search(self, own: np.ndarray, weights: np.ndarray, k: int, certain: int, enough: int | None = None) -> list[tuple[int, int]]:
         """(score, place) of documents whose score is above 0 and may be among the k best: best-first.
 
@@ -200,7 +198,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(len(batch)):
             row = {c: batch.column(c)[i].values.to_numpy() for c in ("lengths", "first", "terms", "counts")}
-            yield row | {"range": batch.column("range")[i].as_py(), "ids": batch.column("ids")[i].values, "batch": batch, "i": i}
+            yield row | {"range": batch.column("range")[i].as_py(), "ids": batch.column("ids")[i].values}
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -240,42 +238,43 @@ def _block(docs: DataFrame, ids: list, texts: list[str], k: int, item_type: str)
     df = _frequencies(ranges, len(queries.terms))
     weights = np.array([math.floor(1000 * math.log((2 * total["n"] + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
     sent = spark.sparkContext.broadcast((queries.own, [weights[o] * t for o, t in zip(queries.own, queries.times, strict=True)], Statistics(total["n"], total["l"], weights), len(weights)))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"query int, doc_id {id_type}, score long, range long, place int"
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weight, stats, n_terms = sent.value
+        best: list[list[int]] = [[] for _ in own]
         for row in _rows(batches):
             tree = Tree(row, stats, n_terms)
-            roots = [tree.root(o, w) for o, w in zip(own, weight, strict=True)]
-            firsts = [[s for s, _ in sorted(tree.search(o, w, k, 0, enough=k), reverse=True)[:k]] for o, w in zip(own, weight, strict=True)]
-            lists = pa.array(firsts, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row["range"])), pa.array(range(len(own)), pa.int32()), pa.array(roots, pa.int64()), lists], names=["range", "query", "root", "firsts"])
+            for q, scores in enumerate(best):
+                found = tree.search(own[q], weight[q], k, scores[-1] if len(scores) == k else 0, enough=k)
+                best[q] = sorted([*scores, *(s for s, _ in found)], reverse=True)[:k]
+        for q, scores in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(scores), pa.int32()), pa.array(scores, pa.int64())], names=["query", "score"])
 
-    seeded = materialize(map_batches(ranges, seeds, "range long, query int, root long, firsts array<long>").where("root > 0"), "seeds")
-    firsts = seeded.select("query", F.explode("firsts").alias("score"))
     nth = Window.partitionBy("query").orderBy(F.col("score").desc())
-    certain = firsts.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= k).groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0).alias("certain"))
-    # A row for each query of the block: bounded like the block itself.
-    open_ = seeded.join(F.broadcast(certain), "query", "left").withColumn("certain", F.coalesce("certain", F.lit(0).cast("long"))).where("root >= certain")
-    asked = open_.groupBy("range").agg(F.collect_list(F.struct("query", "certain")).alias("asked"))  # the block's queries at most
+    firsts = map_batches(ranges, seeds, "query int, score long").withColumn("n", F.row_number().over(nth)).where(F.col("n") == k)
+    certain = np.zeros(len(queries.own), np.int64)
+    for r in firsts.select("query", "score").collect():  # a row for each item of the block at most
+        certain[r["query"]] = r["score"]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    shape = f"query int, doc_id {id_type}, score long, range long, place int"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weight, stats, n_terms = sent.value
+        best: list[list[int]] = [[] for _ in own]
         for row in _rows(batches):
             tree = Tree(row, stats, n_terms)
             query, score, place = [], [], []
-            for x in row["batch"].column("asked")[row["i"]].as_py():
-                q = x["query"]
-                found = tree.search(own[q], weight[q], k, x["certain"])
+            for q, scores in enumerate(best):
+                found = tree.search(own[q], weight[q], k, max(int(certain[q]), scores[-1] if len(scores) == k else 0))
+                best[q] = sorted([*scores, *(s for s, _ in found)], reverse=True)[:k]
                 query += [q] * len(found)
                 score += [s for s, _ in found]
                 place += [p for _, p in found]
             cols = [pa.array(query, pa.int32()), row["ids"].take(pa.array(place, pa.int64())), pa.array(score, pa.int64()), pa.array(np.full(len(query), row["range"])), pa.array(place, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=["query", "doc_id", "score", "range", "place"])
 
-    best = materialize(_ranked(map_batches(ranges.join(asked, "range"), search, shape), k), "best")
-    discard(ranges, seeded)
+    best = materialize(_ranked(map_batches(ranges, search, shape), k), "best")
+    discard(ranges)
     names = spark.createDataFrame(list(enumerate(ids)), f"query int, item_id {item_type}")
     return best.join(F.broadcast(names), "query").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
