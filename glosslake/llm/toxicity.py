@@ -179,7 +179,7 @@ class Model:
         if spans:
             hot = np.flatnonzero(p >= MIN_MARGINAL)
             runs = np.flatnonzero(np.concatenate(([True], (np.diff(hot) > 1) | (of[hot[1:]] != of[hot[:-1]])))) if len(hot) else hot
-            for begin, end in zip(runs, [*runs[1:], len(hot)], strict=True):
+            for begin, end in zip(runs, np.append(runs, len(hot))[1:], strict=True):
                 i, j = hot[begin], hot[end - 1]
                 base = int(words.offsets[of[i]])
                 before = len(words.text[base : words.starts[i]].decode("utf-8", "replace"))
