@@ -1,22 +1,27 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks pick some of the words of a window and ignore the others, so a
+Fixed masks pick four of the words of a window and ignore the others, so a
 seed still matches where ignored words were substituted.  The hashes of the
 benchmark's windows are looked up for every window of every document; each hit
-fixes a diagonal (document place minus item place), along which the words are
-compared outwards from the hit until mismatches outweigh matches.  The item's
-words that are matched on any diagonal count once; a document is contaminated
-by an item if at least ``MIN_COVER`` of its words, and ``MIN_WORDS``, match, or
-if ``RUN_WORDS`` match in one extended segment, whatever their share of the item.
+fixes a diagonal (document place minus item place), along which the whole item
+is compared, once for each diagonal.  A document is contaminated by an item if
+on one diagonal at least ``MIN_COVER`` of its words, and ``MIN_WORDS``, are
+equal; or so many in all on several diagonals, counting *segments* alone; or if
+one segment has ``RUN_WORDS`` equal words, whatever their share of the item.  A
+segment has at least ``SEGMENT_WORDS`` equal words, each with enough others
+around it, and no gap of more than ``GAP`` words.
 
 The benchmark goes out in blocks of at most ``BLOCK_CHARS`` characters (all of
 it at once where it is smaller), each applied to all documents, so what is
-broadcast has a bound.  Documents need no shuffle.
+broadcast has a bound.  Documents need no shuffle.  Repeated words cost no more
+than others: equal windows in a row are one entry, here and in the documents,
+and two such rows give their diagonals at once.
 
 Defined cases: null or empty texts match nothing; items of fewer than
 ``MIN_WORDS`` words are no evidence and match nothing; repeated documents are
-each reported, repeated items too; a null item_id is reported as null; empty
-tables give no rows; columns of other names are not read.
+each reported, repeated items too; a null item_id is reported as null; items
+that share a passage are each reported for each document that holds enough of
+it; empty tables give no rows; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -31,97 +36,139 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_batches, table
-from .words import chunks, windows, words_of
+from .words import Words, chunks, windows, words_of
 
-MASKS = ["111111", "1110111", "11011011", "101100110101"]
+MASKS = ["1111", "11011", "101011", "1100101", "10010011"]
 MIN_WORDS = 8
 MIN_COVER = 0.5
-#: Words of one segment that are enough in an item of any length.
-RUN_WORDS = 13
-#: Extension ends where the score (match 1, mismatch -1) falls this far below its best.
-DROP = 4
+#: Words of one segment that are enough in an item of any length, and that make a segment at all.
+RUN_WORDS, SEGMENT_WORDS = 13, 6
+#: An equal word belongs to a segment if DENSE words are equal from REACH before it to REACH behind it.
+REACH, DENSE, GAP = 4, 4, 4
 BLOCK_CHARS = 32_000_000
 FILTER_BITS = 20
+#: Pairs of windows, and aligned words, that are handled at once.
+AT_ONCE = 1 << 20
+
+
+def _spans(low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ranges, and which number, of all numbers in the ranges from ``low`` on."""
+    which = np.repeat(np.arange(len(low)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+
+
+def _parts(count: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose counts sum to about ``most``."""
+    if len(count):
+        edge = np.flatnonzero(np.diff(np.cumsum(count) // most)) + 1
+        for low, high in zip([0, *edge], [*edge, len(count)], strict=True):
+            yield slice(low, high)
+
+
+def _rows_of_equals(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of rows of equal windows at consecutive places."""
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1)))) if len(h) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(h)))
 
 
 class Matcher:
-    """The seeds of a block of items."""
+    """The seeds of a block of items: for each mask, hashes of rows of equal windows, their first places and lengths."""
 
     def __init__(self, item_ids: list, texts: list[str | None]):
         words = words_of(texts)
-        length = np.diff(words.first)
-        self.ids, self.lengths = item_ids, length
-        self.items = [words.hashes[a:b] for a, b in zip(words.first, words.first[1:], strict=False)]
-        of = np.repeat(np.arange(len(texts)), length)
-        at = np.arange(len(words.hashes)) - np.repeat(words.first[:-1], length)
+        self.ids, self.first, self.hashes = item_ids, words.first, words.hashes
+        self.lengths = np.diff(words.first)
+        self.of = np.repeat(np.arange(len(texts)), self.lengths)
+        self.need = np.maximum(MIN_WORDS, np.ceil(MIN_COVER * self.lengths)).astype(np.int64)
         self.masks = [([i for i, c in enumerate(m) if c == "1"], len(m)) for m in MASKS]
         self.tables = []
         for picked, span in self.masks:
             h = windows(words.hashes, picked, span)
-            inside = (of[: len(h)] == of[len(of) - len(h) :]) & (length[of[: len(h)]] >= MIN_WORDS) if len(h) else np.zeros(0, bool)
-            h, item, place = h[inside], of[: len(h)][inside], at[: len(h)][inside]
-            order = np.argsort(h, kind="stable")
+            at = np.flatnonzero((self.of[: len(h)] == self.of[len(self.of) - len(h) :]) & (self.lengths[self.of[: len(h)]] >= MIN_WORDS)) if len(h) else np.zeros(0, np.int64)
+            h = h[at]
+            first, n = _rows_of_equals(h, at + self.of[at])  # rows end with their item
+            order = np.argsort(h[first], kind="stable")
             filled = np.zeros(1 << FILTER_BITS, bool)
             filled[h >> np.uint64(64 - FILTER_BITS)] = True
-            self.tables.append((h[order], item[order], place[order], filled))
+            self.tables.append((h[first][order], at[first][order].astype(np.int32), n[order].astype(np.int32), filled))
+
+    def _diagonals(self, words: Words, of: np.ndarray) -> np.ndarray:
+        """(text, item, diagonal) of all seeds, each once; a diagonal is a document's word number minus the item's."""
+        base = int(self.lengths.max(initial=0))
+        wide = len(words.hashes) + base + 1
+        keys = []
+        for (picked, span), (known, place, n, filled) in zip(self.masks, self.tables, strict=True):
+            h = windows(words.hashes, picked, span)
+            maybe = np.flatnonzero(filled[h >> np.uint64(64 - FILTER_BITS)]) if len(known) else np.zeros(0, np.int64)
+            maybe = maybe[of[maybe] == of[maybe + span - 1]]
+            first, m = _rows_of_equals(h[maybe], maybe + of[maybe])
+            p = maybe[first]
+            low, high = np.searchsorted(known, h[p], "left"), np.searchsorted(known, h[p], "right")
+            hit = high > low
+            p, m, low, count = p[hit], m[hit], low[hit], (high - low)[hit]
+            for part in _parts(count, AT_ONCE):
+                which, entry = _spans(low[part], count[part])
+                q, item = place[entry].astype(np.int64), self.of[place[entry]]
+                own = q - self.first[item]
+                begin = p[part][which] - own - (n[entry] - 1)  # a row of m windows and one of n meet on m + n - 1 diagonals
+                many = m[part][which] + n[entry] - 1
+                for some in _parts(many, AT_ONCE):
+                    row, diagonal = _spans(begin[some], many[some])
+                    text = of[p[part][which][some]]
+                    keys.append(np.unique((text[row] * len(self.lengths) + item[some][row]) * wide + diagonal + base))
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        pair, diagonal = np.divmod(key, wide)
+        return np.stack([*np.divmod(pair, len(self.lengths)), diagonal - base], axis=1)
 
     def hits(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """text (index), item (index), n_words, n_matched, start, end (code points) of each match."""
         words = words_of(texts)
         of = np.repeat(np.arange(len(texts)), np.diff(words.first))
-        seeds: set[tuple[int, int, int, int]] = set()
-        for (picked, span), (known, item, place, filled) in zip(self.masks, self.tables, strict=True):
-            h = windows(words.hashes, picked, span)
-            maybe = np.flatnonzero(filled[h >> np.uint64(64 - FILTER_BITS)]) if len(known) else np.zeros(0, np.int64)
-            maybe = maybe[of[maybe] == of[maybe + span - 1]]
-            low, high = np.searchsorted(known, h[maybe], "left"), np.searchsorted(known, h[maybe], "right")
-            for p, a, b in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                seeds.update((int(of[p]), int(item[k]), p - int(place[k]), int(place[k])) for k in range(a, b))
         found: dict[tuple[int, int], list] = {}
-        done: dict[tuple[int, int, int], tuple[int, int]] = {}
-        for text, item, diagonal, q in sorted(seeds):
-            low, high = done.get((text, item, diagonal), (0, 0))
-            if low <= q < high:
-                continue  # inside what this diagonal has matched already
-            low, high, same = self._extended(words, text, item, diagonal, q)
-            done[text, item, diagonal] = (low, high)
-            found.setdefault((text, item), []).append((low, high, diagonal, same))
+        lines = self._diagonals(words, of)
+        size = self.lengths[lines[:, 1]]
+        for part in _parts(size, AT_ONCE):
+            self._compared(words, lines[part], size[part], found)
         rows = []
         for (text, item), segments in found.items():
             covered = np.zeros(self.lengths[item], bool)
-            for low, high, _, same in segments:
-                covered[low:high] |= same
+            for own, _, _ in segments:
+                covered[own] = True
             n = int(covered.sum())
-            longest = max(int(same.sum()) for _, _, _, same in segments)
-            if n >= max(MIN_WORDS, MIN_COVER * len(covered)) or longest >= RUN_WORDS:
-                first = min(low + d for low, _, d, _ in segments)
-                last = max(high + d for _, high, d, _ in segments) - 1
+            if n >= self.need[item] or max(most for _, _, most in segments) >= RUN_WORDS:
+                first = min(int(own[0]) + d for own, d, _ in segments)
+                last = max(int(own[-1]) + d for own, d, _ in segments)
                 begin = words.text[words.offsets[text] : words.starts[first]].decode("utf-8", "replace")
                 middle = words.text[words.starts[first] : words.ends[last]].decode("utf-8", "replace")
                 rows.append((text, item, len(covered), n, len(begin), len(begin) + len(middle)))
         table = np.array(rows, np.int64).reshape(-1, 6)
         return dict(zip(("text", "item", "n_words", "n_matched", "start", "end"), table.T, strict=True))
 
-    def _extended(self, words, text: int, item: int, diagonal: int, q: int) -> tuple[int, int, np.ndarray]:
-        own = self.items[item]
-        low = max(0, int(words.first[text]) - diagonal)
-        high = min(len(own), int(words.first[text + 1]) - diagonal)
-        same = own[low:high] == words.hashes[low + diagonal : high + diagonal]
-        value = np.where(same, 1, -1)
-        right, left = value[q - low :], value[: q - low][::-1]
-        end, begin = q + _reach(right), q - _reach(left)
-        return begin, end, same[begin - low : end - low]
-
-
-def _reach(value: np.ndarray) -> int:
-    """How far the best extension goes before the score has dropped by DROP."""
-    if not len(value):
-        return 0
-    total = np.cumsum(value)
-    best = np.maximum(np.maximum.accumulate(total), 0)
-    fallen = np.flatnonzero(best - total >= DROP)
-    total = total[: fallen[0]] if len(fallen) else total
-    return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
+    def _compared(self, words: Words, lines: np.ndarray, size: np.ndarray, found: dict) -> None:
+        """Adds to ``found`` each diagonal that counts: its equal words' places in the item, itself, the words of its best segment."""
+        text, item, diagonal = lines.T
+        line, own = _spans(np.zeros(len(size), np.int64), size)
+        at = own + diagonal[line]
+        inside = (at >= words.first[text[line]]) & (at < words.first[text[line] + 1])
+        same = inside & (words.hashes[np.where(inside, at, 0)] == self.hashes[self.first[item[line]] + own])
+        begin = np.cumsum(size) - size
+        upto = np.concatenate(([0], np.cumsum(same)))
+        total = upto[begin + size] - upto[begin]
+        place = np.arange(len(line))
+        around = upto[np.minimum(place + REACH + 1, (begin + size)[line])] - upto[np.maximum(place - REACH, begin[line])]
+        dense = np.flatnonzero(same & (around >= DENSE))
+        if not len(dense):
+            return
+        cut = np.flatnonzero(np.concatenate(([True], (np.diff(dense) > GAP + 1) | (line[dense[1:]] != line[dense[:-1]]))))
+        n = np.diff(np.append(cut, len(dense)))
+        best = np.zeros(len(size), np.int64)
+        np.maximum.at(best, line[dense[cut]], n)
+        in_segment = np.zeros(len(line), bool)
+        in_segment[dense[np.repeat(n >= SEGMENT_WORDS, n)]] = True
+        for k in np.flatnonzero((best >= SEGMENT_WORDS) | (total >= self.need[item])):
+            part = slice(begin[k], begin[k] + size[k])
+            counted = same[part] if total[k] >= self.need[item[k]] else in_segment[part]
+            found.setdefault((int(text[k]), int(item[k])), []).append((np.flatnonzero(counted), int(diagonal[k]), int(best[k])))
 
 
 def _blocks(benchmark: DataFrame, chars: int) -> Iterator[tuple[list, list]]:

@@ -17,7 +17,9 @@ from dataclasses import dataclass, field
 from html import unescape
 from typing import NamedTuple
 
-START = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|[!?]|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+))")
+START = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|[!?]|/(?=[^a-zA-Z])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+))")
+#: The end of a comment that has begun; ``<!-->`` and ``<!--->`` are whole ones.
+COMMENT_END = re.compile(r"--!?>")
 #: What a tag's end is looked for by: the end, or a value and how it begins.
 STOP = re.compile(r""">|=\s*+(?:(["'])|[^\s>"'][^\s>]*+)""")
 ATTR = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -89,15 +91,16 @@ class Scanner:
 
     def __init__(self, html: str):
         self.html, self.quotes = html, True
-        self.last = {s: html.rfind(s) for s in (">", '"', "'", "-->", "]]>")}
+        self.last = {s: html.rfind(s) for s in (">", '"', "'", "]]>")}
 
     def next(self, at: int) -> Tag | None:
         html = self.html
         while m := START.search(html, at):
             at = m.end()
             if m["comment"]:
-                end = html.find("-->", at) + 3 if self.last["-->"] >= at else len(html)
-                return Tag(m.start(), end)
+                short = next((at + len(x) for x in (">", "->") if html.startswith(x, at)), None)
+                closed = None if short else COMMENT_END.search(html, at)
+                return Tag(m.start(), short or (closed.end() if closed else len(html)))
             if m["cdata"] and self.last["]]>"] >= at:
                 return Tag(m.start(), html.find("]]>", at) + 3)
             if not m["name"]:

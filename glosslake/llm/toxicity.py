@@ -16,8 +16,8 @@ clean ones.  Equal features between equal neighbours count once, so groups of
 copies count as one.  The field is then trained by its exact likelihood.
 
 The sample that it learns from: of each label, rows by a hash of the doc_id so
-that about ``TRAIN_CHARS`` characters are expected (all, if there are fewer),
-none of more than ``LONGEST`` characters.  Whole texts of all rows are scored,
+that about ``TRAIN_CHARS`` characters, and at most ``TRAIN_ROWS`` rows, are expected
+(all, if there are fewer), none of more than ``LONGEST`` characters.  Whole texts of all rows are scored,
 a very long one in slices of ``SLICE`` characters, each a chain of its own whose
 sums are added up, so it needs little more memory than a short one.
 
@@ -39,15 +39,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_batches, table
+from .common import broadcast_if_small, map_batches, table
 from .words import TERM, Words, chunks, mixed, words_of
 
 #: Weights are 2 ** BITS.
 BITS = 18
 #: Bytes of a token's beginning that are features, where the token is longer.
 PREFIXES = (4, 5, 6, 8)
-#: Characters of the sample for label 0 and for label 1, and of its longest document.
-TRAIN_CHARS, LONGEST = (12_000_000, 6_000_000), 50_000
+#: Characters of the sample for label 0 and for label 1, its rows of each, and the characters of its longest document.
+TRAIN_CHARS, TRAIN_ROWS, LONGEST = (12_000_000, 6_000_000), 40_000, 50_000
 FOLDS = 3
 #: A feature marks tokens as toxic from this many distinct contexts, this ratio of frequencies and this likelihood-ratio statistic on.
 LEAST_SEEN, LEAST_LIFT, LEAST_GAIN = 4, 8.0, 20.0
@@ -209,10 +209,17 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _tags(f: np.ndarray, words: Words, toxic: np.ndarray) -> np.ndarray:
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and features of all tokens, and each text's number of tokens."""
+    parts = [(w.hashes, features(w), np.diff(w.first)) for lo, hi in chunks(texts) for w in [words_of(texts[lo:hi], TERM)]]
+    hashes, f, n = zip(*parts, strict=True)
+    return np.concatenate(hashes), np.concatenate(f), np.concatenate(n)
+
+
+def _tags(f: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Labels of tokens: those of toxic documents with a feature that marks them."""
-    before = np.concatenate(([np.uint64(0)], words.hashes[:-1]))
-    after = np.concatenate((words.hashes[1:], [np.uint64(0)]))
+    before = np.concatenate(([np.uint64(0)], hashes[:-1]))
+    after = np.concatenate((hashes[1:], [np.uint64(0)]))
     context = mixed(before * np.uint64(3) + mixed(after)) >> np.uint64(BITS)
     marks = np.zeros(1 << BITS, bool)
     of_toxic = np.bincount(f[toxic].ravel(), minlength=1 << BITS)
@@ -236,12 +243,11 @@ def fit(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (
     label = np.array(labels, bool)
     if label.all() or not label.any():
         return Model(None, np.zeros(4))
-    words = words_of(texts, TERM)
-    n = np.diff(words.first)
+    hashes, f, n = _tokens(texts)
+    begins_at = np.concatenate(([0], np.cumsum(n)))
     of = np.repeat(np.arange(len(texts)), n)
     first = np.concatenate(([True], of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
-    f = features(words)
-    tag = _tags(f, words, label[of])
+    tag = _tags(f, hashes, label[of])
     share = max(1e-6, float(tag.mean())) if len(tag) else 1e-6
     chain = Chain(np.zeros(1 << BITS), float(np.log(share)), np.zeros(3))
     squares, bias_squares, step_squares = np.full(1 << BITS, 1e-2), 1.0, np.ones(3)
@@ -249,7 +255,7 @@ def fit(texts: list[str], labels: list[int], stands_for: tuple[float, float] = (
     batches = list(_batches(order, n))
     for _ in range(EPOCHS):
         for docs in batches:
-            at = np.concatenate([np.arange(words.first[i], words.first[i + 1]) for i in docs])
+            at = np.concatenate([np.arange(begins_at[i], begins_at[i + 1]) for i in docs])
             if not len(at):
                 continue
             own, y, begins = f[at], tag[at], first[at]
@@ -307,22 +313,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the rows to learn from, all of them."""
-    own = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").join(own, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the rows to learn from."""
+    return labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
+
 
+def train(docs: DataFrame, labels: DataFrame, chars: tuple[int, int] = TRAIN_CHARS, rows: int = TRAIN_ROWS, longest: int = LONGEST) -> Model:
+    """A model of the labelled documents.  labels: doc_id, toxic.
 
-def train(rows: DataFrame, chars: tuple[int, int] = TRAIN_CHARS, longest: int = LONGEST) -> Model:
-    """rows: doc_id, text, toxic.  The sample is bounded by ``chars`` of label 0 and 1, in expectation."""
-    short = rows.where(F.length("text") <= longest)
-    sizes = {r["toxic"]: r["n"] for r in short.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}  # two rows
-    if len(sizes) < 2:
+    The sample is bounded by ``chars`` of label 0 and 1 and by ``rows`` of each,
+    in expectation.  Only ids and lengths of the documents meet all labels; the
+    texts of the sample alone are fetched.
+    """
+    sizes = docs.where("doc_id is not null").select("doc_id", F.length("text").alias("n")).where(F.col("n") <= longest)
+    known = sizes.join(labels, "doc_id")
+    total = {r["toxic"]: (r["rows"], r["chars"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars")).collect()}  # two rows
+    if len(total) < 2:
         return Model(None, np.zeros(4))
-    rates = [min(1.0, chars[t] / max(1, sizes[t] or 0)) for t in (0, 1)]
-    rate = F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
+    rates = [min(1.0, chars[t] / max(1, total[t][1]), rows / total[t][0]) for t in (0, 1)]
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
-    sample = short.where(place < rate).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text", "toxic"])  # about ``chars``
+    wanted = labels.where(place < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])).distinct()
+    wanted = wanted.join(sizes.select("doc_id").where(place < max(rates)), "doc_id", "left_semi")
+    own = docs.where(place < max(rates)).select("doc_id", "text").where(F.length("text") <= longest)
+    sample = own.join(broadcast_if_small(wanted), "doc_id").toPandas().sort_values(["doc_id", "text", "toxic"])  # about ``chars``
     return fit(sample["text"].tolist(), sample["toxic"].tolist(), (1 / rates[0], 1 / rates[1]))
 
 
@@ -348,7 +361,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str], spans: bool =
 
 def op13_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, training_labels(table(spark, sf_dir, "labels")))
     out = score_toxicity(docs, model, ["doc_id"])
     said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), said.alias("spans"))

@@ -21,11 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 #: (host/path, verdict); a rule fits its host and all subdomains and every path that starts with its path.
 RULES = [
@@ -107,24 +107,24 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, spam: lis
     ranked = sorted(rules, key=lambda r: -len(r[0]))
     globs = [g for rule, _ in ranked for g in (f"{rule}**", f"*.{rule}**")] + spam
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = GlobAutomaton(globs)
         names = np.array([r for r, _ in ranked] + [None], object)
         verdicts = np.array([v for _, v in ranked], object)
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at : at + BATCH].copy()
-                hit = automaton.matches([(h + p).encode() for h, p in zip(part["host"], part["path"], strict=True)])
+        for whole in batches:
+            for at in range(0, len(whole), BATCH):
+                part = whole.slice(at, BATCH)
+                hit = automaton.matches([(h + p).encode("utf-8", "surrogatepass") for h, p in zip(part.column("host").to_pylist(), part.column("path").to_pylist(), strict=True)])
                 ruled = hit[:, 0 : 2 * len(ranked) : 2] | hit[:, 1 : 2 * len(ranked) : 2]
                 none = ~ruled.any(axis=1)
                 which = np.where(none, len(ranked), ruled.argmax(axis=1))
                 method = np.where(hit[:, 2 * len(ranked) :].any(axis=1), "block", "allow")
-                part["rule"] = names[which]
-                part["verdict"] = np.where(none, method, np.append(verdicts, "")[which])
-                yield part
+                said = np.where(none, method, np.append(verdicts, "")[which])
+                cols = [*part.columns, pa.array(names[which].tolist(), pa.string()), pa.array(said.tolist(), pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "host", "path", "rule", "verdict"])
 
     shape = f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, verdict string"
-    return split_url(pages).mapInPandas(judge, shape)
+    return map_batches(split_url(pages), judge, shape)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

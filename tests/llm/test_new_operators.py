@@ -186,7 +186,8 @@ def toxic_rows(n, seed):
 
 def test_toxic_spans_are_found_and_clean_texts_left(spark):
     rows = toxic_rows(600, 4)
-    model = toxicity.fit([t for i, t, y, _ in rows if i % 2], [y for i, t, y, _ in rows if i % 2])
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows if i % 2], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int"))
     texts = [t for i, t, _, _ in rows if i % 2 == 0] + ["Élan grimbo", None, "", "...", "la mo " * 400_000 + "vexelta grimbo " + "ti er " * 100]
     truth = [x for i, _, _, x in rows if i % 2 == 0]
     got = toxicity.score_toxicity(spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, score double"), model, ["doc_id"]).orderBy("doc_id").collect()
@@ -214,7 +215,7 @@ def test_slices_of_a_long_text(monkeypatch):
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (None, "a", "x"), (1, "a b", "x"), (4, None, "x")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(1, 0), (None, 1), (4, 1), (4, None)], "doc_id long, toxic int")
-    model = toxicity.train(toxicity.training_rows(docs, labels))  # only one label is left
+    model = toxicity.train(docs, toxicity.training_labels(labels))  # only one label is left
     assert [x["score"] for x in toxicity.score_toxicity(docs, model, ["doc_id"]).collect()] == [0.0] * 4
     assert toxicity.score_toxicity(docs.limit(0), model, ["doc_id"]).count() == 0
     out = toxicity.op13_toxic_spans(spark, SF)
