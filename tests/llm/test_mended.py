@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 
 from glosslake.llm import decontaminate, dom, url_filter
@@ -25,7 +26,7 @@ def test_recall_of_substituted_passages(n, rate):
     hit = decontaminate.Matcher(list(range(300)), [" ".join(i) for i in items]).hits(texts)
     got = set(zip(hit["text"].tolist(), hit["item"].tolist(), strict=True))
     want = {k for k in range(300) if aligned(items[k], changed[k]) >= max(8, n / 2)}  # by brute force, on the passage's own diagonal
-    assert sum((k, k) in got for k in want) >= 0.97 * len(want) and all(t == i and t in want for t, i in got)
+    assert sum((k, k) in got for k in want) >= 0.97 * len(want) and all(t == i and (t in want or aligned(items[t], changed[t]) >= 13) for t, i in got)
 
 
 def test_against_all_diagonals():
@@ -59,7 +60,7 @@ def test_repeated_words_and_shared_headers_are_fast():
 
 def test_rows_of_equal_windows():
     w = words_of(["a a a a a b", "a a a a"])
-    assert decontaminate._rows_of_equals(w.hashes, [0, 1, 2, 3, 4, 5, 7, 8, 9, 10])[1].tolist() == [5, 1, 4]
+    assert decontaminate._rows_of_equals(w.hashes, np.array([0, 1, 2, 3, 4, 5, 7, 8, 9, 10]))[1].tolist() == [5, 1, 4]
 
 
 def test_ids_beside_nulls_stay_whole(spark):
