@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import catalog, links, replies, text, vectors
 from ..functions.catalog import WS, Pattern, default_catalog, dialect_spaces, python_regex
 from ..operators import dedupe, evaluate, lookup, scan, search
-from ..sources import files, html, scanners
+from ..sources import files, html, notes, scanners
 from ..streaming import state
 from . import pages as page_plan
 
@@ -317,7 +317,7 @@ PARITY_SQL = f"SELECT id, 'both' AS side FROM (VALUES {_values([(p,) for p in PA
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").selectExpr("doc_id", "concat('é/', lang, ' .x', doc_id) AS name", "lang", "source")
     note = files.import_markdown(F.lit("citation"), F.lit("doi"), F.col("name"), F.col("source"), F.lit(None).cast("string"))
-    return rows.select("doc_id", files.import_path(F.lit("citation"), F.col("name")).alias("path"), note.alias("body"), files.import_path(F.lit("a/b"), F.col("name")).alias("refused"))
+    return rows.select("doc_id", notes.import_path(F.lit("citation"), F.col("name")).alias("path"), note.alias("body"), notes.import_path(F.lit("a/b"), F.col("name")).alias("refused"))
 
 
 IMPORTS_SQL = r"""SELECT doc_id, concat('imports/citation/é_', lang, '__x', doc_id, '.md') AS path,

@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import safe_name
-
-CATEGORY = r"^[A-Za-z0-9_-]+$"
-#: Files of at most this many bytes don't count as downloaded.
-LEAST_BYTES = 1024
+from .downloads import LEAST_BYTES, refusal
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +64,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def import_path(category: Column, text: Column) -> Column:
-    """Where an import goes in the vault; null for a category that isn't a plain name."""
-    return F.when(F.rlike(category, F.lit(CATEGORY)), F.concat(F.lit("imports/"), category, F.lit("/"), safe_name(text), F.lit(".md")))
-
-
 def import_markdown(category: Column, pattern_id: Column, text: Column, url: Column, title: Column, by: str = "glosslake") -> Column:
     """A finding's note: a heading and a list."""
     line = lambda name, value: F.concat(F.lit(f"- {name}: "), F.coalesce(value, F.lit("")), F.lit("\n"))
@@ -82,71 +73,9 @@ def import_markdown(category: Column, pattern_id: Column, text: Column, url: Col
     )
 
 
-def write_imports(notes: DataFrame, root: str) -> None:
-    """notes: category, name, body, seq; the last note of a name stays, also over earlier calls, and nothing else goes.
-
-    Each call adds a table part to the folder of its category; ``read_imports``
-    gives the last body of every name.
-    """
-    last = notes.groupBy("category", "name").agg(F.max_by("body", "seq").alias("body")).withColumn("written", F.current_timestamp())
-    last.write.mode("append").partitionBy("category").parquet(f"{root}/imports")
-
-
-def read_imports(spark: SparkSession, root: str) -> DataFrame:
-    """category, name, body of the notes in the vault."""
-    if not _exists(spark, f"{root}/imports"):
-        return spark.createDataFrame([], "category string, name string, body string")
-    rows = spark.read.schema("name string, body string, written timestamp, category string").parquet(f"{root}/imports")
-    return rows.groupBy("category", "name").agg(F.max_by("body", "written").alias("body"))
-
-
-def valid_download(url: Column, category: Column, filename: Column, kind: Column) -> Column:
-    named = F.coalesce(url, F.lit("")) != ""
-    safe = ~F.rlike(filename, F.lit(r"[/\\\x00]|^\."))
-    return named & F.rlike(category, F.lit(CATEGORY)) & (F.coalesce(filename, F.lit("")) != "") & safe & kind.isin("pdf", "html")
-
-
 def pending_downloads(plan: DataFrame, papers: DataFrame) -> DataFrame:
     """The valid plans whose file isn't in the vault with more than ``LEAST_BYTES`` bytes."""
     there = papers.where(F.col("size") > LEAST_BYTES).select("category", "filename")
-    own = plan.where(valid_download(F.col("url"), F.col("category"), F.col("filename"), F.col("format")))
+    own = plan.where(refusal(F.col("url"), F.col("category"), F.col("filename"), F.col("format")).isNull())
     own = own.withColumn("_file", F.concat_ws(".", "filename", "format"))
     return own.join(there.select("category", F.col("filename").alias("_file")), ["category", "_file"], "left_anti").drop("_file")
-
-
-def download(plan: DataFrame, fetch, store) -> DataFrame:
-    """plan with ok, size and error; one failure doesn't stop others.
-
-    ``fetch(url) -> bytes`` and ``store(category, file name, bytes)`` run on the
-    executors; fetch raises for a status of 400 or more, and then nothing is stored.
-    """
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            ok, size, error = [], [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("url", "category", "filename", "format")), strict=True)
-            for url, category, filename, kind in rows:
-                try:
-                    got = fetch(url)
-                    store(category, f"{filename}.{kind}", got)
-                    size.append(len(got))
-                    ok.append(True)
-                    error.append(None)
-                except Exception as e:  # reported by row
-                    size.append(None)
-                    ok.append(False)
-                    error.append(str(e))
-            cols = [pa.array(ok, pa.bool_()), pa.array(size, pa.int64()), pa.array(error, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "ok", "size", "error"])
-
-    return plan.mapInArrow(run, _with_result(plan))
-
-
-def _with_result(plan: DataFrame) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema), "ok boolean, size long, error string"])
-
-
-def batch_ok(results: DataFrame) -> DataFrame:
-    """ok (all of them), n, and the failed urls' count."""
-    return results.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("n_failed"))
