@@ -9,7 +9,7 @@ falsifiers, in Spark's own expressions.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ..functions.catalog import WS, Catalog, Falsifier, Pattern, default_catalog, java_regex, python_regex
 from ..functions.links import CONFIDENCE
 from ..functions.text import BOUNDARY, sentences, trimmed
-from ..sources.splits import spread
+from ..sources.splits import bounded, spread
 
 #: How many characters before and after a match its falsifiers may look at.
 REACH = 100
@@ -46,12 +46,48 @@ def sentence_ends(text: str) -> list[int]:
     return [m.end() for m in _boundary().finditer(text)]
 
 
-def sentence_around(text: str, start: int, end: int, ends: list[int] | None = None) -> str | None:
-    """The sentence that holds the span whole; ``ends`` saves looking for them again."""
+def sentence_bounds(text: str, start: int, end: int, ends: list[int] | None = None) -> tuple[int, int] | None:
+    """Where the sentence begins and ends that holds the span whole; ``ends`` saves looking for them again."""
     ends = sentence_ends(text) if ends is None else ends
     at = bisect_right(ends, start)
     low, high = ends[at - 1] if at else 0, ends[at] if at < len(ends) else len(text)
-    return text[low:high] if end <= high else None
+    return (low, high) if end <= high else None
+
+
+def sentence_around(text: str, start: int, end: int, ends: list[int] | None = None) -> str | None:
+    """The sentence that holds the span whole."""
+    held = sentence_bounds(text, start, end, ends)
+    return None if held is None else text[slice(*held)]
+
+
+class _WordPlaces:
+    """Where the words of a context test are in one text: found once, in order, and looked up by bisection.
+
+    A word never crosses a sentence's end, so a sentence holds one if the first
+    that begins in it ends in it.
+    """
+
+    def __init__(self, words: tuple[str, ...]):
+        self.rx = python_regex(r"(?<![a-z0-9])(?:" + "|".join(map(_quoted, words)) + r")(?![a-z0-9])")
+        self.text, self.starts, self.ends = None, [], []
+
+    def inside(self, text: str, low: int, high: int) -> bool:
+        if text is not self.text:
+            lower, places = text.lower(), None
+            if len(lower) != len(text):  # a few characters have longer lower cases
+                lower, places = _lowered(text)
+            found = [m.span() for m in self.rx.finditer(lower)]
+            self.text = text
+            self.starts = [s if places is None else places[s] for s, _ in found]
+            self.ends = [e if places is None else places[e - 1] + 1 for _, e in found]
+        i = bisect_left(self.starts, low)
+        return i < len(self.starts) and self.ends[i] <= high
+
+
+def _lowered(text: str) -> tuple[str, list[int]]:
+    """The lower case, and the place in ``text`` of each of its characters."""
+    parts = [c.lower() for c in text]
+    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
 
 
 class Kernel:
@@ -62,16 +98,16 @@ class Kernel:
 
         self._text, self._ends = None, []
 
-    def _sentence(self, text: str, start: int, end: int) -> str:
-        """The sentence of a span, in lower case; a text's boundaries are looked for once, and only if a test asks."""
+    def _bounds(self, text: str, start: int, end: int) -> tuple[int, int] | None:
+        """Of the sentence that holds a span whole; a text's boundaries are looked for once, and only if a test asks."""
         if text is not self._text:
             self._text, self._ends = text, sentence_ends(text)
-        return (sentence_around(text, start, end, self._ends) or "").lower()
+        return sentence_bounds(text, start, end, self._ends)
 
     def _test(self, f: Falsifier):
         if f.kind == "context":
-            words = python_regex(r"(?<![a-z0-9])(?:" + "|".join(map(_quoted, f.words)) + r")(?![a-z0-9])")
-            return lambda text, start, end: bool(words.search(self._sentence(text, start, end)))
+            words = _WordPlaces(f.words)
+            return lambda text, start, end: (held := self._bounds(text, start, end)) is not None and words.inside(text, *held)
         if f.kind == "confidence":
             return lambda text, start, end: CONFIDENCE["text"] < f.below
         if f.regex is None:
@@ -117,7 +153,7 @@ def candidates(df: DataFrame, keys: list[str], text: str = "text", catalog: Cata
             cols = [pa.array([f[j] for f in found], kind) for j, (_, kind) in enumerate(FOUND_ARROW)]
             yield pa.RecordBatch.from_arrays([*own.columns, *cols], names=[*keys, *(n for n, _ in FOUND_ARROW)])
 
-    rows = spread(df.select(*keys, F.col(text).alias("_text")))
+    rows = bounded(spread(df.select(*keys, F.col(text).alias("_text"))))
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema), FOUND_DDL])
     return rows.mapInArrow(scan, shape)
 
@@ -178,15 +214,36 @@ def scan_one(df: DataFrame, key: str, pattern: Pattern, text: str = "text") -> D
     return placed.select(key, "text", "start", (F.col("start") + F.length("text")).cast("int").alias("end"))
 
 
-def sentence_spans(df: DataFrame, keys: list[str], findings: DataFrame, text: str = "text") -> DataFrame:
-    """keys, start, end of the sentences that hold a finding, without white space at their ends."""
+def placed_sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, sent, low, high, start, end of all sentences: with their white space, and without it at their ends."""
     each = df.select(*keys, F.posexplode(sentences(F.col(text))).alias("sent", "_s"))
     by = Window.partitionBy(*keys).orderBy("sent")
-    placed = each.withColumn("_end", F.sum(F.length("_s")).over(by)).withColumn("_start", F.col("_end") - F.length("_s"))
     lead = F.length("_s") - F.length(F.regexp_replace("_s", f"^[{WS}]+", ""))
-    own = findings.select(*keys, F.col("start").alias("_fs"), F.col("end").alias("_fe"))
-    inside = (F.col("_fs") >= F.col("_start")) & (F.col("_fe") <= F.col("_end"))
-    same = [placed[k].eqNullSafe(own[k]) for k in keys]
-    held = placed.join(own, [*same, inside], "left_semi")
-    body = F.length(trimmed(F.col("_s")))
-    return held.select(*keys, "sent", (F.col("_start") + lead).cast("int").alias("start"), (F.col("_start") + lead + body).cast("int").alias("end")).where("start < end")
+    sized = each.select(*keys, "sent", F.length("_s").alias("_n"), lead.alias("_lead"), F.length(trimmed(F.col("_s"))).alias("_body"))
+    placed = sized.withColumn("high", F.sum("_n").over(by).cast("int")).withColumn("low", (F.col("high") - F.col("_n")).cast("int"))
+    return placed.select(*keys, "sent", "low", "high", (F.col("low") + F.col("_lead")).alias("start"), (F.col("low") + F.col("_lead") + F.col("_body")).alias("end"))
+
+
+def with_sentences(findings: DataFrame, df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """findings with ``sentence``: sent, low, high, start, end of the one that holds the finding whole; null without one.
+
+    Sentences and findings of a text are one sorted stream, each finding meets
+    the last sentence that has begun: no condition on ranges, whatever the
+    number of sentences.
+    """
+    held = F.struct("sent", "low", "high", "start", "end")
+    own = placed_sentences(df, keys, text).select(*keys, F.col("low").alias("_at"), F.lit(0).alias("_kind"), held.alias("sentence"))
+    rest = [c for c in findings.columns if c not in keys]
+    row = F.struct(*rest)
+    both = own.withColumn("_f", F.lit(None).cast(findings.select(row.alias("f")).schema["f"].dataType)).unionByName(
+        findings.select(*keys, F.col("start").alias("_at"), F.lit(1).alias("_kind"), row.alias("_f")), allowMissingColumns=True
+    )
+    by = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_last", F.last("sentence", ignorenulls=True).over(by)).where("_kind = 1")
+    return met.select(*keys, "_f.*", F.when(F.col("_f.end") <= F.col("_last.high"), F.col("_last")).alias("sentence"))
+
+
+def sentence_spans(df: DataFrame, keys: list[str], findings: DataFrame, text: str = "text") -> DataFrame:
+    """keys, sent, start, end of the sentences that hold a finding, without white space at their ends."""
+    met = with_sentences(findings.select(*keys, "start", "end"), df, keys, text).where("sentence is not null")
+    return met.groupBy(*keys, F.col("sentence.sent").alias("sent")).agg(F.first("sentence.start").alias("start"), F.first("sentence.end").alias("end")).where("start < end")

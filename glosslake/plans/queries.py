@@ -79,6 +79,29 @@ SELECT doc_id, {shown} AS text, CAST(e - length(m) + instr(m, c) - 1 AS INTEGER)
   CAST(e - length(m) + instr(m, c) - 1 + length({shown}) AS INTEGER) AS "end"{more} FROM p WHERE {keep}"""
 
 
+def _sentences_sql(t: str = APPENDED) -> str:
+    """doc_id, b, e, body: sentences by their first and last place; each of ``.!?`` is judged by what is before and behind it."""
+    before, behind = "substr(t, greatest(i - 12, 1), i - greatest(i - 12, 1))", "substr(t, i + 1, 400)"
+    start = r"""[A-Z(\["''¿]"""
+    return rf"""(
+WITH d AS (SELECT doc_id, {t} AS t FROM documents), g AS (SELECT doc_id, t, string_split_regex(t, '[.!?]') AS gs FROM d),
+u AS (SELECT doc_id, t, unnest(gs) AS g, unnest(range(len(gs))) AS k FROM g),
+p AS (SELECT doc_id, t, CAST(sum(length(g) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS i FROM u),
+b AS (SELECT doc_id, i FROM p WHERE i <= length(t) AND regexp_matches({behind}, '^[{WS}]*($|{start})')
+  AND (substr(t, i, 1) <> '.' OR NOT regexp_matches({before}, '(^|[^A-Za-z])({"|".join(text.ABBREVIATIONS)})$')
+    AND NOT (regexp_matches({before}, '(^|[^A-Za-z])[A-Za-z]$') AND regexp_matches({behind}, '^[{WS}]{{0,99}}[A-Z]')))),
+e AS (SELECT doc_id, i AS e FROM b UNION SELECT doc_id, length(t) FROM d WHERE length(t) > 0),
+s AS (SELECT doc_id, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY e), 0) AS b FROM e)
+SELECT doc_id, b, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS sent, substr(t, b + 1, e - b) AS body FROM s JOIN d USING (doc_id))"""
+
+
+def _units_sql(more: str = "") -> str:
+    p = PATTERNS["physics.units"]
+    words = "|".join(catalog.GEOGRAPHY)
+    return f"""SELECT * FROM ({_scan_sql(p, more)}) u WHERE NOT EXISTS (SELECT 1 FROM {_sentences_sql()} g
+ WHERE g.doc_id = u.doc_id AND g.b <= u."start" AND u."end" <= g.e AND regexp_matches(lower(g.body), '(^|[^a-z0-9])({words})($|[^a-z0-9])'))"""
+
+
 def _groups(p: Pattern) -> int:
     return python_regex(p.regex, p.flags).groups
 
@@ -93,8 +116,9 @@ def overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_text(appended(spark, sf_dir), ["doc_id"], sets=["citations"]).select("doc_id", "pattern_id", "text", "start", "end")
 
 
-def _overlap_sql() -> str:
-    rows = [f"({_scan_sql(p, f", length(m) AS n, {p.priority} AS priority, {k} AS ord, '{p.id}' AS pattern_id")})" for k, p in enumerate(CATALOG.patterns(["citations"]))]
+def _overlap_sql(sets: list[str] | None = None) -> str:
+    more = [(p, f", length(m) AS n, {p.priority} AS priority, {k} AS ord, '{p.id}' AS pattern_id") for k, p in enumerate(CATALOG.patterns(sets))]
+    rows = [f"({_units_sql(m) if p.id == 'physics.units' else _scan_sql(p, m)})" for p, m in more]
     return f"""WITH RECURSIVE c AS ({" UNION ALL ".join(f"SELECT * FROM {r}" for r in rows)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", n DESC, priority DESC, ord) AS rn FROM c),
 w AS (SELECT doc_id, rn, pattern_id, text, "start", "end", TRUE AS kept, "end" AS cursor FROM r WHERE rn = 1
@@ -117,6 +141,14 @@ def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.sentence_spans(docs, ["doc_id"], scan.scan_text(docs, ["doc_id"]))
 
 
+_KINDS = " ".join(f"WHEN '{p.id}' THEN '{p.category}'" for p in PATTERNS.values())
+COUNTS_SQL = f"SELECT CASE pattern_id {_KINDS} END AS category, pattern_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_overlap_sql()}) GROUP BY ALL"
+SPLIT_SQL = f"SELECT doc_id, CAST(count(*) AS INTEGER) AS n_sentences FROM {_sentences_sql()} GROUP BY doc_id"
+MARKED_SQL = rf"""SELECT * FROM (SELECT doc_id, CAST(sent AS INTEGER) AS sent, CAST(b + length(body) - length(regexp_replace(body, '^[{WS}]+', '')) AS INTEGER) AS "start",
+ CAST(b + length(regexp_replace(body, '[{WS}]+$', '')) AS INTEGER) AS "end" FROM {_sentences_sql()} s
+ WHERE EXISTS (SELECT 1 FROM ({_overlap_sql()}) f WHERE f.doc_id = s.doc_id AND f."start" >= s.b AND f."end" <= s.e)) WHERE "start" < "end" """
+
+
 # Findings for grouping, links and plans: made from order lines, the same on both engines.
 FINDINGS = """SELECT l_orderkey AS page_id, l_linenumber * 100000000 + l_partkey AS seq,
  CASE l_suppkey % 3 WHEN 0 THEN 'citation' WHEN 1 THEN 'math' ELSE 'cs' END AS category,
@@ -402,7 +434,7 @@ def _batch_sql() -> str:
     kinds = " ".join(f"WHEN '{p.id}' THEN '{p.category}'" for p in CATALOG.patterns(["citations"]))
     one = f"""concat('{{"patternId":"', pattern_id, '","category":"', CASE pattern_id {kinds} END, '","text":"', f.text, '","start":', f."start", ',"end":', f."end", '}}')"""
     return f"""SELECT d.doc_id AS item, concat('{{"findings":[', coalesce(string_agg({one}, ',' ORDER BY f."start", f."end") FILTER (WHERE f.pattern_id IS NOT NULL), ''), ']}}') AS json
-FROM documents d LEFT JOIN ({_overlap_sql()}) f ON f.doc_id = d.doc_id AND d.doc_id % 3 <> 0 GROUP BY d.doc_id"""
+FROM documents d LEFT JOIN ({_overlap_sql(["citations"])}) f ON f.doc_id = d.doc_id AND d.doc_id % 3 <> 0 GROUP BY d.doc_id"""
 
 
 #: Examples whose outcome follows from the document's id: right ones, a wrong expectation, a missing finding and two negatives.
@@ -496,7 +528,8 @@ def oracle_sql() -> dict[str, str]:
     out = {"scan_" + p.id.replace(".", "_").lower(): _scan_sql(p) for p in PATTERNS.values() if p.id != "physics.units"}
     out |= {k: _source_sql(rows) for k, rows in SOURCE_ROWS.items()} | {"source_all": _source_sql([r for rows in SOURCE_ROWS.values() for r in rows])}
     return out | {
-        "overlap_resolve": _overlap_sql(), "scan_natural_counts": NATURAL_SQL, "dedupe_groups": DEDUPE_SQL, "dedupe_representatives": REPRESENTATIVES_SQL, "category_chips": CHIPS_SQL, "unique_vs_mentions": UNIQUE_SQL,
+        "overlap_resolve": _overlap_sql(["citations"]), "scan_physics_units": _units_sql(), "scan_counts": COUNTS_SQL, "sentence_split_counts": SPLIT_SQL, "marked_sentences": MARKED_SQL,
+        "scan_natural_counts": NATURAL_SQL, "dedupe_groups": DEDUPE_SQL, "dedupe_representatives": REPRESENTATIVES_SQL, "category_chips": CHIPS_SQL, "unique_vs_mentions": UNIQUE_SQL,
         "link_plan": LINK_SQL, "anchor_distinct_href": "SELECT DISTINCT page_id, trim(href) AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE trim(href) <> ''",
         "eval_prf": PRF_SQL, "eval_macro_micro": MACRO_SQL, "eval_failures_top5": FAILURES_SQL, "cosine_topk": COSINE_SQL, "vector_norms": NORMS_SQL,
         "catalog_sets": SETS_SQL, "catalog_keywords": KEYWORDS_SQL, "catalog_parity": PARITY_SQL, "import_render": IMPORTS_SQL, "latest_state_per_user": LATEST_SQL,

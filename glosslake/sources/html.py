@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import FOUND_ARROW, FOUND_DDL
 from .jsonld import jsonld_values
-from .splits import spread
+from .splits import bounded, spread
 
 # Elements whose text is not read, and elements without content.
 UNREAD = ("SCRIPT", "STYLE", "NOSCRIPT")
@@ -167,7 +167,7 @@ def parse_pages(pages: DataFrame, find: Callable[[], Callable[[str], Iterator[tu
             )
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return spread(pages.select("page_id", "url", "html")).mapInArrow(read, f"page_id {key}, url string, text_nodes {TEXT_NODES}, elements {ELEMENTS}")
+    return bounded(spread(pages.select("page_id", "url", "html"))).mapInArrow(read, f"page_id {key}, url string, text_nodes {TEXT_NODES}, elements {ELEMENTS}")
 
 
 _FOUND_NAMES = [name for name, _ in FOUND_ARROW]

@@ -144,3 +144,38 @@ def test_sentence_spans_and_render(spark):
     assert row["html"].startswith('Plain &lt;b&gt;. <mark class="gl-sentence">We use <span class="gl-highlight gl-highlight-cs" title="ML model family: BERT">BERT</span> &amp; ')
     assert row["html"].count("</span>") == 2 and row["html"].endswith("here.</mark>  Nothing.")
     assert html.select(unwrapped(F.col("html")).alias("t")).first()["t"] == "Plain <b>. We use BERT & TP53 here.  Nothing."
+
+
+def test_context_words_are_looked_up(spark):
+    """A text without a sentence's end in linear time; bounds of sentences; characters whose lower case is longer."""
+    import time
+
+    from glosslake.functions.catalog import default_catalog
+    from glosslake.operators.scan import Kernel
+
+    units = [p for p in default_catalog().patterns(category="physics") if p.id == "physics.units"]
+    began = time.time()
+    assert len(list(Kernel(units).find("5 kg " * 200_000))) == 200_000 and list(Kernel(units).find("5 kg " * 200_000 + "depth")) == []
+    assert time.time() - began < 20
+    found = lambda t: [m[4] for m in Kernel(units).find(t)]
+    assert found("At depth. Of 3 kg. A depth of 4 kg. And 5 kg. Depth") == ["3 kg", "5 kg"]
+    assert found("Aİİ of 3 kg. Aİ the DEPTH 4 kg. Bİ 5 kg") == ["3 kg", "5 kg"] and found("Kİlomet 3 kg depths") == ["3 kg"]
+
+
+def test_sentences_meet_findings_in_one_sweep(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from glosslake.operators import scan
+
+    text = "See 10.1/a.  Then B? No. " * 25_000  # 75,000 sentences
+    docs = spark.createDataFrame([(1, text), (2, " One CO2.  Two. "), (3, None), (None, "Of CO2")], "k long, text string")
+    found = spark.createDataFrame([(1, i * 25 + 4, i * 25 + 10) for i in range(0, 25_000, 5)] + [(2, 5, 8), (2, 9, 9), (2, 3, 12), (None, 3, 6)], "k long, start int, end int")
+    began = time.time()
+    spans = scan.sentence_spans(docs, ["k"], found)
+    assert spans.where("k = 1").count() == 5000 and time.time() - began < 60
+    assert sorted(map(tuple, spans.where("k = 2").collect())) == [(2, 0, 1, 9), (2, 1, 11, 15)]
+    met = scan.with_sentences(found, docs, ["k"]).where("k = 2").select("start", "end", F.col("sentence.sent").alias("s")).collect()
+    assert sorted(map(tuple, met), key=str) == [(3, 12, None), (5, 8, 0), (9, 9, 1)]
+    assert spans.where("k is null").first()[1:] == (0, 0, 6)
