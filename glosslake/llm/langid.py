@@ -5,7 +5,8 @@ space, and n-grams of one to three characters are hashed into columns: 32,768
 of them, or as many fewer (a power of two) as keep languages x columns within
 ``MATRIX`` values, so that what is broadcast has a bound.  Counts are summed by Spark over a bounded sample of labelled rows;
 the matrix of log-probabilities (languages x columns) is broadcast, and whole
-texts are scored batch by batch in numpy: the non-zero features only.
+texts are scored batch by batch in numpy: the non-zero features only, very long
+texts in slices of ``SLICE`` characters whose log-probabilities are added.
 
 The sample: of each language, every training row if there are at most
 ``DOCS_PER_LANG``, else rows by a hash of the doc_id so that about that many
@@ -38,6 +39,8 @@ DOCS_PER_LANG = 1500
 FOLDS = 5
 #: Log-probabilities that are looked up at once: bounds the memory for one long text too.
 BLOCK = 1 << 21
+#: Characters of a part of a very long text.
+SLICE = 1_000_000
 #: Counts that the driver takes from Spark at once.
 FETCHED = 1 << 20
 #: The pipeline keeps a document whose language has at least this probability.
@@ -75,13 +78,20 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
     return out, of
 
 
+def slices(text: str | None) -> list[str]:
+    """A text's parts of ``SLICE`` characters; n-grams across a cut count as at a text's end."""
+    text = text or ""
+    return [text[at : at + SLICE] for at in range(0, len(text), SLICE)] or [""]
+
+
 @dataclass
 class Model:
     langs: list[str]
     weights: np.ndarray  # (2 ** bits + 1) x languages; the last row is zero
     prior: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def _totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of each text by language, without the prior, and whether it has a letter."""
         f, of = features(texts, (len(self.weights) - 1).bit_length() - 1)
         total = np.zeros((len(texts), len(self.langs)))
         seen = np.zeros(len(texts), bool)
@@ -93,8 +103,19 @@ class Model:
             for order in range(3):
                 w = self.weights[f[at : at + block, order]]
                 total[mine[cut]] += np.add.reduceat(w, cut, axis=0, dtype=np.float64)
+        return total, seen
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and their probabilities; a very long text is summed up by slices."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
+        parts = [(i, p) for i, t in enumerate(texts) for p in slices(t)]
+        total, seen = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), bool)
+        for lo, hi in chunks([p for _, p in parts]):
+            of = np.array([i for i, _ in parts[lo:hi]])
+            some, letters = self._totals([p for _, p in parts[lo:hi]])
+            np.add.at(total, of, some)
+            np.logical_or.at(seen, of, letters)
         total += self.prior
         best = total.argmax(axis=1)
         p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -117,7 +138,7 @@ def train(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Model:
         for batch in batches:
             of = batch.column("lang_no").to_numpy()
             for lang in np.unique(of):
-                texts = batch.column("text").filter(pa.array(of == lang)).to_pylist()
+                texts = [p for t in batch.column("text").filter(pa.array(of == lang)).to_pylist() for p in slices(t)]
                 for lo, hi in chunks(texts):
                     f, _ = features(texts[lo:hi], bits)
                     n = np.bincount(f.ravel(), minlength=2**bits + 1)[: 2**bits]
@@ -155,12 +176,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         own = sent.value
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            langs, scores = [], []
-            for lo, hi in chunks(texts):
-                some, p = own.predict(texts[lo:hi])
-                langs += some
-                scores.append(p)
-            said = [pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]), pa.float64())]
+            langs, scores = own.predict(texts)
+            said = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *said], names=names)
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
@@ -180,13 +197,10 @@ def in_known_language(docs: DataFrame, model: Model, min_score: float = MIN_SCOR
         own = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            stays = []
-            for lo, hi in chunks(texts):
-                if own.langs:
-                    langs, scores = own.predict(texts[lo:hi])
-                    stays += [x != "und" and p >= min_score for x, p in zip(langs, scores, strict=True)]
-                else:
-                    stays += [any(map(str.isalpha, t or "")) for t in texts[lo:hi]]
+            if own.langs:
+                stays = [x != "und" and p >= min_score for x, p in zip(*own.predict(texts), strict=True)]
+            else:
+                stays = [any(map(str.isalpha, t or "")) for t in texts]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return map_batches(docs, keep, docs.schema)

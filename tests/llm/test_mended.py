@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from glosslake.llm import decontaminate, dom, url_filter
+from glosslake.llm import decontaminate, dom, langid, url_filter
 from glosslake.llm.words import words_of
 
 
@@ -89,3 +89,13 @@ def test_many_comments_in_linear_time():
     while tag := scanner.next(at):
         at, n = tag.end, n + 1
     assert n >= 40_000 and time.time() - began < 10
+
+
+def test_language_of_a_long_text_in_slices(spark, monkeypatch):
+    rows = [(i, t * 20, lang) for i, (t, lang) in enumerate([("the of and ", "en"), ("der die das ", "de")] * 5)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["of the and " * 500 + "das die", None, "", "123 " * 400, "die der " * 300]
+    whole = model.predict(texts)
+    monkeypatch.setattr(langid, "SLICE", 700)
+    cut = model.predict(texts)
+    assert whole[0] == cut[0] == ["en", "und", "und", "und", "de"] and np.allclose(whole[1], cut[1], atol=1e-6)
