@@ -17,7 +17,7 @@ from glosslake.llm.common import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language the classifier knows; texts without a letter go."""
+    """Keeps the documents to whose language the classifier gives at least ``langid.MIN_SCORE`` (0.5); texts without a letter go."""
     return langid.in_known_language(docs, langid.train(langid.training_rows(docs)))
 
 
