@@ -5,14 +5,19 @@ filtered (no text of scripts and styles, no elements that no scanner looks at),
 because a filter can't be pushed through it.  What only the open elements tell
 (the scopes around a property, the strings of a JSON-LD script) comes with the
 element, so that nothing has to join or parse again.  Broken markup is
-tolerated: unclosed elements end where an enclosing one ends.
+tolerated: unclosed elements end where an enclosing one ends.  A page takes
+time in proportion to its length and to what it gives, whatever it holds.
+An element has its text, or the scopes around it, only where these may name a
+work; contents of templates other than open shadow roots are no part of a page.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,11 +26,17 @@ from pyspark.sql import functions as F
 from ..operators.scan import FOUND_ARROW, FOUND_DDL
 from .jsonld import jsonld_values
 from .splits import bounded, spread
+from .tags import Scanner, attributes, raw_end
 
 # Elements whose text is not read, and elements without content.
 UNREAD = ("SCRIPT", "STYLE", "NOSCRIPT")
 SCOPES = ("div", "section", "article")
+RAW = ("script", "style")
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+HOSTS = frozenset("article aside blockquote body div footer h1 h2 h3 h4 h5 h6 header main nav p section span".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a property's value holds if it names a work.
+MARK = re.compile(r"10\.|arxiv", re.I)
 #: Classes of the marks that ``render`` writes; text inside of them was read before.
 OWN_CLASSES = ("gl-highlight", "gl-sentence")
 
@@ -44,100 +55,172 @@ _ELEMENT = pa.list_(pa.struct([
 ]))
 
 
-class _Reader(HTMLParser):
-    """Collects text runs by parent, and the elements that carry metadata."""
+class _Reader:
+    """Reads one page: text runs by parent, and the elements that carry metadata.
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+    The tree's order has detours: an element's open shadow root comes before
+    its other children, wherever its template is.  In a page with such
+    templates every element keeps what it holds, and these lists are read in
+    the tree's order at the end.  Text of kept elements is joined once for the
+    page; each of them is a slice of it, and is cut out only if it may name a
+    work.
+    """
+
+    def __init__(self, html: str):
         self.stack: list[dict] = []
         self.open: Counter[str] = Counter()
-        self.inert = 0
-        self.scopes: list[dict] = []
-        self.keeping: list[dict] = []
         self.texts: list[dict] = []
         self.elements: list[dict] = []
         self.run: list[str] = []
-        self.n = 0
+        self.content: list[str] = []
+        self.slices: list[tuple[dict, int, int, tuple | None]] = []
+        self.length = self.keeping = self.inert = self.n = 0
+        self.scope: tuple | None = None  # (outer scope, number, itemtype)
+        self.root: list = []
+        self.detours = "shadowrootmode" in html.lower()
+        self._read(html)
 
-    def _wanted(self, tag: str, attrs: dict) -> bool:
-        return tag in ("meta", "link") or self._is_data(tag, attrs) or "href" in attrs and tag == "a" or "itemprop" in attrs or "itemscope" in attrs
+    def _read(self, html: str) -> None:
+        scanner, at = Scanner(html), 0
+        while at < len(html):
+            tag = scanner.next(at)
+            stop = tag.start if tag else len(html)
+            if stop > at:
+                self._data(unescape(html[at:stop]))
+            if not tag:
+                break
+            at = tag.end
+            if not tag.name:
+                self._end_run()
+            elif tag.close:
+                self._close(tag.name)
+            else:
+                self._start(tag.name, attributes(tag.attrs))
+                if tag.name in RAW:
+                    stop, at = raw_end(html, tag.name, tag.end)
+                    self._data(html[tag.end : stop])
+                    self._close(tag.name)
+        self._end_run()
+        while self.stack:
+            self._leave()
+        self._cut()
+        if self.detours:
+            self._in_tree_order()
 
-    @staticmethod
-    def _is_data(tag: str, attrs: dict) -> bool:
-        return tag == "script" and attrs.get("type", "").lower() == "application/ld+json"
+    def _data(self, data: str) -> None:
+        self.run.append(data)
+        if self.keeping:
+            self.content.append(data)
+            self.length += len(data)
 
     def _end_run(self) -> None:
         text = "".join(self.run)
         self.run = []
         if self.inert or not text.strip():
             return
-        parent = self.stack[-1] if self.stack else {"tag": None, "classes": []}
-        tag = parent["tag"].upper() if parent["tag"] else None
-        if tag not in UNREAD and not set(parent["classes"]) & set(OWN_CLASSES):
-            self.texts.append({"node_ord": len(self.texts), "text": text, "parent_tag": tag, "parent_classes": parent["classes"], "in_body": not self.open["head"]})
+        tag, classes = (self.stack[-1]["shown"], self.stack[-1]["classes"]) if self.stack else (None, [])
+        if tag not in UNREAD and not set(classes) & set(OWN_CLASSES):
+            self._hold(-1 - len(self.texts))
+            self.texts.append({"node_ord": len(self.texts), "text": text, "parent_tag": tag, "parent_classes": classes, "in_body": not self.open["head"]})
 
-    def handle_starttag(self, tag, attrs):
+    def _hold(self, x) -> None:
+        """Elements by number, texts by negative numbers, and lists of both."""
+        if self.detours:
+            (self.stack[-1]["holds"] if self.stack else self.root).append(x)
+
+    def _start(self, tag: str, attrs: dict[str, str]) -> None:
         self._end_run()
-        attrs = {k: v or "" for k, v in reversed(attrs)}  # of repeated names the first counts
-        row = None
-        if self._wanted(tag, attrs):
+        if self.open["head"] and (tag == "body" or self.stack[-1]["tag"] == "head" and tag not in IN_HEAD):
+            self._close("head")
+        host = self.stack[-1] if self.stack else None
+        shadow = tag == "template" and attrs.get("shadowrootmode", "").lower() == "open" and host is not None and host["shadow"] is None and (host["tag"] in HOSTS or "-" in host["tag"])
+        data = tag == "script" and attrs.get("type", "").lower() == "application/ld+json"
+        prop, row = attrs.get("itemprop"), None
+        if not self.inert and (tag in ("meta", "link") or data or tag == "a" and "href" in attrs or prop is not None or "itemscope" in attrs):
             row = {"el_ord": self.n, "tag": tag.upper(), "attrs": list(attrs.items()), "text_content": None, "subtree_end": self.n, "values": [], "scopes": []}
-            if "itemprop" in attrs:
-                row["scopes"] = [{"el_ord": e["at"], "itemtype": e["itemtype"]} for e in self.scopes]
             self.elements.append(row)
+        value = next((attrs[a] for a in ("content", "href", "src") if a in attrs), None)
+        if row is not None and prop is not None and value is not None and MARK.search(value):
+            row["scopes"] = _scopes(self.scope)
+        self._hold(self.n)
         at = self.n
         self.n += 1
         if tag in VOID:
             return
-        keep = row is not None and (tag == "script" or "itemprop" in attrs)
+        keep = row is not None and (data or prop is not None and value is None)
         own = {
-            "tag": tag, "at": at, "classes": attrs.get("class", "").split(), "row": row, "parts": [] if keep else None, "data": self._is_data(tag, attrs),
-            "inert": tag == "template" and "shadowrootmode" not in attrs, "scope": tag in SCOPES and "itemscope" in attrs, "itemtype": attrs.get("itemtype", ""),
+            "tag": tag, "shown": None if shadow else tag.upper(), "classes": attrs.get("class", "").split(), "row": row, "from": self.length if keep else None, "inert": tag == "template" and not shadow,
+            "outer": self.scope, "data": data, "holds": [], "shadow": None, "attached": shadow,
         }
+        if shadow:
+            host["shadow"] = own["holds"]
+        if tag in SCOPES and "itemscope" in attrs:
+            self.scope = (self.scope, at, attrs.get("itemtype", ""))
         self.stack.append(own)
         self.open[tag] += 1
         self.inert += own["inert"]
-        if own["scope"]:
-            self.scopes.append(own)
-        if keep:
-            self.keeping.append(own)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        self.keeping += keep
 
-    def handle_endtag(self, tag):
-        if not self.open[tag]:
-            return
-        self._end_run()
-        while self.stack and self._leave() != tag:
-            pass
+    def _close(self, tag: str) -> None:
+        if self.open[tag]:
+            self._end_run()
+            while self.stack and self._leave() != tag:
+                pass
 
     def _leave(self) -> str:
-        """Closes the innermost element; scopes and kept ones end in the order of the stack."""
+        """Closes the innermost element."""
         e = self.stack.pop()
         self.open[e["tag"]] -= 1
         self.inert -= e["inert"]
-        if e["scope"]:
-            self.scopes.pop()
+        self.scope = e["outer"]
         if e["row"] is not None:
             e["row"]["subtree_end"] = self.n - 1
-        if e["parts"] is not None:
-            self.keeping.pop()
-            e["row"]["text_content"] = "".join(e["parts"])
-            if e["data"]:
-                e["row"]["values"] = jsonld_values(e["row"]["text_content"])
+        if e["from"] is not None:
+            self.keeping -= 1
+            self.slices.append((e["row"], e["from"], self.length, None if e["data"] else e["outer"], e["data"]))
+        if not e["attached"] and (e["holds"] or e["shadow"]):
+            self._hold([e["shadow"] or [], e["holds"]])
         return e["tag"]
 
-    def handle_data(self, data):
-        self.run.append(data)
-        for e in self.keeping:
-            e["parts"].append(data)
+    def _cut(self) -> None:
+        whole = "".join(self.content)
+        marks = [m.start() for m in MARK.finditer(whole)]
+        for row, low, high, scope, data in self.slices:
+            if data:
+                row["text_content"] = whole[low:high]
+                row["values"] = jsonld_values(whole[low:high])
+            else:
+                i = bisect_left(marks, low)
+                if i < len(marks) and marks[i] < high:
+                    row["text_content"], row["scopes"] = whole[low:high], _scopes(scope)
 
-    def close(self):
-        super().close()
-        self._end_run()
-        while self.stack:
-            self._leave()
+    def _in_tree_order(self) -> None:
+        final, texts, todo = {}, [], [self.root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, list):
+                todo.extend(reversed(x))
+            elif x < 0:
+                texts.append(self.texts[-1 - x])
+            else:
+                final[x] = len(final)
+        for i, node in enumerate(texts):
+            node["node_ord"] = i
+        for row in self.elements:
+            at, size = final[row["el_ord"]], row["subtree_end"] - row["el_ord"]
+            row["el_ord"], row["subtree_end"] = at, at + size
+            row["scopes"] = [{"el_ord": final[s["el_ord"]], "itemtype": s["itemtype"]} for s in row["scopes"]]
+        self.texts = texts
+        self.elements.sort(key=lambda r: r["el_ord"])
+
+
+def _scopes(scope: tuple | None) -> list[dict]:
+    """The scope and those around it, from the outermost one."""
+    out = []
+    while scope is not None:
+        out.append({"el_ord": scope[1], "itemtype": scope[2]})
+        scope = scope[0]
+    return out[::-1]
 
 
 def parse_pages(pages: DataFrame, find: Callable[[], Callable[[str], Iterator[tuple]]] | None = None) -> DataFrame:
@@ -152,9 +235,7 @@ def parse_pages(pages: DataFrame, find: Callable[[], Callable[[str], Iterator[tu
         for batch in batches:
             texts, elements = [], []
             for html in batch.column("html"):
-                reader = _Reader()
-                reader.feed(html.as_py() or "")
-                reader.close()
+                reader = _Reader(html.as_py() or "")
                 for node in reader.texts:
                     node["found"] = [dict(zip(_FOUND_NAMES, m, strict=True)) for m in matches(node["text"])] if matches and node["in_body"] else []
                     if matches:
