@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spans import by_text, nest
+
+SENTENCE, KEYWORD = 1, 2
+
 
 def escaped(x: Column) -> Column:
     for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -13,27 +20,47 @@ def escaped(x: Column) -> Column:
 
 
 def render(texts: DataFrame, keys: list[str], findings: DataFrame, sentences: DataFrame, show_keywords: bool = True, text: str = "text") -> DataFrame:
-    """keys, html: one string for each text with a sentence to mark.
+    """keys, html: one string for each text with something to mark.
 
-    findings and sentences don't overlap among themselves, so marks are put in
-    at their places: text between two places is escaped, and pieces are joined
-    in order.
+    Findings may cross sentences and each other: their pieces nest, sentences
+    outside.  Where findings have a source, those of texts alone are marked.
+    A text and its spans are one sorted stream, written out from left to right.
     """
-    cut = lambda kind, at, rank, tag: F.struct(F.col(at).alias("at"), F.lit(rank).alias("rank"), tag.alias("tag"))
-    opens = sentences.select(*keys, cut("s", "start", 2, F.lit('<mark class="gl-sentence">')).alias("c")).unionByName(sentences.select(*keys, cut("s", "end", 1, F.lit("</mark>")).alias("c")))
+    none = lambda kind: F.lit(None).cast(kind)
+    spans = sentences.select(*keys, none("string").alias("_text"), "start", "end", F.lit(SENTENCE).alias("rank"), F.lit('<mark class="gl-sentence">').alias("tag"))
     if show_keywords:
+        own = findings.where("source = 'text'") if "source" in findings.columns else findings
         tip = F.concat(F.lit('<span class="gl-highlight gl-highlight-'), F.col("category"), F.lit('" title="'), escaped(F.concat_ws(": ", "label", "text")), F.lit('">'))
-        opens = opens.unionByName(findings.select(*keys, cut("f", "start", 3, tip).alias("c"))).unionByName(findings.select(*keys, cut("f", "end", 0, F.lit("</span>")).alias("c")))
-    cuts = opens.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("_cuts"))
-    own = texts.join(cuts, keys)
-    piece = lambda c, i: F.concat(
-        escaped(F.substr(F.col(text), F.coalesce(F.try_element_at("_cuts", i)["at"], F.lit(0)) + 1, c["at"] - F.coalesce(F.try_element_at("_cuts", i)["at"], F.lit(0)))), c["tag"]
-    )
-    last = F.element_at("_cuts", -1)["at"]
-    first = F.element_at("_cuts", 1)
-    body = F.transform(F.sequence(F.lit(2), F.size("_cuts") + 1), lambda i: F.when(i <= F.size("_cuts"), piece(F.try_element_at("_cuts", i), i - 1)).otherwise(F.lit("")))
-    html = F.concat(escaped(F.substr(F.col(text), F.lit(1), first["at"])), first["tag"], F.array_join(body, ""), escaped(F.substr(F.col(text), last + 1)))
-    return own.select(*keys, html.alias("html"))
+        spans = spans.unionByName(own.select(*keys, none("string").alias("_text"), "start", "end", F.lit(KEYWORD).alias("rank"), tip.alias("tag")))
+    whole = texts.select(*keys, F.col(text).alias("_text"), none("int").alias("start"), none("int").alias("end"), F.lit(0).alias("rank"), none("string").alias("tag"))
+    return by_text(whole.unionByName(spans), keys, ["rank", "start", "end", "tag"], "html string", _written)
+
+
+def _written(rows: list[tuple]) -> Iterator[tuple]:
+    text, spans = rows[0][0], [r for r in rows if r[3]]
+    if rows[0][3] or text is None or not spans:  # spans without a text, or a text without spans
+        return
+    out, at, open_ = [], 0, []
+
+    def upto(place: int) -> None:
+        nonlocal at
+        out.append(escape(text[at:place], quote=False).replace('"', "&quot;"))
+        at = place
+
+    for p in nest([r[1:4] for r in spans]):
+        while len(open_) > p.depth:
+            end, tag = open_.pop()
+            upto(end)
+            out.append(tag)
+        upto(p.start)
+        out.append(spans[p.span][4])
+        open_.append((p.end, "</mark>" if spans[p.span][3] == SENTENCE else "</span>"))
+    while open_:
+        end, tag = open_.pop()
+        upto(end)
+        out.append(tag)
+    upto(len(text))
+    yield ("".join(out),)
 
 
 def unwrapped(html: Column) -> Column:
