@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .downloads import LEAST_BYTES, refusal
+from .json_splits import SPLIT_BYTES, read_items, read_lines
 
 
-def read_batch(spark: SparkSession, path: str) -> DataFrame:
-    """item (ordinal), text of ``{"items": [{"text": ...}]}``; anything else is an error."""
-    raw = spark.read.text(path, wholetext=True)
-    parsed = raw.select(F.try_parse_json("value").alias("v"))
-    items = F.try_variant_get("v", "$.items", "array<variant>")
-    checked = parsed.select(F.when(items.isNull(), F.raise_error(F.lit("a batch needs a list of items"))).otherwise(items).alias("items"))
-    each = checked.select(F.posexplode("items").alias("item", "v"))
+def read_batch(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """item (ordinal), text of ``{"items": [{"text": ...}]}``; anything else is an error, a text that isn't a string is null."""
+    items = read_items(spark, path, "items", split_bytes).select(F.col("ordinal").cast("int").alias("item"), F.try_parse_json("value").alias("v"))
     text = F.when(F.schema_of_variant(F.try_variant_get("v", "$.text", "variant")) == "STRING", F.try_variant_get("v", "$.text", "string"))
-    return each.select("item", text.alias("text"))
+    return items.select("item", text.alias("text"))
 
 
 def batch_results(items: DataFrame, findings: DataFrame) -> DataFrame:
@@ -35,18 +31,17 @@ def results_json(results: DataFrame) -> DataFrame:
     return results.select("item", F.to_json(F.struct("findings")).alias("json"))
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
+def read_gold(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """example, file, pattern, text, expect, expect_null of JSON lines, by file name and line; blank lines and ``#`` comments are left out."""
-    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    used = lines.where(~F.rlike("value", F.lit(r"^\s*(?:#|\z)"))).withColumn("example", F.row_number().over(Window.orderBy("file", "line")) - 1)  # a hand-made set
-    return used.select("example", "file", F.from_json("value", "pattern string, text string, expect string, expect_null boolean").alias("g")).select("example", "file", "g.*")
+    lines = read_lines(spark, path, split_bytes)
+    parsed = F.from_json("value", "pattern string, text string, expect string, expect_null boolean").alias("g")
+    return lines.select(F.col("ordinal").alias("example"), "file", parsed).select("example", "file", "g.*")
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+def read_vectors(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """ord, keyword, vector of an index file ``{model, dimensions, items: [{keyword, vector}]}``."""
-    shape = "model string, dimensions int, items array<struct<keyword:string,vector:array<float>>>"
-    return spark.read.schema(shape).json(path, multiLine=True).select(F.posexplode("items").alias("ord", "i")).select("ord", "i.*")
+    items = read_items(spark, path, "items", split_bytes).select(F.col("ordinal").alias("ord"), F.from_json("value", "keyword string, vector array<float>").alias("i"))
+    return items.select("ord", "i.*")
 
 
 def read_papers(spark: SparkSession, root: str, category: str | None = None) -> DataFrame:

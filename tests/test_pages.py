@@ -118,7 +118,7 @@ def test_files(spark, tmp_path):
     assert files.results_json(files.batch_results(items, scan_text(items, ["item"]))).where("item = 1").first()["json"] == '{"findings":[]}'
     (tmp_path / "bad.json").write_text('{"items": 3}')
     with pytest.raises(Exception, match="list of items"):
-        files.read_batch(spark, str(tmp_path / "bad.json")).collect()
+        files.read_batch(spark, str(tmp_path / "bad.json"))
     (tmp_path / "gold.jsonl").write_text('# note\n\n{"pattern": "doi", "text": "t", "expect": null}\n  # x\n{"pattern": "pmid", "text": "u", "expect_null": true}\n')
     assert [(r["pattern"], r["expect_null"]) for r in files.read_gold(spark, str(tmp_path / "gold.jsonl")).orderBy("example").collect()] == [("doi", None), ("pmid", True)]
     (tmp_path / "index.json").write_text('{"model": "m", "dimensions": 2, "items": [{"keyword": "a", "vector": [1, 2]}]}')
