@@ -12,6 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from re import IGNORECASE
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ from ..functions.catalog import WS, Catalog, Falsifier, Pattern, default_catalog
 from ..functions.links import CONFIDENCE
 from ..functions.text import BOUNDARY, sentences, trimmed
 from ..sources.splits import bounded, spread
+from .harvest import possible
 
 #: How many characters before and after a match its falsifiers may look at.
 REACH = 100
@@ -91,11 +93,11 @@ def _lowered(text: str) -> tuple[str, list[int]]:
 
 
 class Kernel:
-    """Compiled patterns with their text falsifiers."""
+    """Compiled patterns with their text falsifiers; only those run that one automaton over a text says may match."""
 
     def __init__(self, patterns: list[Pattern]):
         self.patterns = [(k, p, python_regex(p.regex, p.flags), [self._test(f) for f in p.falsifiers if f.kind != "parent"]) for k, p in enumerate(patterns)]
-
+        self._key = tuple((rx.pattern, bool(rx.flags & IGNORECASE)) for _, _, rx, _ in self.patterns)
         self._text, self._ends = None, []
 
     def _bounds(self, text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -121,7 +123,10 @@ class Kernel:
         return lambda text, start, end: found(text[end : end + REACH].rstrip(_TRIM))
 
     def find(self, text: str) -> Iterator[tuple]:
+        may = possible(text, self._key)
         for k, p, rx, tests in self.patterns:
+            if not may >> k & 1:
+                continue
             for m in rx.finditer(text):
                 whole = m.group()
                 captured = m.group(1) if rx.groups and m.group(1) is not None else whole
