@@ -76,6 +76,42 @@ def summary_lines(totals: DataFrame, scores: DataFrame) -> DataFrame:
     return counted.select(F.posexplode(F.when(F.col("n") > 0, lines).otherwise(F.array(F.lit("_no data_")))).alias("ord", "line"))
 
 
+def quoted(text: Column) -> Column:
+    """A text as a literal in quotes, ``None`` for a null: control characters and backslashes escaped, the quote that needs no escape."""
+    body = text
+    for c, name in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(c), F.lit(name))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    single = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.coalesce(F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(single), F.lit("None"))
+
+
+def failure_lines(rows: DataFrame, each: int = 5) -> DataFrame:
+    """pattern, place, line: a heading for each pattern with failures (place 0), and its first ones."""
+    first = failures(rows, each)
+    sample = F.concat(F.lit("- **"), "reason", F.lit("**: text=`"), quoted(F.col("text")), F.lit("` expected=`"), quoted(F.col("expect")), F.lit("` got=`"), quoted(F.col("got")), F.lit("`"))
+    heads = first.groupBy("pattern").agg(F.lit(0).alias("place")).select("pattern", "place", F.concat(F.lit("### `"), "pattern", F.lit("`")).alias("line"))
+    return heads.unionByName(first.select("pattern", "place", sample.alias("line")))
+
+
+def report_document(rows: DataFrame, title: str = "Gold set evaluation") -> DataFrame:
+    """section, pattern, place, line: the whole report in Markdown, to be read in this order.
+
+    rows: what ``outcomes`` gives.  Sections: title, metrics by pattern, totals,
+    failure samples; a section without rows says so.
+    """
+    counts = confusion(rows)
+    scores = prf(counts)
+    fixed_lines = [(0, 0, f"# {title}"), (1, 0, "## Per-pattern metrics"), (1, 1, REPORT_HEAD[0]), (1, 2, REPORT_HEAD[1]), (2, 0, "## Totals"), (3, 0, "## Failure samples (first 5 per pattern)")]
+    spark = rows.sparkSession
+    heads = spark.createDataFrame([(s, "", p, line) for s, p, line in fixed_lines], "section int, pattern string, place int, line string")
+    table = report_lines(scores).select(F.lit(1).alias("section"), "pattern", F.lit(3).alias("place"), "line")
+    totals = summary_lines(macro_micro(scores), scores).select(F.lit(2).alias("section"), F.lit("").alias("pattern"), (F.col("ord") + 1).alias("place"), "line")
+    samples = failure_lines(rows).select(F.lit(3).alias("section"), "pattern", "place", "line")
+    none = rows.where("reason is not null").agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(3).alias("section"), F.lit("").alias("pattern"), F.lit(1).alias("place"), F.lit("_none_").alias("line"))
+    return heads.unionByName(table).unionByName(totals).unionByName(samples).unionByName(none)
+
+
 def evaluate_gold(gold: DataFrame) -> DataFrame:
     """The scores of the scan on a gold set."""
     return prf(confusion(outcomes(gold, scan_text(gold, ["example"]))))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog, links, replies, text, vectors
 from ..functions.catalog import WS, Pattern, default_catalog, dialect_spaces, python_regex
-from ..operators import dedupe, evaluate, lookup, scan, search
+from ..operators import dedupe, evaluate, harvest, lookup, scan, search
 from ..sources import files, html, notes, scanners
 from ..streaming import state
 from . import pages as page_plan
@@ -321,28 +321,48 @@ SELECT vec_id, round(norm, 6) AS norm, round(list_inner_product(e[1:8], e[1:8]),
 
 
 def catalog_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets of the catalog, and what a scan of the documents finds of each."""
     rows = CATALOG.frame(spark)
     sets = rows.groupBy("set_id", "set_name").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("p"))
-    return sets.select("set_id", "set_name", F.array_join(F.transform("p", lambda x: x["id"]), ",").alias("patterns"))
+    found = scan.scan_text(_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", F.col("pattern_id").alias("id"))
+    seen = found.join(F.broadcast(rows.select("id", "set_id")), "id").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("doc_id").alias("n_docs"))
+    named = sets.select("set_id", "set_name", F.array_join(F.transform("p", lambda x: x["id"]), ",").alias("patterns"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return named.join(seen, "set_id", "left").select("set_id", "set_name", "patterns", zero("n_findings"), zero("n_docs"))
 
 
 def catalog_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.keywords(CATALOG, spark)
+    """Every keyword of the catalog, and where the documents hold it."""
+    words = catalog.keywords(CATALOG, spark)
+    held = harvest.places(appended(spark, sf_dir), ["doc_id"], [r["keyword"] for r in words.collect()])  # the catalog's own list
+    seen = held.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_places"), F.countDistinct("doc_id").alias("n_docs"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return words.join(seen, "keyword", "left").select("keyword", zero("n_places"), zero("n_docs"))
 
 
 def catalog_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The patterns that only one side knows: the catalog and what a scan of the appended texts finds."""
-    own = CATALOG.frame(spark).select("id")
-    seen = scan.candidates(appended(spark, sf_dir), ["doc_id"]).select(F.col("pattern_id").alias("id")).distinct()
-    return own.subtract(seen).withColumn("side", F.lit("catalog")).union(seen.subtract(own).withColumn("side", F.lit("scan"))).union(seen.withColumn("side", F.lit("both")))
+    """The patterns that only one side knows: the catalog and what a scan of the appended texts finds; one pass over the texts."""
+    own = CATALOG.frame(spark).select("id", F.lit(True).alias("own"), F.lit(False).alias("seen"))
+    seen = scan.candidates(appended(spark, sf_dir), ["doc_id"]).select(F.col("pattern_id").alias("id"), F.lit(False).alias("own"), F.lit(True).alias("seen"))
+    sides = own.unionByName(seen).groupBy("id").agg(F.bool_or("own").alias("own"), F.bool_or("seen").alias("seen"))
+    return sides.select("id", F.when(F.col("own") & F.col("seen"), "both").when(F.col("own"), "catalog").otherwise("scan").alias("side"))
 
 
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-SETS_SQL = f"SELECT * FROM (VALUES {_values([(s.id, s.name, ','.join(p.id for p in s.patterns)) for s in CATALOG.sets])}) t(set_id, set_name, patterns)"
-KEYWORDS_SQL = f"SELECT DISTINCT keyword FROM (VALUES {_values([(x,) for p in PATTERNS.values() for x in (p.label, p.tooltip)] + [(x,) for x in catalog.KEYWORDS])}) t(keyword)"
+SETS_SQL = f"""WITH s AS (SELECT * FROM (VALUES {_values([(s.id, s.name, ','.join(p.id for p in s.patterns)) for s in CATALOG.sets])}) t(set_id, set_name, patterns)),
+ f AS ({_overlap_sql().replace(APPENDED, "text")})
+ SELECT s.set_id, s.set_name, s.patterns, count(f.doc_id) AS n_findings, count(DISTINCT f.doc_id) AS n_docs FROM s LEFT JOIN f ON list_contains(string_split(s.patterns, ','), f.pattern_id) GROUP BY ALL"""
+PLACES_SQL = f"""WITH w AS (SELECT DISTINCT keyword FROM (VALUES {_values([(x,) for p in PATTERNS.values() for x in (p.label, p.tooltip)] + [(x,) for x in catalog.KEYWORDS])}) t(keyword)),
+ d AS (SELECT doc_id, {APPENDED} AS t FROM documents), g AS (SELECT doc_id, t, keyword, string_split(t, keyword) AS gs FROM d JOIN w ON contains(t, keyword)),
+ u AS (SELECT doc_id, t, keyword, unnest(gs) AS g, unnest(range(len(gs))) AS k, len(gs) AS n FROM g),
+ p AS (SELECT doc_id, t, keyword, k, n, CAST(sum(length(g) + length(keyword)) OVER (PARTITION BY doc_id, keyword ORDER BY k) AS BIGINT) AS e FROM u)
+ SELECT doc_id, keyword, CAST(e - length(keyword) AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end" FROM p WHERE k < n - 1
+ AND NOT regexp_matches(substr(t, e - length(keyword), CASE WHEN e > length(keyword) THEN 1 ELSE 0 END), '[0-9A-Za-z_]') AND NOT regexp_matches(substr(t, e + 1, 1), '[0-9A-Za-z_]')"""
+KEYWORDS_SQL = f"""SELECT w.keyword, count(p.doc_id) AS n_places, count(DISTINCT p.doc_id) AS n_docs
+ FROM (SELECT DISTINCT keyword FROM (VALUES {_values([(x,) for p in PATTERNS.values() for x in (p.label, p.tooltip)] + [(x,) for x in catalog.KEYWORDS])}) t(keyword)) w LEFT JOIN ({PLACES_SQL}) p ON p.keyword = w.keyword GROUP BY ALL"""
 PARITY_SQL = f"SELECT id, 'both' AS side FROM (VALUES {_values([(p,) for p in PATTERNS])}) t(id)"
 
 
@@ -488,7 +508,9 @@ SELECT a.page_id, a.place, copied IS NOT NULL AS ok, copied, CASE WHEN copied IS
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replies.available_models(spark)
+    """The models that may be offered, and how many of the given vectors have their length."""
+    sizes = _table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dimensions")).agg(F.count(F.lit(1)).alias("n_vectors"))
+    return replies.available_models(spark).join(sizes, "dimensions", "left").select("ord", "id", "label", "dimensions", F.coalesce("n_vectors", F.lit(0).cast("long")).alias("n_vectors"))
 
 
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,7 +528,9 @@ FIELDS_SQL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('u', user_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {"scan_" + p.id.replace(".", "_").lower(): scan_query(p) for p in PATTERNS.values()}
+    from . import extended
+
+    out = extended.queries() | {"scan_" + p.id.replace(".", "_").lower(): scan_query(p) for p in PATTERNS.values()}
     out |= {k: source_query(f) for k, f in SCANNERS.items()} | {"source_all": source_query(scanners.scan_sources)}
     return out | {
         "scan_counts": flagship, "overlap_resolve": overlap_resolve, "scan_natural_counts": natural_counts, "sentence_split_counts": sentence_counts, "marked_sentences": marked_sentences,
@@ -525,7 +549,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"scan_" + p.id.replace(".", "_").lower(): _scan_sql(p) for p in PATTERNS.values() if p.id != "physics.units"}
+    from . import extended
+
+    out = extended.oracle_sql() | {"scan_" + p.id.replace(".", "_").lower(): _scan_sql(p) for p in PATTERNS.values() if p.id != "physics.units"}
     out |= {k: _source_sql(rows) for k, rows in SOURCE_ROWS.items()} | {"source_all": _source_sql([r for rows in SOURCE_ROWS.values() for r in rows])}
     return out | {
         "overlap_resolve": _overlap_sql(["citations"]), "scan_physics_units": _units_sql(), "scan_counts": COUNTS_SQL, "sentence_split_counts": SPLIT_SQL, "marked_sentences": MARKED_SQL,
@@ -536,5 +562,5 @@ def oracle_sql() -> dict[str, str]:
         "throttle": _throttle_sql(600 * MINUTES), "cooldown": f"SELECT user_id, opened AS fired FROM ({_throttle_sql(900 * MINUTES, True)})", "debounce_sessions": debounce_sql(600 * MINUTES), "state_changes": CHANGES_SQL,
         "source_variants": VARIANTS_SQL, "batch_results": _batch_sql(), "gold_outcomes": GOLD_SQL, "eval_report": REPORT_SQL, "state_lookup": LOOKUP_SQL,
         "active_events": "SELECT event_id, user_id FROM events WHERE user_id % 4 <> 0", "finding_at_place": FINDING_AT_SQL,
-        "available_models": "SELECT CAST(0 AS INTEGER) AS ord, 'multilingual' AS id, 'Multilingual (~25 MB)' AS label, CAST(384 AS INTEGER) AS dimensions", "message_fields": FIELDS_SQL,
+        "available_models": "SELECT CAST(0 AS INTEGER) AS ord, 'multilingual' AS id, 'Multilingual (~25 MB)' AS label, CAST(384 AS INTEGER) AS dimensions, (SELECT count(*) FROM embeddings WHERE len(embedding) = 384) AS n_vectors", "message_fields": FIELDS_SQL,
     }

@@ -31,7 +31,7 @@ def test_the_gate_skips_no_match():
     patterns = default_catalog().patterns()
     compiled = [python_regex(p.regex, p.flags) for p in patterns]
     key = tuple((rx.pattern, bool(rx.flags & re.IGNORECASE)) for rx in compiled)
-    bits = ["arXiv: 2401.00001", "ARXIV.ORG/abs/2401.00001", "10.1234/x", "doi.org/10.1234/x", "PMID: 123456", "PMC1234", "https://github.com/a0/b ", "biorxiv.org/content/10.1101/1", "Lemma 1", "Def. 2", "(3)", "O(n)", "muon", "W boson", "CERN-LHC", "5 µm", "1.5kg", "CO2", "TP53", "Ras", "TGFα", "ELISA", "crispr/Cas9", "Mus musculus", "Zea mays", "ICML 2020", "gpt-4o", "LLAMA 3", "MS-COCO", "İ", "K", "ſ"]
+    bits = ["arXiv: 2401.00001", "ARXIV.ORG/abs/2401.00001", "10.1234/x", "doi.org/10.1234/x", "PMID: 123456", "PMC1234", "https://github.com/a0/b ", "biorxiv.org/content/10.1101/1", "medrxiv.org/content/10.1101/1", "Lemma 1", "Def. 2", "(3)", "O(n)", "muon", "W boson", "CERN-LHC", "5 µm", "1.5kg", "CO2", "TP53", "Ras", "TGFα", "ELISA", "crispr/Cas9", "Mus musculus", "Zea mays", "ICML 2020", "gpt-4o", "LLAMA 3", "MS-COCO", "İ", "K", "ſ"]
     seen = set()
     for _ in range(3000):
         text = "".join(r.choice([*bits, " ", "x", "1", "-", "."]) for _ in range(r.randrange(6)))
