@@ -50,14 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: later jobs read files that survive a lost executor,
     and values that depend on the partitioning are fixed.  The files go with
     ``discard``, or when the session's JVM ends.
+
+    few: the rows take little room, but come from many tasks; they are put
+    together into files of Spark's advisory size.
     """
     spark = df.sparkSession
+    df = df.hint("rebalance") if few else df
     path = f"{shared_dir(spark)}/glosslake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files, hadoop = _files(spark, path)

@@ -42,6 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     are allowed and say nothing.  Without edges there are no rows.
     """
     edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        none = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        none.scratch_path = edges.scratch_path
+        return none
     last = None
     while True:
         edges = _small(_large(edges))

@@ -18,9 +18,10 @@ Jaccard similarity is at least 3/4.  The join is exact and finds components:
 5. The token-group matrix holds every group's token union.  Where a token is
    still shared by several groups, the smaller group's nodes query the larger
    groups: a node's overlap with the union bounds its overlap with every member,
-   and only groups that the bound lets pass are opened and compared member by
-   member.  A common token counts only where enough of both sets comes after it
-   in the order.
+   and only groups that the bound lets pass are opened: one member for each token
+   first, as one link connects two groups, and all of them where groups are still
+   apart.  A common token counts only where enough of both sets comes after it in
+   the order.
 
 Sets are compared by their bitmaps first (differing bits bound the overlap),
 then by their hashes; both are computed again from the texts of the candidates
@@ -38,6 +39,7 @@ as nothing reads them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b, md5
 
 import numpy as np
@@ -58,6 +60,8 @@ EDGE = int(REGION * 2**64)
 UNION_PART = 1024
 #: Bits of a set's bitmap; sets of far more tokens fill it and are compared in full.
 BITMAP = 2048
+#: Rounds in which one member of a group stands for it at each token, before all of them are asked.
+TRIES = 3
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -166,7 +170,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = materialize(possible(pairs, sets), "possible")
     own = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
     both = own.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-    out = materialize(map_batches(both.select("a", "b", "left", "right"), check, "a long, b long"), "links")
+    out = materialize(map_batches(both.select("a", "b", "left", "right"), check, "a long, b long"), "links", few=True)
     discard(left)
     return out
 
@@ -249,8 +253,8 @@ def overlaps(asked: DataFrame, shared: DataFrame, groups: DataFrame, sets: DataF
     """q, g, inside of the asked pairs: how many tokens of q are in the union of g's sets.
 
     A union is cut by token into parts of about ``UNION_PART`` tokens, and a
-    query's tokens are cut alike, so a pair takes a row for each part and not
-    one for each token, and no row grows with a group.
+    query's tokens are dealt to the parts in one go, so a pair is joined by a
+    row for each part and not one for each token, and no row grows with a group.
     """
     own = with_group(shared.select("node", "tok"), groups).select(F.col("comp").alias("g"), "tok")
     union = materialize(own.join(asked.select("g").distinct(), "g", "left_semi").distinct(), "union")
@@ -259,18 +263,21 @@ def overlaps(asked: DataFrame, shared: DataFrame, groups: DataFrame, sets: DataF
     theirs = union.join(broadcast_if_small(counts), "g").groupBy("g", part(F.col("tok")).alias("part")).agg(F.collect_list("tok").alias("theirs"))
     theirs = materialize(theirs, "parts")
     ask = asked.select("q", "g").join(broadcast_if_small(counts), "g").join(sets.select(F.col("node").alias("q"), "tokens"), "q")
-    mine = ask.withColumn("part", F.explode(F.array_distinct(F.transform("tokens", part)))).select(
-        "q", "g", "part", F.when(F.col("parts") == 1, F.col("tokens")).otherwise(F.filter("tokens", lambda t: part(t) == F.col("part"))).alias("mine")
-    )
+    each = ask.select("q", "g", F.explode("tokens").alias("tok"), "parts").withColumn("part", part(F.col("tok")))
+    mine = each.groupBy("q", "g", "part").agg(F.collect_list("tok").alias("mine"))
     both = mine.join(theirs, ["g", "part"]).select("q", "g", F.size(F.array_intersect("mine", "theirs")).alias("n"))
-    out = materialize(both.groupBy("q", "g").agg(F.sum("n").alias("inside")), "inside")
+    out = materialize(both.groupBy("q", "g").agg(F.sum("n").alias("inside")), "inside", few=True)
     discard(union, counts, theirs)
     return out
 
 
-def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that the token-group matrix can't rule out: nodes of different groups that share a prefix token; a written table.
+def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect groups: nodes of different groups that share a prefix token, as far as groups are not connected already; a written table.
 
+    The token-group matrix and the unions rule most groups out for a node.  One
+    link is enough to connect two groups, so the nodes left are compared with
+    one member for each token first, another one in each of ``TRIES`` rounds;
+    all members are asked only for pairs of groups that are still apart.
     prefix and shared are over all tokens of the contested nodes, whose sets are in ``sets``.
     """
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
@@ -289,13 +296,32 @@ def group_queries(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets:
     asked = materialize(asked, "asked")
     discard(matrix)
     inside = overlaps(asked, shared, groups, sets)
-    passed = materialize(asked.join(inside, ["q", "g"]).where("4 * inside >= 3 * n and 7 * inside >= 3 * (n + least)").select("q", "g"), "passed")
-    ask = passed.join(grouped.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq"), F.col("tail").alias("tq")), "q")
+    passed = asked.join(inside, ["q", "g"]).where("4 * inside >= 3 * n and 7 * inside >= 3 * (n + least)").select("q", "g")
+    of = grouped.select(F.col("node").alias("q"), "tok", F.col("n").alias("nq"), F.col("tail").alias("tq"), F.col("comp").alias("cq"))
+    ask = materialize(passed.join(of, "q"), "ask")
+    discard(asked, inside)
     members = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
-    pairs = ask.join(members, ["g", "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
-    out = materialize(pairs.select(F.col("q").alias("a"), "b").distinct(), "pairs")
-    discard(grouped, asked, inside, passed)
-    return out
+    found = []
+    for salt in range(TRIES + 1):
+        if ask.isEmpty():
+            break
+        few = members.groupBy("g", "tok").agg(F.min_by(F.struct("b", "n", "tail"), F.xxhash64("b", F.lit(salt))).alias("m")).select("g", "tok", "m.*") if salt < TRIES else members
+        near_ones = ask.join(few, ["g", "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
+        pairs = materialize(near_ones.select(F.col("q").alias("a"), "b").distinct(), "pairs")
+        found.append(verified(pairs, sets))
+        discard(pairs)
+        if salt == TRIES or found[-1].isEmpty():
+            continue
+        ends = [grouped.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")).distinct() for x in ("a", "b")]
+        edges = reduce(DataFrame.unionByName, found).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        whole = components(edges)
+        mine, theirs = (whole.select(F.col("node").alias(x), F.col("comp").alias(f"w_{x}")) for x in ("cq", "g"))
+        apart = F.coalesce("w_cq", "cq") != F.coalesce("w_g", "g")
+        rest = materialize(ask.join(broadcast_if_small(mine), "cq", "left").join(broadcast_if_small(theirs), "g", "left").where(apart).drop("w_cq", "w_g"), "ask")
+        discard(ask, whole)
+        ask = rest
+    discard(grouped, ask)
+    return reduce(DataFrame.unionByName, found) if found else sets.sparkSession.createDataFrame([], "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -304,7 +330,7 @@ def classes(docs: DataFrame) -> DataFrame:
     some = rows.where("n > 0")
     copies = some.groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "node")
     copies = materialize(copies, "first")  # a digest that very many rows have can be split in the join
-    spare = materialize(some.select("row", "digest").join(copies, "digest").where("row <> node").select("row", "node"), "copies")
+    spare = materialize(some.select("row", "digest").join(copies, "digest").where("row <> node").select("row", "node"), "copies", few=True)
     discard(copies)
     nodes = some.withColumnRenamed("row", "node").join(broadcast_if_small(spare.select(F.col("row").alias("node"))), "node", "left_anti")
     shared = shared_tokens(nodes)
@@ -313,7 +339,7 @@ def classes(docs: DataFrame) -> DataFrame:
     keys = nodes.select("node", "doc_id", "digest")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = materialize(keys.join(nodes, "node", "left_semi"), "wanted")
+        wanted = materialize(keys.join(nodes, "node", "left_semi"), "wanted", few=True)
         sets = materialize(full_sets(docs, wanted), "sets")
         if sets.count() != wanted.count():  # rows may repeat an id and its text
             again, sets = sets, materialize(sets.dropDuplicates(["node"]), "sets")
@@ -332,15 +358,13 @@ def classes(docs: DataFrame) -> DataFrame:
     all_tokens = sets.select("node", "tokens", F.size("tokens").cast("long").alias("n")).withColumn("m", F.col("n"))
     shared = shared_tokens(all_tokens)
     prefix = materialize(prefixes(shared, all_tokens, whole=True), "prefix")
-    pairs = group_queries(prefix, shared, groups, sets)
-    more = verified(pairs, sets)
-    comps = components(found.unionByName(more))
-    discard(open_, shared, prefix, pairs, sets, groups, found, more)
+    comps = components(found.unionByName(group_links(prefix, shared, groups, sets)))
+    discard(open_, shared, prefix, sets, groups, found)
     whole = (
         rows.select("doc_id", "n", "row", "text_md5").join(spare, "row", "left").withColumn("node", F.coalesce("node", "row"))
         .join(broadcast_if_small(comps), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"), "text_md5")
     )
-    out = materialize(whole, "classes")
+    out = materialize(whole, "classes", few=True)
     discard(rows, spare, comps)
     return out
 

@@ -113,3 +113,18 @@ def test_threshold_is_exact(a, b, want):
     import numpy as np
 
     assert jaccard.linked(np.array(a), np.array(b)) is want
+
+
+@pytest.mark.parametrize("tries", [0, 1])
+def test_groups_are_connected_by_one_link(spark, monkeypatch, tries):
+    """Two groups of near copies that a few of their members link, by one member for each token and by all of them."""
+    monkeypatch.setattr(jaccard, "TRIES", tries)
+    r = random.Random(8)
+    rows = documents(8, 120)
+    for k in range(6):  # chains: neighbours link, ends don't; leaders see only a part of each
+        words = [f"c{k}_{i}" for i in range(60)]
+        for j in range(40):
+            own = words[: 40 - j // 2] + [f"c{k}_x{j // 4}_{i}" for i in range(j // 2)]
+            rows.append((1000 + 100 * k + j, " ".join(own)))
+    r.shuffle(rows)
+    assert run(spark, rows) == sorted(brute(rows))
