@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies
 from ..functions.catalog import Catalog, Pattern, PatternSet
-from ..operators import evaluate, harvest, render, scan, search
+from ..operators import evaluate, harvest, pivots, render, scan, search
 from ..sources import downloads, files, html
 from ..streaming import triggers
 from . import pages as page_plan
@@ -189,15 +189,22 @@ UNION ALL SELECT DISTINCT 3, pattern, 0, concat('### `', pattern, '`') FROM k
 UNION ALL SELECT 3, pattern, CAST(place AS INTEGER), concat('- **', reason, '**: text=`''', text, '''` expected=`', CASE WHEN expect IS NULL THEN 'None' ELSE concat('''', expect, '''') END, '` got=`', CASE WHEN got IS NULL THEN 'None' ELSE concat('''', got, '''') END, '`') FROM k"""
 
 
+def cosine_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector's nearest ones, by the pivots' bounds."""
+    rows = q._table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+    asked = rows.where("ord % 20 = 0").select(F.col("ord").alias("query_id"), F.col("vector").alias("q"))
+    return q.rounded(pivots.find_similar_indexed(rows, asked), "similarity")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "rescan_triggers": rescans, "report_changes": repaints, "pending_downloads": pending, "download_refusals": refusals, "highlighted_html": highlighted, "finding_sentences": finding_sentences,
-        "keyword_places": keyword_places, "excluded_in_sentence": excluded, "parent_falsified": parents, "mean_pooled": pooled, "settings_over_defaults": settings, "eval_document": document,
+        "keyword_places": keyword_places, "excluded_in_sentence": excluded, "parent_falsified": parents, "mean_pooled": pooled, "settings_over_defaults": settings, "eval_document": document, "cosine_topk_indexed": cosine_indexed,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "rescan_triggers": RESCANS_SQL, "report_changes": REPAINTS_SQL, "pending_downloads": PENDING_SQL, "download_refusals": REFUSALS_SQL, "highlighted_html": HIGHLIGHTED_SQL, "finding_sentences": FINDING_SENTENCES_SQL,
-        "keyword_places": q.PLACES_SQL, "excluded_in_sentence": EXCLUDED_SQL, "parent_falsified": PARENTS_SQL, "mean_pooled": POOLED_SQL, "settings_over_defaults": SETTINGS_SQL, "eval_document": DOCUMENT_SQL,
+        "keyword_places": q.PLACES_SQL, "excluded_in_sentence": EXCLUDED_SQL, "parent_falsified": PARENTS_SQL, "mean_pooled": POOLED_SQL, "settings_over_defaults": SETTINGS_SQL, "eval_document": DOCUMENT_SQL, "cosine_topk_indexed": q.COSINE_SQL,
     }
