@@ -4,9 +4,10 @@ Documents become token ids (each ends with id 0); longer ones are cut into
 full pieces.  Only lengths matter for the packing, so Spark sums a histogram
 (at most 2,048 counts, whatever the input) and the search runs on it: the
 incumbent is best-fit decreasing; then bin completion takes the longest
-remaining piece, enumerates undominated fillings of the rest of its sequence,
-uses each filling as often as the counts allow, and goes back where the waste
-so far shows that the incumbent can't be beaten.  The search ends at the lower
+remaining piece, enumerates all undominated fillings of the rest of its
+sequence, those of least waste first, uses each filling as often as the counts
+allow (then less often), and goes back where the waste so far shows that the incumbent can't be
+beaten.  The search ends at the lower
 bound or after ``MAX_NODES`` fillings; the best plan found is used.
 
 A plan is a short table: a filling, and how often it is used.  Pieces are
@@ -25,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,8 @@ from .words import chunks
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Fillings that the search may open in all.
-MAX_NODES = 20_000
-#: Fillings that are tried around one piece.
-BRANCHES = 4
+#: Fillings that the search may open in all; beyond, the best plan found is used, and ``lower_bound`` tells how far off it can be.
+MAX_NODES = 10_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 300_000
 
@@ -203,115 +203,145 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> Plan:
     return [(f, n) for fillings in open_.values() for f, n in fillings.items() if n]
 
 
-def fillings(counts: np.ndarray, room: int, branches: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with up to three lengths, least waste first.
+def dominated(filling: tuple[int, ...], waste: int, left: int) -> bool:
+    """Whether a piece that is left over could take the place of some of the filling's, and hold them.
 
-    A single length dominates all fillings whose sum it reaches: so the longest
-    that fits leads, and sets are kept only if they waste less.  Then the rest
-    is filled on with the longest that fits.
+    left: bits of the lengths that are left over.  Such a piece is as long as
+    the pieces together or longer, by no more than the waste; a piece that just
+    fits in beside the others counts too.
     """
-    size = np.arange(room + 1)
-    there = counts[: room + 1] > 0
-    there[0] = False
-    longest = np.maximum.accumulate(np.where(there, size, 0))  # the longest that fits, for each room
-    single = int(longest[room])
-    if not single:
-        return [()]
-    firsts = np.flatnonzero(there)[::-1]
-    second = longest[room - firsts]
-    second = np.where((second == firsts) & (counts[firsts] < 2), longest[np.maximum(firsts - 1, 0)], second)
-    second = np.minimum(second, room - firsts)
-    third = longest[room - firsts - second]
-    waste = room - firsts - second - third
-    out, seen = [], set()
-    for i in np.lexsort((-firsts, waste))[: 4 * branches].tolist():
-        chosen: list[int] = []
-        left, used = room, Counter()
-        for want in (int(firsts[i]), int(second[i])):
-            if want and want <= left and counts[want] > used[want]:
-                chosen.append(want)
-                used[want] += 1
-                left -= want
-        while left and (x := int(longest[left])):
-            while x and counts[x] <= used[x]:
-                x = int(longest[x - 1])
-            if not x:
-                break
-            k = min(left // x, int(counts[x]) - used[x])
-            chosen += [x] * k
-            used[x] += k
-            left -= k * x
-        key = tuple(sorted(chosen, reverse=True))
-        if key not in seen:
-            seen.add(key)
-            out.append((left, key))
-    out.sort(key=lambda f: (f[0], [-x for x in f[1]]))
-    return [f for _, f in out[:branches]]
-
-
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES, branches: int = BRANCHES) -> Plan:
-    """The best plan found for a histogram of lengths 1 to ``capacity``."""
+    one, more = 1, 0  # bits of the sums of none or one piece, and of two or more
+    for x in filling:
+        more |= (more << x) | ((one & ~1) << x)
+        one |= 1 << x
+    return any(((more << k) | (one << k if k else 0)) & left for k in range(waste + 1))
+
+
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of ``room``, least waste first, each made when it is asked for; None for a dominated one.
+
+    Sums that the shorter lengths can reach are bits of a number for each
+    length, so the search for a given sum never enters a dead end by its size.
+    """
+    own = {x: int(counts[x]) for x in range(min(room, len(counts) - 1), 0, -1) if counts[x]}
+    there = list(own)
+    if not there or there[0] == room:  # one piece that fills the room dominates everything else
+        yield tuple(there[:1])
+        return
+    full, reach = (1 << room + 1) - 1, [1] * (len(there) + 1)
+    for i in range(len(there) - 1, -1, -1):
+        x, sums = there[i], reach[i + 1]
+        copies, step = min(own[x], room // x), 1
+        while copies > 0:
+            sums |= (sums << min(step, copies) * x) & full
+            copies, step = copies - step, 2 * step
+        reach[i] = sums
+
+    def made(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for j in range(i, len(there)):
+            if not reach[j] >> total & 1:
+                return
+            x = there[j]
+            for k in range(min(own[x], total // x), 0, -1):
+                if reach[j + 1] >> total - k * x & 1:
+                    for rest in made(j + 1, total - k * x):
+                        yield (x,) * k + rest
+
+    for waste in range(room + 1):
+        if reach[0] >> room - waste & 1:
+            for filling in made(0, room - waste):
+                used = Counter(filling)
+                left = sum(1 << x for x in there if own[x] > used[x])
+                yield None if dominated(filling, waste, left) else filling
+
+
+class _Level:
+    """A depth of the search: the longest piece, and the fillings around it that are still to be tried.
+
+    Only the deepest levels keep their sums; one further up makes them again
+    when the search comes back to it, and skips what it has tried.
+    """
+
+    KEPT = 64
+
+    def __init__(self, longest: int, room: int):
+        self.longest, self.room, self.tried, self.options = longest, room, 0, None
+        self.filling, self.times = (), 0
+
+    def next(self, counts: np.ndarray) -> tuple[tuple[int, ...], int] | None | bool:
+        """A filling with the longest piece and how often to use it, None for a dominated one, False if there are no more.
+
+        Each is used as often as the counts allow first, then once less, and so on.
+        """
+        if self.times > 1:
+            self.times -= 1
+            return self.filling, self.times
+        if self.options is None:
+            counts[self.longest] -= 1
+            self.options = fillings(counts, self.room)
+            option = next(islice(self.options, self.tried, None), False)
+            counts[self.longest] += 1
+        else:
+            option = next(self.options, False)
+        self.tried += 1
+        if option is None or option is False:
+            return option
+        self.filling = (self.longest, *option)
+        self.times = min(int(counts[x]) // k for x, k in Counter(self.filling).items())
+        return self.filling, self.times
+
+
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Plan:
+    """The best plan found for a histogram of lengths 1 to ``capacity``: an optimal one if fewer than ``max_nodes`` fillings were opened."""
     counts = counts.astype(np.int64).copy()
     best = best_fit_decreasing(counts, capacity)
     fewest, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    volume, spare = int((counts * np.arange(len(counts))).sum()), 0
+    volume = int((counts * np.arange(len(counts))).sum())
     plan: Plan = []
-    stack: list[list] = []  # untried fillings at each depth, with the longest piece
+    stack: list[_Level] = []
     used = wasted = nodes = 0
-
-    def push() -> bool:
-        longest = int(np.flatnonzero(counts)[-1])
-        counts[longest] -= 1
-        options = fillings(counts, capacity - longest, branches)
-        counts[longest] += 1
-        stack.append([(longest, *f) for f in options][::-1])
-        return True
-
+    deeper = True
     while fewest > bound and nodes < max_nodes:
-        if not counts.any():
-            if used < fewest:
-                best, fewest = list(plan), used
-        elif used + -(-(volume - used * capacity + wasted) // capacity) < fewest:  # sequences that the rest needs at least
-            push()
-            nodes += 1
-            if _advance(stack, plan, counts, capacity):
-                used, wasted = sum_of(plan, capacity, used, wasted)
-                continue
-        # back to the last depth with an untried filling
-        while stack:
+        if deeper:
+            if not counts.any():
+                if used < fewest:
+                    best, fewest = list(plan), used
+                deeper = False
+            elif used + -(-(volume - used * capacity + wasted) // capacity) < fewest:  # sequences that the rest needs at least
+                longest = int(np.flatnonzero(counts)[-1])
+                stack.append(_Level(longest, capacity - longest))
+                if len(stack) > _Level.KEPT:
+                    stack[-1 - _Level.KEPT].options = None
+            else:
+                deeper = False
+        if not deeper:  # back to the last depth that may have an untried filling
+            if not stack:
+                break
             if len(plan) == len(stack):
                 filling, times = plan.pop()
                 for x in filling:
                     counts[x] += times
-                used -= times
-                wasted -= times * (capacity - sum(filling))
-            if stack[-1] and _advance(stack, plan, counts, capacity):
-                used, wasted = sum_of(plan, capacity, used, wasted)
-                break
+                used, wasted = used - times, wasted - times * (capacity - sum(filling))
+        option = stack[-1].next(counts)
+        nodes += 1
+        if option is False:
             stack.pop()
-        if not stack:
-            break
+            deeper = False
+        elif option is None:
+            deeper = False
+        else:
+            filling, times = option
+            for x in filling:
+                counts[x] -= times
+            plan.append(option)
+            used, wasted = used + times, wasted + times * (capacity - sum(filling))
+            deeper = True
     return best
 
 
-def _advance(stack: list, plan: Plan, counts: np.ndarray, capacity: int) -> bool:
-    """Take the next filling of the deepest level, as often as the counts allow."""
-    if not stack[-1]:
-        return False
-    filling = stack[-1].pop()
-    need = Counter(filling)
-    times = min(int(counts[x]) // k for x, k in need.items())
-    for x, k in need.items():
-        counts[x] -= times * k
-    plan.append((filling, times))
-    return True
-
-
-def sum_of(plan: Plan, capacity: int, used: int, wasted: int) -> tuple[int, int]:
-    filling, times = plan[-1]
-    return used + times, wasted + times * (capacity - sum(filling))
-
-
 def plan_rows(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     """length, low and high rank among its length, first sequence, sequences, offset of its first copy."""
     rows, taken, first = [], Counter(), 0

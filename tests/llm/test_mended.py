@@ -99,3 +99,40 @@ def test_language_of_a_long_text_in_slices(spark, monkeypatch):
     monkeypatch.setattr(langid, "SLICE", 700)
     cut = model.predict(texts)
     assert whole[0] == cut[0] == ["en", "und", "und", "und", "de"] and np.allclose(whole[1], cut[1], atol=1e-6)
+
+
+def test_all_undominated_fillings():
+    """Against all fillings by brute force, judged by the same rule written plainly; least waste first."""
+    from itertools import combinations, product
+
+    from glosslake.llm import packing
+
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        counts = np.zeros(31, np.int64)
+        np.add.at(counts, r.integers(3, 20, r.integers(1, 9)), 1)
+        room = int(r.integers(4, 31))
+        lengths = [x for x in range(30, 0, -1) if counts[x] and x <= room]
+
+        def bad(chosen, lengths=lengths, counts=counts, room=room):
+            waste = room - sum(chosen)
+            spare = [z for z in lengths if counts[z] > chosen.count(z)]
+            return any(sum(c) <= z <= sum(c) + waste and not (len(c) == 1 and z == c[0]) for n in range(len(chosen) + 1) for c in combinations(chosen, n) for z in spare)
+
+        everything = [tuple(x for x, k in zip(lengths, ks, strict=True) for _ in range(k)) for ks in product(*(range(int(counts[x]) + 1) for x in lengths))]
+        want = {c for c in everything if sum(c) <= room and not bad(c)}
+        got = [f for f in packing.fillings(counts, room) if f is not None]
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+        assert set(got) == want or lengths and lengths[0] == room and got == [(room,)]
+
+
+def test_search_goes_on_behind_dropped_levels(monkeypatch):
+    """Few kept levels give the same plan as many."""
+    from glosslake.llm import packing
+
+    r = np.random.default_rng(6)
+    counts = np.zeros(101, np.int64)
+    np.add.at(counts, r.integers(20, 60, 60), 1)
+    whole = packing.bin_completion(counts, 100, 4000)
+    monkeypatch.setattr(packing._Level, "KEPT", 2)
+    assert packing.bin_completion(counts, 100, 4000) == whole
