@@ -427,7 +427,7 @@ VARIANTS = """CASE page_id % 6
 
 
 def source_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").selectExpr("page_id", "'https://arxiv.org/list/new?x=/y' AS url", f"{VARIANTS} AS html")
+    pages = _table(spark, sf_dir, "pages").selectExpr("page_id", "'https://arxiv.org/list/new?x=/y' AS url", f"concat({VARIANTS}, coalesce(html, '')) AS html")
     found = scanners.scan_sources(html.elements(html.parse_pages(pages)))
     return found.select("page_id", "pattern_id", "label", "text", "source", "confidence")
 
@@ -515,14 +515,14 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of a message by its type, and the state that a reply tells."""
-    payload = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"url":"u', user_id, '","findings":[1,2]}') WHEN 1 THEN '{"url":7,"findings":"x"}' WHEN 2 THEN 'broken{' END""")
+    payload = F.expr("""CASE event_id % 4 WHEN 0 THEN concat('{"url":"', event_type, '","findings":[', props, ',', props, ']}') WHEN 1 THEN '{"url":7,"findings":"x"}' WHEN 2 THEN 'broken{' END""")
     ok = F.expr("CASE WHEN event_id % 5 < 3 THEN false WHEN event_id % 5 = 3 THEN true END")
     error = F.expr("CASE event_id % 5 WHEN 0 THEN 'Model NOT loaded' WHEN 1 THEN 'still loading' END")
     status = replies.status_text(replies.model_status(ok, error))
     return events(spark, sf_dir).select("event_id", replies.pluck_string(payload, "url", "none").alias("url"), F.size(replies.pluck_list(payload, "findings")).alias("n_findings"), status.alias("status"))
 
 
-FIELDS_SQL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('u', user_id) ELSE 'none' END AS url, CAST(CASE event_id % 4 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_findings,
+FIELDS_SQL = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type ELSE 'none' END AS url, CAST(CASE event_id % 4 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_findings,
  CASE event_id % 5 WHEN 1 THEN concat('status:   loading', chr(10), 'modelId:  multilingual', chr(10), 'uptime:   0.0 s') WHEN 2 THEN concat('status:   error', chr(10), 'modelId:  multilingual', chr(10), 'error:    unknown error')
   WHEN 3 THEN concat('status:   loaded', chr(10), 'modelId:  multilingual', chr(10), 'uptime:   0.0 s') ELSE 'status:   off' END AS status FROM events"""
 
