@@ -136,3 +136,15 @@ def test_search_goes_on_behind_dropped_levels(monkeypatch):
     whole = packing.bin_completion(counts, 100, 4000)
     monkeypatch.setattr(packing._Level, "KEPT", 2)
     assert packing.bin_completion(counts, 100, 4000) == whole
+
+
+def test_shards_prune(spark):
+    """Least and greatest values of a run rule most runs out for two conditions at once."""
+    from glosslake.llm import sharding
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.hilbert_shards(docs, 32).select("lang", "source", "size", "shard").toPandas()
+    runs = rows.groupby("shard").agg(l0=("lang", "min"), l1=("lang", "max"), s0=("source", "min"), s1=("source", "max"), z0=("size", "min"), z1=("size", "max"))
+    both = [((runs.l0 <= a) & (a <= runs.l1) & (runs.s0 <= b) & (b <= runs.s1)).mean() for a, b in rows[["lang", "source"]].drop_duplicates().itertuples(index=False)]
+    sized = [((runs.l0 <= a) & (a <= runs.l1) & (runs.z0 <= z) & (z / 2 <= runs.z1)).mean() for a in rows.lang.unique() for z in (300, 1000, 4000)]
+    assert np.mean(both) < 0.5 and np.mean(sized) < 0.5
