@@ -104,10 +104,12 @@ def global_rank(df: DataFrame, keys: list[str | Column], name: str, rank: str =
 
     Rows are range-partitioned and sorted; a row's position within its partition
     is written down once, and the partitions' row counts (one row each) give the
-    offsets.
+    offsets.  Rows that are equal in all keys may be very many: where they come
+    from parts them, so they needn't be in one range.
     """
     pos = F.monotonically_increasing_id()
-    placed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_pos", pos), name)
+    ranged = df.withColumn("_tie", pos).repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys).drop("_tie")
+    placed = materialize(ranged.withColumn("_pos", pos), name)
     part = F.shiftrightunsigned("_pos", 33)
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

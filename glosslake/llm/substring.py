@@ -40,6 +40,8 @@ from .words import chunks, mixed, words_of
 
 #: Words of a run of repeated units from which the query reports it.
 PASSAGE_WORDS = 30
+#: Names of the row number and the cuts while a table is worked on, and what is white space.
+ROW, SPANS, WHITE = "__row", "__spans", " \t\n\x0b\x0c\r"
 _ENDS = np.zeros(256, bool)
 _ENDS[np.frombuffer(b".!?,;:", np.uint8)] = True
 _BASES = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
@@ -89,7 +91,8 @@ def units(docs: DataFrame, keep: list[str]) -> DataFrame:
                 )
 
     shape = ", ".join(f"{c} {'long' if kinds[c] == pa.int64() else 'int'}" for c in names)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    number = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), "doc_id", "text")
     return map_batches(rows, read, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {shape}")
 
 
@@ -110,18 +113,37 @@ def repeated_units(docs: DataFrame, min_words: int = 1) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """docs with ``text`` cut at the repeated units; white space behind a cut run goes with it."""
-    runs = repeated_units(docs, min_words).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnRenamed("row", "_row")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["end"]))
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
-    kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda z, i: F.when(i == 0, _piece(z)).otherwise(F.regexp_replace(_piece(z), r"^[\x20\x09-\x0D]+", "")))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(spans, "_row", "left")
-    return rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))).select(*docs.columns)
-
-
-def _piece(z):
-    return F.substring(F.col("text"), z["a"].cast("int") + 1, (z["b"] - z["a"]).cast("int"))
+    """docs with ``text`` cut at the repeated units; white space behind a cut run goes with it.
+
+    The rows are numbered once, in a written table, so the cuts meet their rows
+    however often docs would be read.
+    """
+    own = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    runs = repeated_units(own, min_words).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(SPANS)).withColumnRenamed("row", ROW)
+    names, kept = own.columns, docs.columns
+    at = names.index("text")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [_left(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column(SPANS).to_pylist(), strict=True)]
+            columns = batch.columns
+            columns[at] = pa.array(left, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).select(kept)
+
+    return map_batches(own.join(spans, ROW, "left").select(*names, SPANS), cut_out, docs.schema)
+
+
+def _left(text: str | None, spans: list[dict] | None) -> str | None:
+    """A text without its spans, which are in order and don't overlap."""
+    if text is None or not spans:
+        return text
+    out, at = [], 0
+    for s in spans:
+        piece = text[at : s["start"]]
+        out.append(piece.lstrip(WHITE) if at else piece)
+        at = s["end"]
+    return "".join([*out, text[at:].lstrip(WHITE)])
 
 
 def op10_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

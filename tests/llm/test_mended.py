@@ -148,3 +148,31 @@ def test_shards_prune(spark):
     both = [((runs.l0 <= a) & (a <= runs.l1) & (runs.s0 <= b) & (b <= runs.s1)).mean() for a, b in rows[["lang", "source"]].drop_duplicates().itertuples(index=False)]
     sized = [((runs.l0 <= a) & (a <= runs.l1) & (runs.z0 <= z) & (z / 2 <= runs.z1)).mean() for a in rows.lang.unique() for z in (300, 1000, 4000)]
     assert np.mean(both) < 0.5 and np.mean(sized) < 0.5
+
+
+def test_many_cuts_in_one_text(spark):
+    """Thousands of cuts in linear time, and the same rows however the table's partitions fall."""
+    from pyspark.sql import functions as F
+
+    from glosslake.llm import substring
+
+    lines = [f"line {i} of words that many share." for i in range(8000)]
+    long = "\n".join(x + f"\nown {i} text stays here." for i, x in enumerate(lines))
+    docs = spark.createDataFrame([(1, "\n".join(lines), "x"), (2, long, "y"), (3, None, "z"), (4, "", "w")], "doc_id long, text string, other string").repartition(3)
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in substring.without_repeats(docs).collect()}
+    assert time.time() - began < 60
+    assert got[1] == "\n".join(lines) and got[2] == "".join(f"own {i} text stays here.\n" for i in range(8000))[:-1] and got[3] is None and got[4] == ""
+    assert substring.without_repeats(docs.orderBy(F.rand(1))).where("doc_id = 2").first()["text"] == got[2]
+
+
+def test_ranks_of_very_many_equal_rows(spark):
+    """One key of a third of all rows is dealt over several ranges, and the ranks stay exact."""
+    from pyspark.sql import functions as F
+
+    from glosslake.llm.common import global_rank
+
+    df = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    ranked, n = global_rank(df, ["k"], "ranked")
+    rows = ranked.select("k", "rank", F.spark_partition_id().alias("p")).orderBy("rank").collect()
+    assert n == 30_000 and [r["rank"] for r in rows] == list(range(n)) and [r["k"] for r in rows] == sorted(r["k"] for r in rows)
