@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import replies
-from ..functions.catalog import Catalog, Pattern, PatternSet
+from ..functions import replies, text
+from ..functions.catalog import Catalog, Falsifier, Pattern, PatternSet
 from ..operators import evaluate, harvest, pivots, render, scan, search
 from ..sources import downloads, files, html
 from ..streaming import triggers
@@ -141,6 +141,33 @@ SELECT doc_id, concat(doc_id, ' GeV') AS text, CAST(length(t) - length(concat(do
 UNION ALL SELECT doc_id, concat(doc_id + 1, ' GeV'), CAST(length(t) - length(concat(doc_id + 1, ' GeV beams. At ', doc_id, ' GeV')) AS INTEGER), CAST(length(t) - length(concat(' beams. At ', doc_id, ' GeV')) AS INTEGER) FROM d WHERE doc_id % 3 <> 0"""
 
 
+#: A finding of a text has a confidence of 0.7: one pattern drops what is below that, the other what is below 0.8.
+DOUBTED = Catalog(PatternSet("own", "Own", (
+    Pattern("own.kept", "Kept", "default", r"\bZX1\b", falsifiers=(Falsifier("confidence", below=0.7),)),
+    Pattern("own.dropped", "Dropped", "default", r"\bZX2\b", falsifiers=(Falsifier("confidence", below=0.8),)),
+)))
+
+
+def doubted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = q._table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(coalesce(text, ''), '. Both ZX1 and ZX2') AS text")
+    return scan.scan_text(docs, ["doc_id"], catalog=DOUBTED).select("doc_id", "pattern_id", "start", "end")
+
+
+DOUBTED_SQL = """SELECT doc_id, 'own.kept' AS pattern_id, CAST(length(coalesce(text, '')) + 7 AS INTEGER) AS "start", CAST(length(coalesce(text, '')) + 10 AS INTEGER) AS "end" FROM documents"""
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How whole texts are shown and named: shortened, as a file name, and under an id of their language and source."""
+    c = F.col
+    return q._table(spark, sf_dir, "documents").select(
+        "doc_id", text.shortened(c("text")).alias("shown"), text.safe_name(c("text")).alias("file"), text.display_id(c("lang"), F.concat_ws(".", "source", "doc_id")).alias("display_id")
+    )
+
+
+NAMES_SQL = r"""SELECT doc_id, CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 77), '…') ELSE text END AS shown, substr(regexp_replace(text, '[^\p{L}\p{N}_-]', '_', 'g'), 1, 80) AS file,
+ concat(lang, '.', doc_id) AS display_id FROM documents"""
+
+
 def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the head's own texts that their elements leave: not in code, not in headings."""
     found = page_plan.scan_nodes(html.text_nodes(html.parse_pages(q.headed(spark, sf_dir))))
@@ -199,12 +226,12 @@ def cosine_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "rescan_triggers": rescans, "report_changes": repaints, "pending_downloads": pending, "download_refusals": refusals, "highlighted_html": highlighted, "finding_sentences": finding_sentences,
-        "keyword_places": keyword_places, "excluded_in_sentence": excluded, "parent_falsified": parents, "mean_pooled": pooled, "settings_over_defaults": settings, "eval_document": document, "cosine_topk_indexed": cosine_indexed,
+        "keyword_places": keyword_places, "excluded_in_sentence": excluded, "parent_falsified": parents, "mean_pooled": pooled, "settings_over_defaults": settings, "eval_document": document, "cosine_topk_indexed": cosine_indexed, "confidence_falsified": doubted, "display_names": names,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "rescan_triggers": RESCANS_SQL, "report_changes": REPAINTS_SQL, "pending_downloads": PENDING_SQL, "download_refusals": REFUSALS_SQL, "highlighted_html": HIGHLIGHTED_SQL, "finding_sentences": FINDING_SENTENCES_SQL,
-        "keyword_places": q.PLACES_SQL, "excluded_in_sentence": EXCLUDED_SQL, "parent_falsified": PARENTS_SQL, "mean_pooled": POOLED_SQL, "settings_over_defaults": SETTINGS_SQL, "eval_document": DOCUMENT_SQL, "cosine_topk_indexed": q.COSINE_SQL,
+        "keyword_places": q.PLACES_SQL, "excluded_in_sentence": EXCLUDED_SQL, "parent_falsified": PARENTS_SQL, "mean_pooled": POOLED_SQL, "settings_over_defaults": SETTINGS_SQL, "eval_document": DOCUMENT_SQL, "cosine_topk_indexed": q.COSINE_SQL, "confidence_falsified": DOUBTED_SQL, "display_names": NAMES_SQL,
     }
