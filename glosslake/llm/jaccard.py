@@ -19,8 +19,8 @@ Jaccard similarity is at least 3/4.  The join is exact and finds components:
    still shared by several groups, the smaller group's nodes query the larger
    groups: a node's overlap with the union bounds its overlap with every member,
    and only groups that the bound lets pass are opened: one member for each token
-   first, as one link connects two groups, and all of them where groups are still
-   apart.  A common token counts only where enough of both sets comes after it in
+   first, as one link connects two groups, and, where groups are still apart, the
+   members of those parts of a group whose own unions let pass.  A common token counts only where enough of both sets comes after it in
    the order.
 
 Sets are compared by their bitmaps first (differing bits bound the overlap),
@@ -62,6 +62,8 @@ UNION_PART = 1024
 BITMAP = 2048
 #: Rounds in which one member of a group stands for it at each token, before all of them are asked.
 TRIES = 3
+#: Members of a part of a group, about, whose union is asked before its members are.
+SUBGROUP = 32
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -112,7 +114,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens (all, sorted) and bits (a bitmap of them) of the nodes in ``wanted`` (node, doc_id, digest)."""
+    """node, tokens (all, sorted) and bits (a bitmap of them) of the nodes in ``wanted`` (node, doc_id, digest, text_md5).
+
+    Rows are found by their doc_id, those without one by their text's MD5, so
+    that they are no single key.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,8 +129,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), _lists(sets), maps], names=["digest", "tokens", "bits"])
 
     n = wanted.count()
-    ids = broadcast_if_small(wanted.select(F.col("doc_id").alias("_id")), n)
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    nameless = lambda md5: F.when(F.col("doc_id").isNull(), md5)
+    ids = broadcast_if_small(wanted.select(F.col("doc_id").alias("_id"), nameless(F.col("text_md5")).alias("_md5")), n)
+    own = docs.select("doc_id", "text", nameless(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).alias("_own"))
+    texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_md5")), "left_semi").select("text")
     sets = map_batches(texts, whole, "digest binary, tokens array<long>, bits binary")
     return sets.join(broadcast_if_small(wanted.select("digest", "node"), n), "digest").select("node", "tokens", "bits")
 
@@ -263,8 +271,9 @@ def overlaps(asked: DataFrame, shared: DataFrame, groups: DataFrame, sets: DataF
     theirs = union.join(broadcast_if_small(counts), "g").groupBy("g", part(F.col("tok")).alias("part")).agg(F.collect_list("tok").alias("theirs"))
     theirs = materialize(theirs, "parts")
     ask = asked.select("q", "g").join(broadcast_if_small(counts), "g").join(sets.select(F.col("node").alias("q"), "tokens"), "q")
-    each = ask.select("q", "g", F.explode("tokens").alias("tok"), "parts").withColumn("part", part(F.col("tok")))
-    mine = each.groupBy("q", "g", "part").agg(F.collect_list("tok").alias("mine"))
+    whole = ask.where("parts = 1").select("q", "g", F.lit(0).cast("long").alias("part"), F.col("tokens").alias("mine"))
+    each = ask.where("parts > 1").select("q", "g", F.explode("tokens").alias("tok"), "parts").withColumn("part", part(F.col("tok")))
+    mine = whole.unionByName(each.groupBy("q", "g", "part").agg(F.collect_list("tok").alias("mine")))
     both = mine.join(theirs, ["g", "part"]).select("q", "g", F.size(F.array_intersect("mine", "theirs")).alias("n"))
     out = materialize(both.groupBy("q", "g").agg(F.sum("n").alias("inside")), "inside", few=True)
     discard(union, counts, theirs)
@@ -275,9 +284,11 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
     """Links (a, b) that connect groups: nodes of different groups that share a prefix token, as far as groups are not connected already; a written table.
 
     The token-group matrix and the unions rule most groups out for a node.  One
-    link is enough to connect two groups, so the nodes left are compared with
-    one member for each token first, another one in each of ``TRIES`` rounds;
-    all members are asked only for pairs of groups that are still apart.
+    link is enough to connect two groups, so the nodes left are compared with one
+    member for each token first, another one in each of ``TRIES`` rounds.
+    For pairs of groups that are still apart, the matrix is made once more over
+    parts of about ``SUBGROUP`` members, whose unions are small, and all members
+    of the parts that it can't rule out are asked.
     prefix and shared are over all tokens of the contested nodes, whose sets are in ``sets``.
     """
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
@@ -302,15 +313,19 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
     discard(asked, inside)
     members = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
     found = []
-    for salt in range(TRIES + 1):
-        if ask.isEmpty():
-            break
-        few = members.groupBy("g", "tok").agg(F.min_by(F.struct("b", "n", "tail"), F.xxhash64("b", F.lit(salt))).alias("m")).select("g", "tok", "m.*") if salt < TRIES else members
-        near_ones = ask.join(few, ["g", "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
+
+    def compared(ask: DataFrame, members: DataFrame, by: str) -> None:
+        near_ones = ask.join(members, [by, "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
         pairs = materialize(near_ones.select(F.col("q").alias("a"), "b").distinct(), "pairs")
         found.append(verified(pairs, sets))
         discard(pairs)
-        if salt == TRIES or found[-1].isEmpty():
+
+    for salt in range(TRIES):
+        if ask.isEmpty():
+            break
+        one = members.groupBy("g", "tok").agg(F.min_by(F.struct("b", "n", "tail"), F.xxhash64("b", F.lit(salt))).alias("m"))
+        compared(ask, one.select("g", "tok", "m.*"), "g")
+        if found[-1].isEmpty():
             continue
         ends = [grouped.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")).distinct() for x in ("a", "b")]
         edges = reduce(DataFrame.unionByName, found).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
@@ -320,6 +335,19 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
         rest = materialize(ask.join(broadcast_if_small(mine), "cq", "left").join(broadcast_if_small(theirs), "g", "left").where(apart).drop("w_cq", "w_g"), "ask")
         discard(ask, whole)
         ask = rest
+    if not ask.isEmpty():
+        # The matrix once more, over parts of the groups: their unions are small and rule most of them out.
+        own = grouped.select("node", F.col("comp").alias("g"), "n", "size").distinct().join(ask.select("g").distinct(), "g", "left_semi")
+        sub = F.xxhash64("g", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SUBGROUP)))
+        own = materialize(own.select("node", "g", "n", sub.alias("sub")), "subgroups")
+        sizes = own.groupBy("g", "sub").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        asked = ask.select("q", "g", F.col("nq").alias("n")).distinct().join(sizes, "g").where("4 * n >= 3 * least and 4 * most >= 3 * n")
+        asked = materialize(asked.select("q", F.col("sub").alias("g"), "n", "least").distinct(), "asked")
+        inside = overlaps(asked, shared, own.select("node", F.col("sub").alias("comp")), sets)
+        passed = asked.join(inside, ["q", "g"]).where("4 * inside >= 3 * n and 7 * inside >= 3 * (n + least)").select("q", F.col("g").alias("sub"))
+        of = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail").join(own.select(F.col("node").alias("b"), "sub"), "b")
+        compared(passed.join(ask.select("q", "tok", "nq", "tq").distinct(), "q"), of.select("sub", "tok", "b", "n", "tail"), "sub")
+        discard(own, asked, inside)
     discard(grouped, ask)
     return reduce(DataFrame.unionByName, found) if found else sets.sparkSession.createDataFrame([], "a long, b long")
 
@@ -336,7 +364,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = shared_tokens(nodes)
     prefix = materialize(prefixes(shared, nodes), "prefix")
     discard(shared)
-    keys = nodes.select("node", "doc_id", "digest")
+    keys = nodes.select("node", "doc_id", "digest", "text_md5")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = materialize(keys.join(nodes, "node", "left_semi"), "wanted", few=True)

@@ -119,6 +119,8 @@ def test_threshold_is_exact(a, b, want):
 def test_groups_are_connected_by_one_link(spark, monkeypatch, tries):
     """Two groups of near copies that a few of their members link, by one member for each token and by all of them."""
     monkeypatch.setattr(jaccard, "TRIES", tries)
+    monkeypatch.setattr(jaccard, "SUBGROUP", 3)
+    monkeypatch.setattr(jaccard, "UNION_PART", 64 if tries else 4096)
     r = random.Random(8)
     rows = documents(8, 120)
     for k in range(6):  # chains: neighbours link, ends don't; leaders see only a part of each
