@@ -227,3 +227,38 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int
 
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+    seeds = []
+    for k, mask in enumerate(MASKS):
+        key = " || ' ' || ".join(f"ws[i + {p + 1}]" for p, c in enumerate(mask) if c == "1")
+        one = "SELECT {id}, i, {key} AS key FROM (SELECT {id}, ws, unnest(range(len(ws) - {span} + 1)) AS i FROM {t} WHERE len(ws) >= {least})"
+        seeds.append(
+            f"SELECT DISTINCT a.r, b.q, a.i - b.i AS diagonal FROM ({one.format(id='r', key=key, span=len(mask), t='d', least=len(mask))}) a"
+            f" JOIN ({one.format(id='q', key=key, span=len(mask), t='b', least=max(MIN_WORDS, len(mask)))}) b ON a.key = b.key"
+        )
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text, {words} AS ws FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS q, item_id, {words} AS ws FROM benchmark),
+g AS (SELECT r, unnest(ws) AS w, unnest(string_split_regex(text, '[^\x20\x09-\x0D]+')[1:len(ws)]) AS gap, unnest(range(len(ws))) AS i FROM d WHERE len(ws) > 0),
+p AS MATERIALIZED (SELECT r, i, CAST(sum(length(gap) + length(w)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS e, length(w) AS n FROM g),
+l AS MATERIALIZED (SELECT DISTINCT r, q, diagonal FROM ({" UNION ALL ".join(seeds)})),
+a AS (SELECT r, q, diagonal, len(b.ws) AS n, j, j + diagonal >= 0 AND j + diagonal < len(d.ws) AND coalesce(d.ws[CAST(greatest(j + diagonal, 0) + 1 AS BIGINT)] = b.ws[j + 1], FALSE) AS same
+  FROM (SELECT l.*, unnest(range(len(b.ws))) AS j FROM l JOIN b USING (q)) x JOIN d USING (r) JOIN b USING (q)),
+f AS (SELECT *, sum(CAST(same AS INTEGER)) OVER (PARTITION BY r, q, diagonal) AS total, greatest({MIN_WORDS}, ceil({MIN_COVER} * n)) AS need,
+  same AND sum(CAST(same AS INTEGER)) OVER (PARTITION BY r, q, diagonal ORDER BY j ROWS BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING) >= {DENSE} AS dense FROM a),
+s AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r, q, diagonal ORDER BY j) AS seg FROM (
+  SELECT r, q, diagonal, j, coalesce(j - lag(j) OVER (PARTITION BY r, q, diagonal ORDER BY j) > {GAP + 1}, TRUE) AS new FROM f WHERE dense)),
+z AS (SELECT r, q, diagonal, j, count(*) OVER (PARTITION BY r, q, diagonal, seg) AS m FROM s),
+o AS (SELECT r, q, diagonal, max(m) AS best FROM z GROUP BY ALL),
+c AS (SELECT f.r, f.q, f.diagonal, f.j, f.n, f.need, o.best FROM f JOIN o USING (r, q, diagonal) LEFT JOIN z ON z.r = f.r AND z.q = f.q AND z.diagonal = f.diagonal AND z.j = f.j
+  WHERE f.same AND CASE WHEN f.total >= f.need THEN TRUE ELSE coalesce(z.m >= {SEGMENT_WORDS}, FALSE) END),
+k AS (SELECT c.r, c.q, any_value(c.n) AS n_words, count(DISTINCT c.j) AS n_matched, max(best) AS best, any_value(need) AS need, min(p.e - p.n) AS s, max(p.e) AS e
+  FROM c JOIN p ON p.r = c.r AND p.i = c.j + c.diagonal GROUP BY c.r, c.q)
+SELECT d.doc_id, b.item_id, CAST(n_words AS BIGINT) AS n_words, n_matched, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM k JOIN d USING (r) JOIN b USING (q) WHERE n_matched >= need OR best >= {RUN_WORDS}
+"""
+
+
+OP6_SQL = _sql()

@@ -434,3 +434,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("text_md5")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+c AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+b AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+p AS MATERIALIZED (SELECT x, y FROM b JOIN c cx ON cx.r = x JOIN c cy ON cy.r = y WHERE 100 * b.n >= 75 * (cx.n + cy.n - b.n)),
+e AS MATERIALIZED (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+k AS (SELECT r AS x, r AS y FROM w UNION SELECT k.x, e.y FROM k JOIN e ON e.x = k.y)
+SELECT w.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(o.doc_id) AS component_id FROM w LEFT JOIN c USING (r) JOIN k ON k.x = w.r JOIN w o ON o.r = k.y GROUP BY w.r, w.doc_id
+"""

@@ -30,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": url_filter.OP3_SQL,
+        "op4_jaccard_components": jaccard.OP4_SQL,
+        "op6_benchmark_leaks": decontaminate.OP6_SQL,
         "op7_pii_spans": pii.OP7_SQL,
         "op8_exact_topk": topk.OP8_SQL,
         "op10_repeated_lines": substring.OP10_SQL,
