@@ -60,8 +60,8 @@ EDGE = int(REGION * 2**64)
 UNION_PART = 1024
 #: Bits of a set's bitmap; sets of far more tokens fill it and are compared in full.
 BITMAP = 2048
-#: Rounds in which one member of a group stands for it at each token, before all of them are asked.
-TRIES = 3
+#: Rounds in which one member of a group stands for it at each token, before parts of the groups are asked.
+TRIES = 1
 #: Members of a part of a group, about, whose union is asked before its members are.
 SUBGROUP = 32
 
