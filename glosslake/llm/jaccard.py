@@ -62,6 +62,8 @@ UNION_PART = 1024
 BITMAP = 2048
 #: Rounds in which one member of a group stands for it at each token, before parts of the groups are asked.
 TRIES = 1
+#: Tokens of a node, its first ones in the order, whose members stand for a group in a round.
+STAND_INS = 3
 #: Members of a part of a group, about, whose union is asked before its members are.
 SUBGROUP = 32
 
@@ -285,7 +287,7 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
 
     The token-group matrix and the unions rule most groups out for a node.  One
     link is enough to connect two groups, so the nodes left are compared with one
-    member for each token first, another one in each of ``TRIES`` rounds.
+    member for each of ``STAND_INS`` tokens first, others in each of ``TRIES`` rounds.
     For pairs of groups that are still apart, the matrix is made once more over
     parts of about ``SUBGROUP`` members, whose unions are small, and all members
     of the parts that it can't rule out are asked.
@@ -324,7 +326,9 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
         if ask.isEmpty():
             break
         one = members.groupBy("g", "tok").agg(F.min_by(F.struct("b", "n", "tail"), F.xxhash64("b", F.lit(salt))).alias("m"))
-        compared(ask, one.select("g", "tok", "m.*"), "g")
+        first = F.slice(F.sort_array(F.collect_list(F.struct("tq", "tok", "nq")), asc=False), 1, STAND_INS)
+        few = ask.groupBy("q", "g").agg(F.explode(first).alias("t")).select("q", "g", "t.*")
+        compared(few, one.select("g", "tok", "m.*"), "g")
         if found[-1].isEmpty():
             continue
         ends = [grouped.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")).distinct() for x in ("a", "b")]
