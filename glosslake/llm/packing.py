@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +116,7 @@ class Encoder:
             if own is None:
                 yield self._bytes(self.tokenizer.encode(text, add_special_tokens=False))
             else:
-                yield b"".join(map(self.known.__getitem__, own))
+                yield b"".join(itemgetter(*own)(self.known)) if len(own) > 1 else b"".join(map(self.known.__getitem__, own))
 
 
 @cache
