@@ -138,7 +138,7 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = appended(spark, sf_dir)
-    return scan.sentence_spans(docs, ["doc_id"], scan.scan_text(docs, ["doc_id"]))
+    return scan.sentence_spans(docs, ["doc_id"], scan.scan_text(docs, ["doc_id"], sentences=True))
 
 
 _KINDS = " ".join(f"WHEN '{p.id}' THEN '{p.category}'" for p in PATTERNS.values())
