@@ -93,8 +93,7 @@ SELECT batch, bool_and(error IS NULL) AS ok, count(*) AS n, string_agg(coalesce(
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with their findings and sentences marked, and whether taking the marks away gives the text back."""
     docs = q.appended(spark, sf_dir)
-    found = scan.scan_text(docs, ["doc_id"])
-    marked = render.render(docs, ["doc_id"], found, scan.sentence_spans(docs, ["doc_id"], found))
+    marked = render.render(docs, ["doc_id"], scan.scan_text(docs, ["doc_id"], sentences=True))
     return marked.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").select("doc_id", "html", (render.unwrapped(F.col("html")) == F.col("_t")).alias("same"))
 
 
