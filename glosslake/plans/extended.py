@@ -111,8 +111,7 @@ SELECT doc_id, concat(string_agg(concat({_ESC.format("substr(t, b + 1, pos - b)"
 
 def finding_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding with the number of the sentence that holds it whole."""
-    docs = q.appended(spark, sf_dir)
-    met = scan.with_sentences(scan.scan_text(docs, ["doc_id"]), docs, ["doc_id"])
+    met = scan.scan_text(q.appended(spark, sf_dir), ["doc_id"], sentences=True)
     return met.select("doc_id", "pattern_id", "start", "end", F.col("sentence.sent").alias("sent"))
 
 
