@@ -8,7 +8,8 @@ its nearest cell first; the k-th best similarity that it finds there is
 certain, and only cells that may hold a better or equal one are opened.
 
 Both sides are dealt by cell, and large cells by tiles, so no task holds more
-than ``TILE`` vectors of the index; queries don't pass through the driver.
+than ``TILE`` vectors of the index and one batch of queries, which meet in
+``PAIRS`` pairs; queries don't pass through the driver.
 """
 
 from __future__ import annotations
@@ -16,19 +17,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.splits import bounded, spread
-from .search import K, SLACK, _best, find_similar_each
+from .search import K, SLACK, Held, _best, find_similar_each
 
 #: Pivots at most; angles and bounds of all cells are PIVOTS * PIVOTS numbers.
 PIVOTS = 64
 #: Vectors of a cell that one task compares.
 TILE = 32768
+#: Pairs of a query and a vector that a task compares at once: 8 bytes each, a few times over.
+PAIRS = 4 << 20
 
 
 def _finite(v: str) -> Column:
@@ -123,18 +125,45 @@ def _asked(queries: DataFrame, index: Pivots) -> DataFrame:
     return bounded(queries.select("query_id", "q")).mapInArrow(ask, f"query_id {kind}, q array<double>, home int, bounds array<double>")
 
 
-def _met(index_rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id, ord, similarity: the k best of each cell and tile for the queries (query_id, q, cell, tile) that open it."""
+def _met(index_rows: DataFrame, asked: DataFrame, index: Pivots, k: int) -> DataFrame:
+    """query_id, ord, similarity: the k best of each cell and tile for the queries (query_id, q, cell, tile) that open it.
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame([], columns=["query_id", "ord", "similarity"])
-        own = left.sort_values("ord", kind="stable")
-        row, place, similarity = _best(np.stack(right["q"].to_numpy()), np.stack(own["vector"].to_numpy()), np.arange(len(own)), k)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[row], "ord": own["ord"].to_numpy()[place], "similarity": similarity})
+    A tile's vectors and then its queries are one sorted stream.  The vectors
+    are held, the queries pass in batches and meet them ``PAIRS`` pairs at a
+    time, however many queries open the tile.
+    """
+    ords, ids = index_rows.schema["ord"].dataType, asked.schema["query_id"].dataType
+    left = index_rows.select("cell", "tile", F.lit(0).alias("kind"), "ord", F.lit(None).cast(ids).alias("query_id"), F.col("vector").alias("v"))
+    right = asked.select("cell", "tile", F.lit(1).alias("kind"), F.lit(None).cast(ords).alias("ord"), "query_id", F.col("q").alias("v"))
 
-    ords, ids = index_rows.schema["ord"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-    return index_rows.groupBy("cell", "tile").cogroup(asked.groupBy("cell", "tile")).applyInPandas(best, f"query_id {ids}, ord {ords}, similarity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, held = None, [], None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "tile", "kind")]
+            cuts = np.flatnonzero(np.any([np.diff(c) for c in columns], axis=0)) + 1 if batch.num_rows > 1 else []
+            for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                own, rows = batch.slice(low, high - low), high - low
+                if (at := (columns[0][low], columns[1][low])) != key:
+                    key, parts, held = at, [], None
+                if not columns[2][low]:
+                    parts.append((own.column("ord"), _matrix(own.column("v"), rows)))
+                elif parts or held:
+                    if held is None:
+                        held = Held(np.concatenate([m for _, m in parts])), pa.concat_arrays([o for o, _ in parts])
+                        parts = []
+                    q, e = _matrix(own.column("v"), rows), held[0]
+                    step = max(1, PAIRS // len(e.rows))
+                    for first in range(0, rows, step):
+                        row, place, similarity = _best(q[first : first + step], e, np.arange(len(e.rows)), k)
+                        yield pa.RecordBatch.from_arrays(
+                            [own.column("query_id").take(pa.array(first + row)), held[1].take(pa.array(place)), pa.array(similarity)], names=["query_id", "ord", "similarity"]
+                        )
+
+    # By number, because what a task has to do isn't told by its bytes.
+    dealt = bounded(left.unionByName(right).repartition(int(index.tiles.sum()), "cell", "tile").sortWithinPartitions("cell", "tile", "kind", "ord"))
+    return dealt.mapInArrow(run, f"query_id {ids.simpleString()}, ord {ords.simpleString()}, similarity double")
 
 
 def opened(queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
@@ -170,8 +199,8 @@ def find_similar_indexed(index: DataFrame, queries: DataFrame, k: int = K, n_piv
     zero = odd.orderBy("ord").limit(k).select("ord")
     ids = own.schema["query_id"].dataType.simpleString()
     apart = own.select("query_id").crossJoin(F.broadcast(zero)).select("query_id", "ord", F.lit(0.0).alias("similarity"))  # k rows for each query at most
-    first = _top(_met(cells, _tiled(own.select("query_id", "q", F.col("home").alias("cell")), "cell", known, None), k).unionByName(apart), k).drop("rank")
-    second = _met(cells, _tiled(opened(own, first, k), "cell", known, None), k)
+    first = _top(_met(cells, _tiled(own.select("query_id", "q", F.col("home").alias("cell")), "cell", known, None), known, k).unionByName(apart), k).drop("rank")
+    second = _met(cells, _tiled(opened(own, first, k), "cell", known, None), known, k)
     out = _top(first.unionByName(second), k)
     rest = asked.where(~usual("q"))
     if not rest.isEmpty():

@@ -54,17 +54,27 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(q: np.ndarray, e: np.ndarray, ords: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Held:
+    """Rows that many queries meet, with what they need of them."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.unit, self.norms = rows, _unit(rows), np.sqrt(_in_order(rows, rows))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _best(q: np.ndarray, e: Held, ords: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query row, ord, similarity of each query's k best rows of ``e``; a matrix product proposes, sums in order decide."""
-    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-    near = unit(q) @ unit(e).T
+    near = _unit(q) @ e.unit.T
     least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else near.min(axis=1, initial=0)
     rows, cols = np.nonzero(near >= least[:, None] - SLACK)
-    norms = np.sqrt(_in_order(q, q))[rows] * np.sqrt(_in_order(e, e))[cols]
+    norms = np.sqrt(_in_order(q, q))[rows] * e.norms[cols]
     similarity = np.zeros(len(rows))
     for at in range(0, len(rows), PAIRS):
         part = slice(at, at + PAIRS)
-        np.divide(_in_order(q[rows[part]], e[cols[part]]), norms[part], out=similarity[part], where=norms[part] > 0)
+        np.divide(_in_order(q[rows[part]], e.rows[cols[part]]), norms[part], out=similarity[part], where=norms[part] > 0)
     order = np.lexsort((ords[cols], -similarity, rows))
     rows, cols, similarity = rows[order], cols[order], similarity[order]
     first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
@@ -110,7 +120,7 @@ def _block_similar(rows: DataFrame, block: pa.Table, k: int, shape: str) -> Data
                     order = np.argsort(batch.column("ord").take(pa.array(rows_of)).to_numpy(zero_copy_only=False), kind="stable")
                     rows_of, e = rows_of[order], e[order]
                     if n == m and n > 0:
-                        row, place, similarity = _best(q, e, places[: len(e)], k)
+                        row, place, similarity = _best(q, Held(e), places[: len(e)], k)
                     else:
                         few = min(k, len(e))
                         row, place, similarity = np.repeat(np.arange(len(q)), few), np.tile(np.arange(few), len(q)), np.zeros(len(q) * few)

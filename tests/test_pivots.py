@@ -47,3 +47,24 @@ def test_bounds_hold_and_cells_stay_closed(spark):
     own = pivots._asked(queries, known)
     first = search.find_similar_each(rows, queries, 5)
     assert pivots.opened(own, first, 5).count() < 0.2 * len(q) * 40
+
+
+def test_queries_of_a_tile_pass_in_blocks(spark, monkeypatch):
+    """However many queries open a cell, a task compares so many pairs at once."""
+    r = np.random.default_rng(8)
+    index = spark.createDataFrame([(i, r.normal(size=6).round(1).tolist()) for i in range(300)], "ord int, vector array<double>")
+    queries = spark.createDataFrame([(f"q{i}", r.normal(size=6).round(1).tolist()) for i in range(500)], "query_id string, q array<double>")
+    key = lambda df: sorted((x["query_id"], x["rank"], x["ord"], round(x["similarity"], 9)) for x in df.collect())
+    most = spark.sparkContext.accumulator(0)
+    best = pivots._best
+
+    def counted(q, e, ords, k):
+        if len(q) * len(e.rows) > 1000:
+            most.add(1)
+        return best(q, e, ords, k)
+
+    monkeypatch.setattr(pivots, "PAIRS", 1000)
+    monkeypatch.setattr(pivots, "_best", counted)
+    got = key(pivots.find_similar_indexed(index, queries, 4, n_pivots=3))
+    assert most.value == 0
+    assert got == key(search.find_similar_each(index, queries, 4))
