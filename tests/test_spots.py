@@ -67,3 +67,12 @@ def test_texts_are_scanned_once(spark, name, reads, steps):
 
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert (plan.count("Relation "), plan.count("MapInArrow")) == (reads, steps)
+
+
+def test_queries_of_one_pattern_pass_once_over_the_texts(spark):
+    """No expression is left to Spark's own functions, which have no places to start from."""
+    from glosslake.plans.queries import queries
+
+    for p in PATTERNS:
+        plan = queries()["scan_" + p.id.replace(".", "_").lower()](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and not any(f in plan.lower() for f in ("rlike", "regexp_extract_all", "split(")), p.id
