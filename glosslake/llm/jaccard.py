@@ -66,6 +66,9 @@ TRIES = 1
 STAND_INS = 3
 #: Members of a part of a group, about, whose union is asked before its members are.
 SUBGROUP = 32
+#: Parts that meet queries of a pair of groups in the first round, about; a pair without a link meets ``MORE`` times as many in the next.
+FIRST = 4
+MORE = 8
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -289,8 +292,10 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
     link is enough to connect two groups, so the nodes left are compared with one
     member for each of ``STAND_INS`` tokens first, others in each of ``TRIES`` rounds.
     For pairs of groups that are still apart, the matrix is made once more over
-    parts of about ``SUBGROUP`` members, whose unions are small, and all members
-    of the parts that it can't rule out are asked.
+    parts of about ``SUBGROUP`` members, whose unions are small, and the members
+    of the parts that it can't rule out are asked: of ``FIRST`` parts at first, of
+    ``MORE`` times as many in the next round, and in the last round of all parts,
+    each round for the pairs of groups alone that the rounds before have not linked.
     prefix and shared are over all tokens of the contested nodes, whose sets are in ``sets``.
     """
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
@@ -315,6 +320,8 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
     discard(asked, inside)
     members = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail")
     found = []
+    ends = [grouped.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")).distinct() for x in ("a", "b")]
+    met = lambda links: links.join(ends[0], "a").join(ends[1], "b")
 
     def compared(ask: DataFrame, members: DataFrame, by: str) -> None:
         near_ones = ask.join(members, [by, "tok"]).where(near("n", "nq") & reachable("n", "tail", "nq", "tq"))
@@ -331,8 +338,7 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
         compared(few, one.select("g", "tok", "m.*"), "g")
         if found[-1].isEmpty():
             continue
-        ends = [grouped.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")).distinct() for x in ("a", "b")]
-        edges = reduce(DataFrame.unionByName, found).join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        edges = met(reduce(DataFrame.unionByName, found)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         whole = components(edges)
         mine, theirs = (whole.select(F.col("node").alias(x), F.col("comp").alias(f"w_{x}")) for x in ("cq", "g"))
         apart = F.coalesce("w_cq", "cq") != F.coalesce("w_g", "g")
@@ -345,13 +351,32 @@ def group_links(prefix: DataFrame, shared: DataFrame, groups: DataFrame, sets: D
         sub = F.xxhash64("g", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SUBGROUP)))
         own = materialize(own.select("node", "g", "n", sub.alias("sub")), "subgroups")
         sizes = own.groupBy("g", "sub").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        asked = ask.select("q", "g", F.col("nq").alias("n")).distinct().join(sizes, "g").where("4 * n >= 3 * least and 4 * most >= 3 * n")
-        asked = materialize(asked.select("q", F.col("sub").alias("g"), "n", "least").distinct(), "asked")
+        asked = ask.select("q", "g", "cq", F.col("nq").alias("n")).distinct().join(sizes, "g").where("4 * n >= 3 * least and 4 * most >= 3 * n")
+        asked = materialize(asked.select("q", "cq", F.col("g").alias("of"), F.col("sub").alias("g"), "n", "least"), "asked")
         inside = overlaps(asked, shared, own.select("node", F.col("sub").alias("comp")), sets)
-        passed = asked.join(inside, ["q", "g"]).where("4 * inside >= 3 * n and 7 * inside >= 3 * (n + least)").select("q", F.col("g").alias("sub"))
+        passed = asked.join(inside, ["q", "g"]).where("4 * inside >= 3 * n and 7 * inside >= 3 * (n + least)")
+        passed = materialize(passed.select("q", "cq", F.col("of").alias("g"), F.col("g").alias("sub")), "passed")
+        counts = materialize(passed.groupBy("cq", "g").agg(F.count(F.lit(1)).alias("parts")), "counts")
+        # A place by chance among the parts of a pair of groups, which needs no sort of a pair that has very many.
+        place = F.pmod(F.xxhash64("q", "sub"), F.col("parts"))
+        todo = materialize(passed.join(broadcast_if_small(counts), ["cq", "g"]).select("q", "cq", "g", "sub", place.alias("place")), "todo")
+        most = counts.agg(F.max("parts")).first()[0] or 0
+        discard(passed, counts)
         of = grouped.select(F.col("comp").alias("g"), "tok", F.col("node").alias("b"), "n", "tail").join(own.select(F.col("node").alias("b"), "sub"), "b")
-        compared(passed.join(ask.select("q", "tok", "nq", "tq").distinct(), "q"), of.select("sub", "tok", "b", "n", "tail"), "sub")
-        discard(own, asked, inside)
+        each = ask.select("q", "tok", "nq", "tq").distinct()
+        least, end = 0, FIRST
+        while least < most:
+            turn = todo.where((F.col("place") >= least) & (F.col("place") < end)).select("q", "sub")
+            compared(turn.join(each, "q"), of.select("sub", "tok", "b", "n", "tail"), "sub")
+            least, end = end, MORE * end
+            if least < most and not found[-1].isEmpty():
+                linked_ones = materialize(met(found[-1]).select(F.col("ca").alias("cq"), F.col("cb").alias("g")).distinct(), "met")
+                rest = materialize(todo.where(F.col("place") >= least).join(broadcast_if_small(linked_ones), ["cq", "g"], "left_anti"), "todo")
+                discard(todo, linked_ones)
+                todo = rest
+                if todo.isEmpty():
+                    break
+        discard(own, asked, inside, todo)
     discard(grouped, ask)
     return reduce(DataFrame.unionByName, found) if found else sets.sparkSession.createDataFrame([], "a long, b long")
 

@@ -130,3 +130,33 @@ def test_groups_are_connected_by_one_link(spark, monkeypatch, tries):
             rows.append((1000 + 100 * k + j, " ".join(own)))
     r.shuffle(rows)
     assert run(spark, rows) == sorted(brute(rows))
+
+
+def test_linked_groups_meet_few_of_their_members(spark, monkeypatch):
+    """Copies by themselves beside a large group, each linked to most of it: one link is enough, so few pairs are compared."""
+    monkeypatch.setattr(jaccard, "TRIES", 0)
+    monkeypatch.setattr(jaccard, "SUBGROUP", 4)
+    met, own = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets: (met.append(pairs.where("b < 240").count()), own(pairs, sets))[1])
+    r = random.Random(9)
+    body = [f"b{i}" for i in range(80)]
+
+    def edited(k, name):
+        w = list(body)
+        for i in r.sample(range(80), k):
+            w[i] = f"{name}_{i}"
+        return " ".join(w)
+
+    texts = [edited(1, f"m{i}") for i in range(240)] + [edited(1, f"q{i}") for i in range(60)]
+    found = jaccard.shingle_sets(texts)
+    rows = [(i, [int(x) for x in s.view("int64")], bytearray(jaccard.bitmap(s)), len(s)) for i, s in enumerate(found)]
+    sets = spark.createDataFrame(rows, "node long, tokens array<long>, bits binary, n long")
+    nodes = sets.select("node", "tokens", "n", "n").toDF("node", "tokens", "n", "m")
+    shared = jaccard.shared_tokens(nodes)
+    groups = spark.createDataFrame([(i, 0) for i in range(240)], "node long, comp long")
+    links = jaccard.group_links(jaccard.prefixes(shared, nodes, whole=True), shared, groups, sets.select("node", "tokens", "bits")).collect()
+    assert all(jaccard.linked(found[a], found[b]) for a, b in links)
+    want = {q for q in range(240, 300) if any(jaccard.linked(found[q], found[m]) for m in range(240))}
+    assert {a for a, b in links if b < 240} == want
+    assert len(want) == 60
+    assert sum(met) <= 60 * 2 * jaccard.FIRST * jaccard.SUBGROUP  # of 60 * 240
