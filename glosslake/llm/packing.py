@@ -64,6 +64,8 @@ class Encoder:
         r"\t-\r\x20-\u012f\u0131-\u024f\u0391-\u03a1\u03a4-\u03ce\u0400-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
         r"\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
     )
+    #: ASCII marks but the apostrophe, which may begin a pre-token with letters behind it.
+    _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     _OTHER = re.compile(f"[^{_PLAIN}]")
     _BESIDE = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))")
 
@@ -82,15 +84,20 @@ class Encoder:
         return np.array(encoding.ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Words of letters alone are one pre-token: encoded together, and parted where a word's last token is."""
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
+        """Words of letters alone are one pre-token, and marks behind them one more: encoded together, and parted where their last pre-token's last token is."""
+        plain, other, count = [], [], []
+        for w in words:
+            if w.isalpha() or w.rstrip(self._MARKS).isalpha():
+                plain.append(w)
+                count.append(1 if w.isalpha() else 2)
+            else:
+                other.append(w)
         together = [" ".join(plain[k : k + 64]) for k in range(0, len(plain), 64)]
         parts = self.tokenizer.encode_batch_fast(together, add_special_tokens=False)
         ids = np.array([i for x in parts for i in x.ids], "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(plain):
-            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        if len(ends) == sum(count):
+            raw, at = ids.tobytes(), [0, *(4 * ends[np.cumsum(count, dtype=np.int64) - 1]).tolist()]
             self.known.update((w, raw[a:b]) for w, a, b in zip(plain, at, at[1:], strict=False))
         else:
             other = words

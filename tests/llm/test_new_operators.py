@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from glosslake.llm import lexical, registry, toxicity, vector_codes
+from glosslake.llm import lexical, packing, registry, toxicity, vector_codes
 from glosslake.llm.words import TERM, words_of
 from tests.test_entry import same_rows
 
@@ -226,3 +226,26 @@ def test_prefix_hashes():
     words = words_of(["grimbo grim", "Grimbolo x"], TERM)
     p = words.prefixes(6)
     assert p[0] == p[2] != p[1] and words.prefixes(4)[1] == words.prefixes(8)[1] and len(p) == 4
+
+
+def test_words_with_marks_behind_them_are_encoded_together():
+    """Words of letters with marks behind them have the tokenizer's ids, and are not encoded one by one."""
+    own = packing.Encoder(packing.vocabulary_path())
+    calls, tokenizer = [], own.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **more)
+
+        def encode(self, text, **more):
+            return tokenizer.encode(text, **more)
+
+    own.tokenizer = Counted()
+    words = [f"{w}{m}" for w in ("apfel", "été", "xqzvk", "don", "слово", "漢字") for m in ("", "%%%", "!!", "$", "''", "&*&", "_", "-", ".!", '."', "'s", "!'s", "12", "%1", "\\]")]
+    texts = [*words, " ".join(words), " ".join(reversed(words)), "%%% 's apfel%%% apfel 7% it's%"]
+    want = [b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert list(own.ids(texts)) == want
+    calls.clear()
+    list(own.ids([" ".join(f"neu{a}{b}###" for a in "abcdefgh" for b in "abcdefgh")]))
+    assert sum(calls) == 1
